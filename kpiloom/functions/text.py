@@ -37,7 +37,7 @@ def title_case(text: Column) -> Column:
     ``initcap`` starts a word only after a space, so each other word start is
     marked with one before the call and unmarked after it.
     """
-    marked = F.regexp_replace(F.lower(text), f"(?<!{_CASED})(?={_CASED})", _WORD_MARK)
+    marked = F.regexp_replace(text, f"(?<!{_CASED})(?={_CASED})", _WORD_MARK)
     return F.replace(F.initcap(marked), F.lit(_WORD_MARK), F.lit(""))
 
 

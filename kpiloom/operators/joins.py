@@ -26,3 +26,19 @@ def join_customers(orders: DataFrame, customers: DataFrame, how: str = "left") -
     left = orders.withColumnsRenamed({c: f"{c}_order" for c in shared})
     right = customers.withColumnsRenamed({c: f"{c}_customer" for c in shared})
     return left.join(right, MOBILE, how)
+
+
+def join_totals(totals: DataFrame, customers: DataFrame, keep_unmatched: bool = False) -> DataFrame:
+    """Totals per mobile number with their customers.
+
+    ``totals`` is unique on the number, so each customer meets at most one row,
+    and adaptive execution can split either side of the inner join where many
+    customers share a number.  An outer join would pin the customers' side, so
+    the numbers that no customer has are added by an anti-join with the distinct
+    numbers instead.
+    """
+    matched = totals.join(customers, MOBILE)
+    if not keep_unmatched:
+        return matched
+    unmatched = totals.join(customers.select(MOBILE).distinct(), MOBILE, "left_anti")
+    return matched.unionByName(unmatched, allowMissingColumns=True)

@@ -19,7 +19,7 @@ from kpiloom.operators.filters import (
     sort_desc_amount,
     top_k,
 )
-from kpiloom.operators.joins import MOBILE
+from kpiloom.operators.joins import MOBILE, join_totals
 
 
 def _known_customers(df: DataFrame, keep_unmatched: bool) -> DataFrame:
@@ -163,8 +163,7 @@ def region_revenue(
 ) -> DataFrame:
     """Revenue per region at order grain, greatest first."""
     totals = number_totals(grain).select(MOBILE, "amount")
-    how = "left" if keep_unmatched else "inner"
-    joined = totals.join(customers.select(MOBILE, "region"), MOBILE, how)
+    joined = join_totals(totals, customers.select(MOBILE, "region"), keep_unmatched)
     known = joined if keep_unmatched else joined.filter(F.col("region").isNotNull())
     per_region = known.groupBy("region").agg(zero_if_null(F.sum("amount")).alias("revenue"))
     return sort_desc_amount(per_region, "revenue", "region").select(
@@ -178,7 +177,7 @@ def repeat_customers(
     """Customers with more than one order, with the number of their orders."""
     totals = number_totals(grain).select(MOBILE, "order_count")
     pairs = customers.select(MOBILE, "customer_id").distinct()
-    joined = totals.join(pairs, MOBILE, "left" if keep_unmatched else "inner")
+    joined = join_totals(totals, pairs, keep_unmatched)
     per_customer = joined.groupBy("customer_id").agg(F.sum("order_count").alias("order_count"))
     return having_min_orders(per_customer)
 
@@ -201,7 +200,7 @@ def top_spenders(
     recent = grain.filter(is_recent("order_date_time", as_of, days))
     totals = number_totals(recent).select(MOBILE, "amount")
     who = customers.select(MOBILE, "customer_id", "customer_name")
-    joined = totals.join(who, MOBILE, "left" if keep_unmatched else "inner")
+    joined = join_totals(totals, who, keep_unmatched)
     spend = joined.groupBy("customer_id", "customer_name").agg(
         zero_if_null(F.sum("amount")).alias("amount")
     )

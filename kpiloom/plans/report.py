@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kpiloom.functions import zero_if_null
 from kpiloom.operators.filters import having_min_orders, is_recent
-from kpiloom.operators.joins import MOBILE
+from kpiloom.operators.joins import MOBILE, join_totals
 from kpiloom.operators.kpis import monthly_order_trend, number_totals
 from kpiloom.operators.orders import order_grain
 from kpiloom.staging import materialize
@@ -27,11 +27,8 @@ def report_base(
         F.count_if(recent).alias("recent_count"),
         F.sum(F.when(recent, F.col("order_amount"))).alias("recent_amount"),
     )
-    joined = totals.join(
-        customers.select(MOBILE, "customer_id", "customer_name", "region"),
-        MOBILE,
-        "left" if keep_unmatched else "inner",
-    )
+    who = customers.select(MOBILE, "customer_id", "customer_name", "region")
+    joined = join_totals(totals, who, keep_unmatched)
     sums = ["order_count", "amount", "recent_count", "recent_amount"]
     return joined.groupBy("customer_id", "customer_name", "region").agg(
         *[F.sum(name).alias(name) for name in sums]

@@ -41,3 +41,6 @@ ORDER_ROLLUP = T.StructType(
 
 CUSTOMERS_TABLE = _text("customer_id", "customer_name")
 ORDERS_TABLE = ORDER_ROLLUP
+
+# Folder column of the written order datasets.
+MONTH_COLUMN = "order_month"

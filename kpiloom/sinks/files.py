@@ -4,9 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions import year_month
-from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, ORDER_ROLLUP
-
-MONTH_COLUMN = "order_month"
+from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
 
 
 def _by_month(df: DataFrame, moment: str, path: str) -> None:

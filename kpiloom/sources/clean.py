@@ -1,9 +1,13 @@
 """Clean datasets, read with their declared types from parquet or CSV."""
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, ORDER_ROLLUP
+from kpiloom.operators.filters import lookback_filter
+from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
@@ -25,3 +29,11 @@ def scan_clean_lines(spark: SparkSession, path: str, fmt: str = "parquet") -> Da
 def scan_clean_rollup(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Order-level clean orders with typed amount and date."""
     return _scan(spark, path, ORDER_ROLLUP, fmt)
+
+
+def scan_recent_lines(spark: SparkSession, path: str, as_of: datetime, days: int = 30) -> DataFrame:
+    """The lines of the last days from month folders, reading only their months."""
+    first_month = (as_of - timedelta(days=days)).strftime("%Y-%m")
+    schema = T.StructType(CLEAN_ORDER_LINES.fields + [T.StructField(MONTH_COLUMN, T.StringType())])
+    months = spark.read.schema(schema).parquet(path).filter(F.col(MONTH_COLUMN) >= first_month)
+    return lookback_filter(months, as_of, days).select(*CLEAN_ORDER_LINES.names)

@@ -20,9 +20,9 @@ _CASED = r"\p{Lu}\p{Ll}\p{Lt}"
 
 
 def _title(text: str) -> str:
-    words = f"regexp_extract_all(lower({text}), '[{_CASED}]+|[^{_CASED}]+')"
+    words = f"regexp_extract_all({text}, '[{_CASED}]+|[^{_CASED}]+')"
     first = "case when w[1] = 'ß' then 'Ss' else upper(w[1]) end"
-    return f"array_to_string(list_transform({words}, lambda w: concat({first}, w[2:])), '')"
+    return f"array_to_string(list_transform({words}, lambda w: concat({first}, lower(w[2:]))), '')"
 
 
 _GRAIN_LINES = """

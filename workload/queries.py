@@ -16,7 +16,12 @@ from kpiloom.plans import clean, dashboard, jobs, report
 from kpiloom.schemas import CUSTOMERS_TABLE, ORDERS_TABLE, RAW_CUSTOMERS, RAW_ORDER_LINES
 from kpiloom.sinks import files, tables
 from kpiloom.sources import landing, raw
-from kpiloom.sources.clean import scan_clean_customers, scan_clean_lines, scan_clean_rollup
+from kpiloom.sources.clean import (
+    scan_clean_customers,
+    scan_clean_lines,
+    scan_clean_rollup,
+    scan_recent_lines,
+)
 from kpiloom.staging import materialize, new_path
 from kpiloom.streaming.intake import read_staged_orders, stage_new_orders
 from workload import views
@@ -575,8 +580,8 @@ def q_top_spenders(spark, sf_dir):
 
 @_query
 def q_top_spenders_recent_lines(spark, sf_dir):
-    """The look-back applied to the lines, where it reaches the scan."""
-    recent = filters.lookback_filter(views.lines(spark, sf_dir), AS_OF)
+    """The look-back applied to the written lines, where it prunes months."""
+    recent = scan_recent_lines(spark, _written_lines(spark, sf_dir), AS_OF)
     grain = orders.order_grain(recent, "last")
     return kpis.top_spenders(grain, views.customers_part(spark, sf_dir), AS_OF, keep_unmatched=True)
 

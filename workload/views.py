@@ -125,19 +125,24 @@ def customers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    """What depends on the order alone is computed once per order, below the join."""
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"
-    )
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         _id("ORD-", "o_orderkey").alias("order_id"),
         _id("91", "o_custkey").alias("mobile_number"),
         F.col("o_orderdate").alias("order_date_time"),
-        F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku_id"),
-        F.col("l_quantity").cast("int").alias("sku_count"),
         F.col("o_totalprice").cast(MONEY).alias("total_amount"),
         F.col("o_orderkey").alias("k"),
     )
+    items = table(spark, sf_dir, "lineitem")
+    return items.join(orders, F.col("l_orderkey") == F.col("k")).select(
+        "order_id",
+        "mobile_number",
+        "order_date_time",
+        F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku_id"),
+        F.col("l_quantity").cast("int").alias("sku_count"),
+        "total_amount",
+        "k",
+    )
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
