@@ -6,6 +6,7 @@ merges, where adaptive execution splits a hot number across tasks.
 """
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kpiloom.operators.filters import project_customer_map
 
@@ -31,13 +32,19 @@ def join_customers(orders: DataFrame, customers: DataFrame, how: str = "left") -
 def join_totals(totals: DataFrame, customers: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     """Totals per mobile number with their customers.
 
-    ``totals`` is unique on the number, so each customer meets at most one row,
-    and adaptive execution can split either side of the inner join where many
-    customers share a number.  An outer join would pin the customers' side, so
-    the numbers that no customer has are added by an anti-join with the distinct
-    numbers instead.
+    ``totals`` is unique on the number, so the join emits one row per customer.
+    A number may still belong to very many customers.  Adaptive execution splits
+    such a number only in an inner join that an exchange feeds on both sides,
+    hence two things:
+
+    * the join has a second key, implied by the first.  Without it the planner
+      would reuse the partitioning of the aggregate behind ``totals``;
+    * the numbers that no customer has come from an anti-join with the distinct
+      numbers, not from an outer join.
     """
-    matched = totals.join(customers, MOBILE)
+    digits = F.length(MOBILE).alias("digits")
+    matched = totals.select("*", digits).join(customers.select("*", digits), [MOBILE, "digits"])
+    matched = matched.drop("digits")
     if not keep_unmatched:
         return matched
     unmatched = totals.join(customers.select(MOBILE).distinct(), MOBILE, "left_anti")
