@@ -43,4 +43,4 @@ def title_case(text: Column) -> Column:
 
 def digits_only(text: Column) -> Column:
     """Remove everything but digits, of any script."""
-    return F.regexp_replace(text, r"(?U)\D", "")
+    return F.regexp_replace(text, r"\P{Nd}+", "")

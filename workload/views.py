@@ -125,7 +125,10 @@ def customers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What depends on the order alone is computed once per order, below the join."""
+    """What depends on the order alone is computed once per order, below the join.
+
+    Orders and items grow together, so neither is ever to be broadcast.
+    """
     orders = table(spark, sf_dir, "orders").select(
         _id("ORD-", "o_orderkey").alias("order_id"),
         _id("91", "o_custkey").alias("mobile_number"),
@@ -133,7 +136,7 @@ def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast(MONEY).alias("total_amount"),
         F.col("o_orderkey").alias("k"),
     )
-    items = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "lineitem").hint("merge")
     return items.join(orders, F.col("l_orderkey") == F.col("k")).select(
         "order_id",
         "mobile_number",
