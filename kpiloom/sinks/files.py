@@ -1,30 +1,36 @@
-"""Clean datasets as parquet folders, replaced as a whole."""
+"""Clean datasets as folders, replaced as a whole: parquet, or CSV for export."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions import year_month
 from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
+from kpiloom.sources.raw import CSV_OPTIONS
 
 
-def _by_month(df: DataFrame, moment: str, path: str) -> None:
+def _replace(df: DataFrame, path: str, fmt: str, *folders: str) -> None:
+    options = CSV_OPTIONS if fmt == "csv" else {}
+    writer = df.write.mode("overwrite").options(**options).format(fmt)
+    (writer.partitionBy(*folders) if folders else writer).save(path)
+
+
+def _by_month(df: DataFrame, moment: str, path: str, fmt: str) -> None:
     """One folder per month, so that a look-back reads only its months.
 
     The rebalance hint lets adaptive execution merge the small months and split
     the large ones: no month becomes one task, and no task writes every month.
     """
     months = df.withColumn(MONTH_COLUMN, year_month(F.col(moment)))
-    balanced = months.hint("rebalance", F.col(MONTH_COLUMN))
-    balanced.write.mode("overwrite").partitionBy(MONTH_COLUMN).parquet(path)
+    _replace(months.hint("rebalance", F.col(MONTH_COLUMN)), path, fmt, MONTH_COLUMN)
 
 
-def sink_customers_clean(customers: DataFrame, path: str) -> None:
-    customers.select(*CLEAN_CUSTOMERS.names).write.mode("overwrite").parquet(path)
+def sink_customers_clean(customers: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _replace(customers.select(*CLEAN_CUSTOMERS.names), path, fmt)
 
 
-def sink_orders_rollup(rollup: DataFrame, path: str) -> None:
-    _by_month(rollup.select(*ORDER_ROLLUP.names), "order_date", path)
+def sink_orders_rollup(rollup: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _by_month(rollup.select(*ORDER_ROLLUP.names), "order_date", path, fmt)
 
 
-def sink_orders_lines(lines: DataFrame, path: str) -> None:
-    _by_month(lines.select(*CLEAN_ORDER_LINES.names), "order_date_time", path)
+def sink_orders_lines(lines: DataFrame, path: str, fmt: str = "parquet") -> None:
+    _by_month(lines.select(*CLEAN_ORDER_LINES.names), "order_date_time", path, fmt)

@@ -130,3 +130,15 @@ def load_all(
     staged_orders = _stage_orders(rollup, database, on_null, on_duplicate)
     counts = (staged_customers.swap(spark), staged_orders.swap(spark))
     return spark.createDataFrame([counts], "customers_loaded bigint, orders_loaded bigint")
+
+
+def export_jdbc(spark: SparkSession, database: str, url: str, properties: dict[str, str]) -> None:
+    """Copy both loaded tables to an external database, replacing its rows.
+
+    The target tables are truncated, not dropped, so their keys and indexes
+    stay.  `numPartitions` in the properties bounds the open connections.
+    """
+    options = {**properties, "truncate": "true"}
+    for table in (CUSTOMERS, ORDERS):
+        loaded = spark.table(f"{database}.{table}")
+        loaded.write.jdbc(url, table, mode="overwrite", properties=options)

@@ -8,12 +8,13 @@ from pyspark.sql import types as T
 
 from kpiloom.operators.filters import lookback_filter
 from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
+from kpiloom.sources.raw import CSV_OPTIONS
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        reader = reader.options(header="true", escape='"', enforceSchema="false")
+        reader = reader.options(enforceSchema="false", **CSV_OPTIONS)
     return reader.format(fmt).load(path).select(*schema.names)
 
 

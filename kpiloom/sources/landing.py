@@ -34,6 +34,22 @@ PIECES = {"pathGlobFilter": "*.xml", "lineSep": f"</{ROW_TAG}>"}
 _CORRUPT = "_corrupt"
 
 
+_ORIGIN = [
+    T.StructField(DATE_COLUMN, T.DateType()),
+    T.StructField("source_file", T.StringType()),
+    T.StructField("split_start", T.LongType()),
+    T.StructField("row_number", T.LongType()),
+]
+_STAGED_CUSTOMERS = T.StructType(
+    RAW_CUSTOMERS.fields + [T.StructField("overlong", T.BooleanType())] + _ORIGIN
+)
+STAGED_ORDERS = T.StructType(
+    ORDER_FIELDS.fields
+    + [T.StructField(flag, T.BooleanType()) for flag in ("is_line", "corrupt", "unsplit", "ends")]
+    + _ORIGIN
+)
+
+
 class Batches(NamedTuple):
     """Raw rows of all readable files, and (source_file, ingest_date) of the rest."""
 
@@ -74,7 +90,12 @@ def with_row_number(df: DataFrame) -> DataFrame:
 
 
 def _input_order() -> Column:
-    return F.struct(DATE_COLUMN, "source_file", "split_start", "row_number").alias(INPUT_ORDER)
+    """Where a row stands in the input: four numbers, as every shuffle carries them.
+
+    Days come in order and rows in file order; files of one day in a fixed one.
+    """
+    file = F.xxhash64("source_file").alias("file")
+    return F.struct(DATE_COLUMN, file, "split_start", "row_number").alias(INPUT_ORDER)
 
 
 def _without_files(rows: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -130,19 +151,7 @@ def read_customer_batches(spark: SparkSession, root: str) -> Batches:
     are read once per distinct header, not once per day.
     """
     layouts = _headers(spark, root)
-    empty = spark.createDataFrame(
-        [],
-        T.StructType(
-            RAW_CUSTOMERS.fields
-            + [
-                T.StructField("overlong", T.BooleanType()),
-                T.StructField(DATE_COLUMN, T.DateType()),
-                T.StructField("source_file", T.StringType()),
-                T.StructField("split_start", T.LongType()),
-                T.StructField("row_number", T.LongType()),
-            ]
-        ),
-    )
+    empty = spark.createDataFrame([], _STAGED_CUSTOMERS)
     frames = [_customer_layout(spark, root, header, files) for header, files in layouts.items()]
     staged = materialize(union_batches([empty, *frames]), "raw-customers")
     skipped = materialize(

@@ -6,10 +6,12 @@ remembers it in the stream's checkpoint, and keeps the parsed records in a
 staged parquet folder that the batch cleaning reads.
 """
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from kpiloom.sources.landing import (
     PIECES,
+    STAGED_ORDERS,
     Batches,
     parse_order_pieces,
     settle_orders,
@@ -45,4 +47,10 @@ def stage_new_orders(
 
 def read_staged_orders(spark: SparkSession, root: str, staged: str) -> Batches:
     """The same result as reading every file under ``root`` again."""
-    return settle_orders(spark, root, spark.read.parquet(staged).drop(_BATCH))
+    try:
+        records = spark.read.schema(STAGED_ORDERS).parquet(staged).select(*STAGED_ORDERS.names)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        records = spark.createDataFrame([], STAGED_ORDERS)  # no file has landed yet
+    return settle_orders(spark, root, records)

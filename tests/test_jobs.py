@@ -9,7 +9,12 @@ from kpiloom.operators import kpis, orders
 from kpiloom.plans import dashboard, jobs, report
 from kpiloom.plans.clean import clean_customers, clean_orders
 from kpiloom.sinks import files, tables
-from kpiloom.sources.clean import scan_clean_lines, scan_recent_lines
+from kpiloom.sources.clean import (
+    scan_clean_customers,
+    scan_clean_lines,
+    scan_clean_rollup,
+    scan_recent_lines,
+)
 from test_landing import put
 
 
@@ -113,6 +118,35 @@ def test_written_lines_prune_months(spark, golden, tmp_path, plan):
     assert "order_month" in plan(recent).split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
+def test_csv_round_trip(spark, golden, tmp_path):
+    customers, lines = golden
+    rollup = orders.order_rollup_sum(lines, customers)
+    for name, df, sink, scan in (
+        ("c", customers, files.sink_customers_clean, scan_clean_customers),
+        ("l", lines, files.sink_orders_lines, scan_clean_lines),
+        ("r", rollup, files.sink_orders_rollup, scan_clean_rollup),
+    ):
+        sink(df, str(tmp_path / name), "csv")
+        back = scan(spark, str(tmp_path / name), "csv")
+        assert back.dtypes == df.select(*back.columns).dtypes
+        assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.select(*back.columns).collect()))
+
+
+def test_plain_csv_files_are_typed_by_the_schema(spark, tmp_path):
+    """Files as a single-node tool writes them: a space in times, floats as amounts."""
+    (tmp_path / "r.csv").write_text("order_id,customer_id,order_amount,order_date\nO1,C1,22350.0,2025-10-12\nO2,,5.5,2025-10-13\n")
+    assert [tuple(map(str, r)) for r in scan_clean_rollup(spark, str(tmp_path / "r.csv"), "csv").collect()] == [
+        ("O1", "C1", "22350.00", "2025-10-12"),
+        ("O2", "None", "5.50", "2025-10-13"),
+    ]
+    (tmp_path / "l.csv").write_text(
+        "order_id,mobile_number,order_date_time,sku_id,sku_count,total_amount\nO1,0912,2025-10-12 09:15:32,S,2,7450.0\n"
+    )
+    assert [tuple(map(str, r)) for r in scan_clean_lines(spark, str(tmp_path / "l.csv"), "csv").collect()] == [
+        ("O1", "0912", "2025-10-12 09:15:32", "S", "2", "7450.00")
+    ]
+
+
 # -- tables ----------------------------------------------------------------------
 
 

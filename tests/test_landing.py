@@ -161,6 +161,8 @@ def test_a_large_file_is_cut(spark, tmp_path):
 
 def test_incremental_intake_reads_each_file_once(spark, tmp_path):
     root, staged, checkpoint = tmp_path / "in", str(tmp_path / "staged"), str(tmp_path / "checkpoint")
+    (root / "ingest_date=2025-11-01").mkdir(parents=True)
+    assert orders_of(read_staged_orders(spark, str(root), staged)) == ([], [])
     put(root, "2025-11-01", "orders.xml", orders_xml(LINES[:3]))
     stage_new_orders(spark, str(root), staged, checkpoint)
     put(root, "2025-11-02", "orders.xml", orders_xml(LINES[3:6]))
