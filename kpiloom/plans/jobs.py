@@ -84,10 +84,11 @@ def merge_and_clean_batches(
     orders = read_order_batches(spark, orders_root)
     cleaned_customers = cleaned_orders = None
     if not customers.rows.isEmpty():
-        sink_customers_clean(clean_customers(customers.rows), out.customers)
+        cleaned = clean_customers(customers.rows.drop(DATE_COLUMN))
+        sink_customers_clean(cleaned, out.customers)
         cleaned_customers = scan_clean_customers(spark, out.customers)
     if not orders.rows.isEmpty():
-        sink_orders_lines(clean_orders(orders.rows), out.lines)
+        sink_orders_lines(clean_orders(orders.rows.drop(DATE_COLUMN)), out.lines)
         cleaned_orders = scan_clean_lines(spark, out.lines)
     return batch_summary(customers, orders, cleaned_customers, cleaned_orders)
 

@@ -50,10 +50,16 @@ class _Staged(NamedTuple):
         return f"{self.database}.{self.table}__staged"
 
     def swap(self, spark: SparkSession) -> int:
-        """Replace the table; the row count comes from the written files."""
+        """Put the staged table in the place of the old one and count its rows.
+
+        The old rows are dropped last: at every moment a whole table exists.
+        """
         target = f"{self.database}.{self.table}"
-        spark.sql(f"DROP TABLE IF EXISTS {target}")
+        spark.sql(f"DROP TABLE IF EXISTS {target}__old")
+        if spark.catalog.tableExists(target):
+            spark.sql(f"ALTER TABLE {target} RENAME TO {target}__old")
         spark.sql(f"ALTER TABLE {self.name} RENAME TO {target}")
+        spark.sql(f"DROP TABLE IF EXISTS {target}__old")
         return spark.table(target).count()
 
 

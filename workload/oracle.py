@@ -300,7 +300,7 @@ _BODIES: dict[str, str] = {
     "kpi_report": f"""
   select kpi, key, label, cast(value as double) as value from ({_report('v_lines', 'v_customers_part', 'v_grain')})""",
     "merge_and_clean_batches": _SUMMARY,
-    "run_pipeline": f"""
+    "run_job": f"""
   select 'raw_customers_rows' as title, cast(count(*) as varchar) as value from v_raw_customers
   union all select 'raw_orders_rows', cast(count(*) as varchar) from v_raw_lines
   union all select 'cleaned_customers_rows', cast(count(*) as varchar) from v_clean_customers

@@ -151,7 +151,7 @@ def q_scan_daily_incremental(spark, sf_dir):
 
 @_query
 def q_batch_summary(spark, sf_dir):
-    """The summary of an incremental run: what the stream staged, then cleaned."""
+    """Days and row counts of the landed batches and of their cleaned rows."""
     customers = landing.read_customer_batches(spark, _landed_customers(spark, sf_dir))
     lines = landing.read_order_batches(spark, _landed_orders(spark, sf_dir))
     summary = jobs.batch_summary(
@@ -657,7 +657,7 @@ def q_merge_and_clean_batches(spark, sf_dir):
 
 
 @_query
-def q_run_pipeline(spark, sf_dir):
+def q_run_job(spark, sf_dir):
     """Raw files to clean data, tables and KPIs; one row per figure."""
     result = jobs.run_pipeline(
         spark,
