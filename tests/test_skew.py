@@ -47,6 +47,7 @@ def strategy(spark, request):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
     }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
@@ -124,6 +125,19 @@ def test_hot_number_is_split_in_the_join(frames, strategy, plan, spark):
     assert "skew=true" in plan(df)
 
 
+def test_hot_number_is_split_in_the_rollup(frames, strategy, plan, spark):
+    if strategy == "broadcast":
+        pytest.skip("no shuffle join")
+    lines, _ = frames
+    customers = spark.range(60).selectExpr("concat('C', id) customer_id", "cast(id as string) mobile_number")
+    many = spark.range(40_000).selectExpr(
+        "concat('P', id)", "'1'", "timestamp_ntz '2025-10-01 00:00:00'", "'S'", "1", "cast(1 as decimal(18,2))"
+    )
+    df = orders.order_rollup_sum(lines.unionAll(many), customers)
+    df.collect()
+    assert "skew=true" in plan(df)
+
+
 def test_result_depends_on_neither_order_nor_partitions(spark, frames):
     lines, _ = frames
     results = []
