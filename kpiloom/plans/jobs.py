@@ -19,6 +19,7 @@ from kpiloom.sources.landing import (
     read_customer_batches,
     read_order_batches,
 )
+from kpiloom.streaming.intake import read_staged_orders, stage_new_orders
 
 
 class CleanPaths(NamedTuple):
@@ -73,15 +74,13 @@ def batch_summary(
     return merged.agg(F.array_sort(F.collect_set("day")).alias("partitions"), *sums)
 
 
-def merge_and_clean_batches(
-    spark: SparkSession, customers_root: str, orders_root: str, out: CleanPaths
+def clean_batches(
+    spark: SparkSession, customers: Batches, orders: Batches, out: CleanPaths
 ) -> DataFrame:
-    """Read all days, clean both datasets, write them, and return the summary.
+    """Clean both datasets, write them, and return the summary.
 
     A kind of data that no day delivered leaves its clean dataset as it was.
     """
-    customers = read_customer_batches(spark, customers_root)
-    orders = read_order_batches(spark, orders_root)
     cleaned_customers = cleaned_orders = None
     if not customers.rows.isEmpty():
         cleaned = clean_customers(customers.rows.drop(DATE_COLUMN))
@@ -93,6 +92,27 @@ def merge_and_clean_batches(
     return batch_summary(customers, orders, cleaned_customers, cleaned_orders)
 
 
+def merge_and_clean_batches(
+    spark: SparkSession, customers_root: str, orders_root: str, out: CleanPaths
+) -> DataFrame:
+    """Read all days, clean both datasets, write them, and return the summary."""
+    customers = read_customer_batches(spark, customers_root)
+    return clean_batches(spark, customers, read_order_batches(spark, orders_root), out)
+
+
+def merge_new_batches(
+    spark: SparkSession, customers_root: str, orders_root: str, intake: str, out: CleanPaths
+) -> DataFrame:
+    """The same result, with only the order files landed since the last call parsed.
+
+    ``intake`` is a folder that keeps the parsed records and the stream's memory.
+    """
+    staged = f"{intake}/staged"
+    stage_new_orders(spark, orders_root, staged, f"{intake}/checkpoint")
+    customers = read_customer_batches(spark, customers_root)
+    return clean_batches(spark, customers, read_staged_orders(spark, orders_root, staged), out)
+
+
 def run_pipeline(
     spark: SparkSession,
     customers_root: str,

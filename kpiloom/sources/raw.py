@@ -47,9 +47,11 @@ def scan_customers_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def scan_orders_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Order lines from XML, one task per file.
+    """Order lines from XML, one task per file; a malformed file fails the scan.
 
-    ``landing.read_order_batches`` also splits files too large for one task.
+    ``landing.read_order_batches`` skips and reports such a file instead, and
+    splits files too large for one task.
     """
-    reader = spark.read.format("xml").option("rowTag", ROW_TAG).schema(ORDER_FIELDS)
-    return resolve_amount(blank_missing(reader.load(path), ORDER_FIELDS.names))
+    reader = spark.read.format("xml").options(rowTag=ROW_TAG, mode="FAILFAST")
+    lines = reader.schema(ORDER_FIELDS).load(path)
+    return resolve_amount(blank_missing(lines, ORDER_FIELDS.names))

@@ -192,6 +192,19 @@ def test_pipeline_from_raw_files(spark, tmp_path, database):
     assert {tuple(r) for r in result.report.collect()} == GOLDEN_REPORT
 
 
+def test_merge_of_new_files_equals_merge_of_all(spark, tmp_path):
+    root = str(tmp_path / "in")
+    out, full = (jobs.CleanPaths.under(str(tmp_path / name)) for name in ("out", "full"))
+    put(tmp_path / "in", "2025-11-01", "customers.csv", customers_csv())
+    for day, lines in (("2025-11-01", LINES[:6]), ("2025-11-02", LINES[4:])):
+        put(tmp_path / "in", day, "orders.xml", orders_xml(lines))
+        summary = jobs.merge_new_batches(spark, root, root, str(tmp_path / "intake"), out)
+        want = jobs.merge_and_clean_batches(spark, root, root, full)
+        assert tuple(summary.first()) == tuple(want.first())
+        got, all_lines = (sorted(map(tuple, scan_clean_lines(spark, p.lines).collect())) for p in (out, full))
+        assert got == all_lines
+
+
 def test_merge_without_orders(spark, tmp_path):
     put(tmp_path / "in", "2025-11-01", "customers.csv", customers_csv())
     root = str(tmp_path / "in")

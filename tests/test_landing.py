@@ -79,6 +79,15 @@ def test_plain_scan_refuses_a_reordered_header(spark, tmp_path):
         raw.scan_customers_csv(spark, str(path)).collect()
 
 
+def test_plain_scan_fails_on_a_malformed_file(spark, tmp_path):
+    path = tmp_path / "o.xml"
+    path.write_text(orders_xml(LINES[:3]))
+    assert raw.scan_orders_xml(spark, str(path)).count() == 3
+    path.write_text(orders_xml(LINES[:3])[:-60])
+    with pytest.raises(Exception, match="(?i)malformed"):
+        raw.scan_orders_xml(spark, str(path)).collect()
+
+
 # -- order lines -----------------------------------------------------------------
 
 
