@@ -4,21 +4,79 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kpiloom.llm import jaccard
+from kpiloom.llm import decontaminate, jaccard, mixing, quality, tokens
 from kpiloom.llm.tables import read
 
-WORD = r"[^\x20\x09-\x0D]+"
+END_ID = 2
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = quality.held_out(F.col("doc_id"))
+    weights = quality.fit(docs, read(spark, sf_dir, "labels"), ~held_out)
+    scored = quality.scores(docs, weights)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = tokens.write(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+    return tokens.read(manifest)
+
+
+def op9_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_ngram_jaccard_join,)
+    for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_quality_classifier, op7_token_files, op9_mixing_to_weights)
 }
 
-ORACLE: dict[str, str] = {}
+_FOLDED_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+ORACLE: dict[str, str] = {
+    "op5_benchmark_decontamination": f"""
+        with d as (select row_number() over () as row, doc_id, {_FOLDED_WORDS} as w from documents),
+        ds as (select distinct row, doc_id, array_to_string(w[k:k+4], ' ') as s
+               from (select *, unnest(range(1, len(w) - 3)) as k from d)),
+        i as (select row_number() over () as irow, item_id, {_FOLDED_WORDS} as w from benchmark),
+        i_s as (select distinct irow, item_id, array_to_string(w[k:k+4], ' ') as s
+               from (select *, unnest(range(1, len(w) - 3)) as k from i)),
+        sizes as (select irow, count(*) as n_item from i_s group by irow),
+        shared as (select row, any_value(doc_id) as doc_id, irow, any_value(item_id) as item_id, count(*) as n_shared
+                   from ds join i_s using (s) group by row, irow)
+        select doc_id, item_id, n_shared, n_item, n_shared / n_item as containment
+        from shared join sizes using (irow) where 100 * n_shared >= 80 * n_item""",
+    "op9_mixing_to_weights": r"""
+        with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+                          ('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')), 1, 15))::bigint as place
+                   from documents),
+        s as (select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as rank from d group by source),
+        w as (select *, 2 * source_size as cap, case rank % 3 when 0 then 3 when 1 then 1 else 2 end as weight from s),
+        l as (select *, cap * (6 // weight) as stop from w),
+        r as (select *, sum(source_size) over () * 150 / 100.0::double as budget,
+                     coalesce(sum(cap) over (order by stop, rank rows between unbounded preceding and 1 preceding), 0) as capped,
+                     sum(weight) over (order by stop, rank rows between current row and unbounded following) as weights from l),
+        f as (select *, stop * weights <= (budget - capped) * 6 as stopped from r),
+        t as (select source, source_size, case when stopped then cap::double
+                     else weight * (budget - coalesce(sum(cap) filter (stopped) over (), 0)) / sum(weight) filter (not stopped) over () end as target from f),
+        p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from t),
+        q as (select d.doc_id, d.source, d.size, p.source_size, p.target, p.passes, p.target - p.passes * p.source_size as rest, place
+              from d join p on d.source is not distinct from p.source),
+        c as (select *, sum(size) over (partition by source order by place) as upto, sum(size) over (partition by source, place) as held from q)
+        select doc_id, source, size::bigint as size, source_size, target,
+               (size * (passes + case when upto <= rest or (upto - held <= rest and upto - rest < rest - (upto - held)) then 1 else 0 end))::bigint as taken
+        from c""",
+}

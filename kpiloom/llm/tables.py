@@ -46,3 +46,11 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
