@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import decontaminate, jaccard, mixing, quality, tokens
+from kpiloom.llm import decontaminate, jaccard, lines, merkle, mixing, quality, sanitise, tokens
 from kpiloom.llm.tables import read
 
 END_ID = 2
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.fingerprints_with_edit(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -35,18 +39,74 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(manifest)
 
 
+def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.spans(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(sanitise.KINDS)]
+    base = sanitise.span_text(F.col("spans"))
+    terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit(sanitise.TERM), t["start"].cast("string"), t["end"].cast("string")))
+    every = F.array_join(F.concat(F.when(base == "", F.array().cast("array<string>")).otherwise(F.array(base)), terms), ",")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), F.size("terms").cast("long").alias("n_term"))
+
+
 def op9_mixing_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.without_repeated_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op4_ngram_jaccard_join, op5_benchmark_decontamination, op6_quality_classifier, op7_token_files, op9_mixing_to_weights)
+    for f in (
+        op1_document_fingerprints,
+        op4_ngram_jaccard_join,
+        op5_benchmark_decontamination,
+        op6_quality_classifier,
+        op7_token_files,
+        op8_pii_sanitisation,
+        op9_mixing_to_weights,
+        op10_line_dedup,
+    )
 }
 
 _FOLDED_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
+def _tree(text: str) -> str:
+    """SQL for the paragraphs' nodes and the root of a text."""
+    nodes = f"list_transform(string_split({text}, chr(10)), lambda p: sha256(p))"
+    marked = f"regexp_replace('<' || array_to_string({nodes}, '><') || '>', '(<[01][0-9a-f]*>)', '\\1|', 'g')"
+    return f"sha256(array_to_string(list_transform(string_split(regexp_replace({marked}, '\\|$', ''), '|'), lambda s: sha256(s)), ''))"
+
+
 ORACLE: dict[str, str] = {
+    "op1_document_fingerprints": rf"""
+        with n as (select doc_id, coalesce(text, '') as text,
+                          coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as next_text
+                   from documents),
+        e as (select *, length(text) as n, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) as edited from n),
+        t as (select *, {_tree("text")} as fingerprint, {_tree("edited")} as edited_fingerprint, {_tree("next_text")} as next_fingerprint,
+                     list_distinct(regexp_extract_all(text, '{merkle.LEAF}')) as a, list_distinct(regexp_extract_all(edited, '{merkle.LEAF}')) as b,
+                     list_distinct(regexp_extract_all(next_text, '{merkle.LEAF}')) as c,
+                     string_split(text, chr(10)) as p, string_split(edited, chr(10)) as q from e)
+        select doc_id, n::bigint as n_chars, sha256(edited) as edited_sha256, fingerprint, edited_fingerprint,
+               (2 * (len(list_intersect(a, b)) + (fingerprint = edited_fingerprint)::int))::double / (len(a) + len(b) + 2) as near_edited,
+               (2 * (len(list_intersect(a, c)) + (fingerprint = next_fingerprint)::int))::double / (len(a) + len(c) + 2) as near_next,
+               len(string_split(regexp_replace(regexp_replace('<' || array_to_string(list_transform(p, lambda x: sha256(x)), '><') || '>', '(<[01][0-9a-f]*>)', '\1|', 'g'), '\|$', ''), '|'))::int as n_sections,
+               len(p)::int as n_paragraphs,
+               coalesce(list_position(list_transform(range(1, greatest(len(p), len(q)) + 1), lambda i: p[i] is distinct from q[i]), true), 0)::bigint as first_change
+        from t""",
+    "op10_line_dedup": """
+        with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+        w as (select doc_id, l, unnest(range(1, len(l) - 1)) as p from d),
+        r as (select doc_id, p, row_number() over (partition by array_to_string(l[p:p+2], chr(10)) order by doc_id, p) as nth from w),
+        gone as (select distinct doc_id, p + unnest([0, 1, 2]) as p from r where nth > 1),
+        every as (select doc_id, l, unnest(range(1, len(l) + 1)) as p from d),
+        kept as (select doc_id, string_agg(l[p], chr(10) order by p) as text from every anti join gone using (doc_id, p) group by doc_id),
+        removed as (select doc_id, count(*) as n from gone group by doc_id)
+        select doc_id, len(l)::bigint as n_lines, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+        from d left join kept using (doc_id) left join removed using (doc_id)""",
     "op5_benchmark_decontamination": f"""
         with d as (select row_number() over () as row, doc_id, {_FOLDED_WORDS} as w from documents),
         ds as (select distinct row, doc_id, array_to_string(w[k:k+4], ' ') as s
