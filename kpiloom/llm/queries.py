@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import decontaminate, jaccard, lines, merkle, mixing, quality, sanitise, tokens
+from kpiloom.llm import chains, decontaminate, jaccard, lines, merkle, mixing, quality, sanitise, suffixes, tokens
 from kpiloom.llm.tables import read
 
 END_ID = 2
@@ -18,6 +18,14 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.fingerprints_with_edit(read(spark, sf_dir, "documents"))
 
 
+def op2_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.passages(read(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(read(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_document_fingerprints,
+        op2_collinear_passages,
+        op3_suffix_dedup,
         op4_ngram_jaccard_join,
         op5_benchmark_decontamination,
         op6_quality_classifier,
