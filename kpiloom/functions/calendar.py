@@ -1,5 +1,7 @@
 """Calendar buckets."""
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -8,6 +10,11 @@ LANDING_ZONE = "Asia/Kolkata"
 MONTH_FORMAT = "yyyy-MM"
 
 
+def utc_moment(moment: datetime) -> datetime:
+    """The same moment without a zone, in UTC; one without a zone is UTC already."""
+    return moment if moment.tzinfo is None else moment.astimezone(UTC).replace(tzinfo=None)
+
+
 def year_month(moment: Column) -> Column:
     return F.date_format(moment, MONTH_FORMAT)
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kpiloom.functions import safe_amount
+from kpiloom.functions.calendar import utc_moment
 from kpiloom.schemas import MONEY
 
 
@@ -54,7 +55,7 @@ def amount_column_fallback(lines: DataFrame) -> DataFrame:
 
 def is_recent(moment: str, as_of: datetime, days: int = 30) -> Column:
     """True from exactly ``days`` before ``as_of`` on."""
-    cutoff = (as_of - timedelta(days=days)).isoformat(sep=" ")
+    cutoff = (utc_moment(as_of) - timedelta(days=days)).isoformat(sep=" ")
     return F.col(moment) >= F.lit(cutoff).cast("timestamp_ntz")
 
 

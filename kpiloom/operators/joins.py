@@ -29,6 +29,22 @@ def join_customers(orders: DataFrame, customers: DataFrame, how: str = "left") -
     return left.join(right, MOBILE, how)
 
 
+def number_owners(customers: DataFrame, shared_number: str = "each") -> DataFrame:
+    """The customers that a number counts for.
+
+    ``each``: all that have it, so an order on a shared number counts for each
+    of them.  ``once``: the one with the least id (then the least of the other
+    columns), so every order counts once.
+    """
+    if shared_number not in ("each", "once"):
+        raise ValueError(f"shared_number must be 'each' or 'once', not {shared_number!r}")
+    if shared_number == "each":
+        return customers
+    rest = ["customer_id", *[c for c in customers.columns if c not in (MOBILE, "customer_id")]]
+    owner = F.min(F.struct(*[c for c in rest if c in customers.columns])).alias("owner")
+    return customers.groupBy(MOBILE).agg(owner).select(MOBILE, "owner.*").select(*customers.columns)
+
+
 def join_totals(totals: DataFrame, customers: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     """Totals per mobile number with their customers.
 

@@ -19,7 +19,8 @@ from kpiloom.operators.filters import (
     sort_desc_amount,
     top_k,
 )
-from kpiloom.operators.joins import MOBILE, join_totals
+from kpiloom.operators.joins import MOBILE, join_totals, number_owners
+from kpiloom.operators.orders import order_grain
 
 
 def _known_customers(df: DataFrame, keep_unmatched: bool) -> DataFrame:
@@ -95,17 +96,22 @@ def daily_orders_filled(rollup: DataFrame) -> DataFrame:
 
     Each day also emits the empty days up to the next one, so the orders are
     read once.  The window sees one row per calendar day, whatever the volume.
+    A gap is emitted month by month, so no array is longer than a month or than
+    the months of the calendar that timestamps cover.
     """
     per_day = rollup.groupBy(F.to_date("order_date").alias("day")).agg(
         F.count(F.lit(1)).alias("orders")
     )
     following = F.lead("day").over(Window.orderBy("day"))
-    span = F.sequence("day", F.coalesce(F.date_sub(following, 1), F.col("day")))
+    last = F.coalesce(F.date_sub(following, 1), F.col("day"))
+    months = F.sequence(F.trunc("day", "month"), F.trunc("last", "month"), F.expr("interval 1 month"))
+    days = F.sequence(F.greatest("day", "month"), F.least("last", F.last_day("month")))
     filled = (
         per_day.filter(F.col("day").isNotNull())
-        .select("orders", span.alias("span"))
-        .select("orders", F.posexplode("span").alias("offset", "day"))
-        .select("day", F.when(F.col("offset") == 0, F.col("orders")).otherwise(0).alias("orders"))
+        .select("day", "orders", last.alias("last"))
+        .select("day", "orders", "last", F.explode(months).alias("month"))
+        .select(F.col("day").alias("ordered"), "orders", F.explode(days).alias("day"))
+        .select("day", F.when(F.col("day") == F.col("ordered"), F.col("orders")).otherwise(0).alias("orders"))
     )
     return sort_asc_period(filled, "day")
 
@@ -159,11 +165,15 @@ def number_totals(grain: DataFrame, *extra: Column) -> DataFrame:
 
 
 def region_revenue(
-    grain: DataFrame, customers: DataFrame, keep_unmatched: bool = False
+    grain: DataFrame,
+    customers: DataFrame,
+    keep_unmatched: bool = False,
+    shared_number: str = "each",
 ) -> DataFrame:
     """Revenue per region at order grain, greatest first."""
     totals = number_totals(grain).select(MOBILE, "amount")
-    joined = join_totals(totals, customers.select(MOBILE, "region"), keep_unmatched)
+    who = number_owners(customers, shared_number).select(MOBILE, "region")
+    joined = join_totals(totals, who, keep_unmatched)
     known = joined if keep_unmatched else joined.filter(F.col("region").isNotNull())
     per_region = known.groupBy("region").agg(zero_if_null(F.sum("amount")).alias("revenue"))
     return sort_desc_amount(per_region, "revenue", "region").select(
@@ -172,34 +182,71 @@ def region_revenue(
 
 
 def repeat_customers(
-    grain: DataFrame, customers: DataFrame, keep_unmatched: bool = False
+    lines: DataFrame,
+    customers: DataFrame,
+    keep_unmatched: bool = False,
+    shared_number: str = "each",
 ) -> DataFrame:
-    """Customers with more than one order, with the number of their orders."""
-    totals = number_totals(grain).select(MOBILE, "order_count")
-    pairs = customers.select(MOBILE, "customer_id").distinct()
-    joined = join_totals(totals, pairs, keep_unmatched)
-    per_customer = joined.groupBy("customer_id").agg(F.sum("order_count").alias("order_count"))
-    return having_min_orders(per_customer)
+    """Customers with more than one order, with the number of their orders.
+
+    Counts distinct orders over the lines: an order with lines on two numbers
+    counts for the customers of both.  The lines are combined to (order, number)
+    pairs before they are shuffled.  Given the order grain instead, an order
+    counts for its one number.
+    """
+    pairs = lines.select("order_id", MOBILE).distinct()
+    who = number_owners(customers, shared_number).select(MOBILE, "customer_id").distinct()
+    joined = join_totals(pairs, who, keep_unmatched)
+    ordered = joined.select("customer_id", "order_id").distinct()
+    return having_min_orders(ordered.groupBy("customer_id").agg(F.count(F.lit(1)).alias("order_count")))
 
 
 def repeat_customer_count(
-    grain: DataFrame, customers: DataFrame, keep_unmatched: bool = False
+    lines: DataFrame,
+    customers: DataFrame,
+    keep_unmatched: bool = False,
+    shared_number: str = "each",
 ) -> DataFrame:
-    repeated = repeat_customers(grain, customers, keep_unmatched)
+    repeated = repeat_customers(lines, customers, keep_unmatched, shared_number)
     return repeated.agg(F.count(F.lit(1)).alias("repeat_customer_count"))
 
 
 def top_spenders(
+    lines: DataFrame,
+    customers: DataFrame,
+    as_of: datetime,
+    days: int = 30,
+    grain: str = "max",
+    keep_unmatched: bool = False,
+    shared_number: str = "each",
+) -> DataFrame:
+    """Spend per customer over the lines of the last days, greatest first.
+
+    The look-back applies to the lines, so that it reaches the scan and prunes
+    month folders.  ``spenders_of_grain`` applies it to whole orders instead.
+    """
+    recent = lines.filter(is_recent("order_date_time", as_of, days))
+    return _spend(order_grain(recent, grain), customers, keep_unmatched, shared_number)
+
+
+def spenders_of_grain(
     grain: DataFrame,
     customers: DataFrame,
     as_of: datetime,
     days: int = 30,
     keep_unmatched: bool = False,
+    shared_number: str = "each",
 ) -> DataFrame:
-    """Spend per customer over the orders of the last days, greatest first."""
+    """Spend per customer over the orders whose latest line is of the last days."""
     recent = grain.filter(is_recent("order_date_time", as_of, days))
-    totals = number_totals(recent).select(MOBILE, "amount")
-    who = customers.select(MOBILE, "customer_id", "customer_name")
+    return _spend(recent, customers, keep_unmatched, shared_number)
+
+
+def _spend(
+    grain: DataFrame, customers: DataFrame, keep_unmatched: bool, shared_number: str
+) -> DataFrame:
+    totals = number_totals(grain).select(MOBILE, "amount")
+    who = number_owners(customers, shared_number).select(MOBILE, "customer_id", "customer_name")
     joined = join_totals(totals, who, keep_unmatched)
     spend = joined.groupBy("customer_id", "customer_name").agg(
         zero_if_null(F.sum("amount")).alias("amount")

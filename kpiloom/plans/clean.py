@@ -14,13 +14,16 @@ from kpiloom.operators.filters import (
 
 
 def _blank_mobile(df: DataFrame, policy: str) -> DataFrame:
-    """A number without any digit cleans to ''; keep it as a key or reject it."""
+    """A number without any digit cleans to ''; reject it, or keep it as a key.
+
+    Kept, every such customer meets every such order.
+    """
     if policy not in ("keep", "reject"):
         raise ValueError(f"blank_mobile must be 'keep' or 'reject', not {policy!r}")
     return df if policy == "keep" else df.filter(F.col("mobile_number") != "")
 
 
-def clean_customers(raw: DataFrame, blank_mobile: str = "keep") -> DataFrame:
+def clean_customers(raw: DataFrame, blank_mobile: str = "reject") -> DataFrame:
     """Keyed customers with tidy names and digits-only numbers, one row per key."""
     tidy = drop_null_customer_keys(raw).withColumns(
         {
@@ -32,7 +35,7 @@ def clean_customers(raw: DataFrame, blank_mobile: str = "keep") -> DataFrame:
     return dedupe_customers(_blank_mobile(tidy, blank_mobile))
 
 
-def clean_orders(raw: DataFrame, blank_mobile: str = "keep") -> DataFrame:
+def clean_orders(raw: DataFrame, blank_mobile: str = "reject") -> DataFrame:
     """Keyed, typed order lines, one row per order and SKU."""
     tidy = drop_null_order_keys(raw).withColumns(
         {

@@ -6,6 +6,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kpiloom.functions import digits_only, safe_timestamp
 from kpiloom.operators.orders import order_rollup_sum
 from kpiloom.plans.clean import clean_customers, clean_orders
 from kpiloom.plans.dashboard import kpi_bundle
@@ -39,6 +40,14 @@ class PipelineResult(NamedTuple):
     load: DataFrame
     kpis: DataFrame
     report: DataFrame
+    skipped: DataFrame
+
+
+class Cleaning(NamedTuple):
+    """How raw rows are cleaned, and what becomes of files that cannot be read."""
+
+    blank_mobile: str = "reject"
+    on_bad_file: str = "skip"
 
 
 def batch_summary(
@@ -47,35 +56,51 @@ def batch_summary(
     cleaned_customers: DataFrame | None,
     cleaned_orders: DataFrame | None,
 ) -> DataFrame:
-    """One row: the days seen, and the raw and cleaned row counts (zero if none)."""
-    days = [
-        part.select(F.col(DATE_COLUMN).cast("string").alias("day"))
+    """One row: the days read, raw and cleaned row counts (zero if none), and what was
+    left out: files skipped whole, rows whose number has no digit, and lines whose
+    time does not parse or lies outside the range of timestamps.
+
+    The day of a file that was skipped is not a day read, unless another file
+    of that day was.
+    """
+    blank = F.count_if(digits_only(F.col("mobile_number")) == "")
+    moment = F.col("order_date_time")
+    unparsed = F.count_if(moment.isNotNull() & safe_timestamp(moment).isNull())
+    rows = F.count(F.lit(1))
+    counted = [
+        (customers.rows, {"raw_customers_rows": rows, "blank_mobile_rows": blank}),
+        (orders.rows, {"raw_orders_rows": rows, "blank_mobile_rows": blank, "unparsed_date_rows": unparsed}),
+        (cleaned_customers, {"cleaned_customers_rows": rows}),
+        (cleaned_orders, {"cleaned_orders_rows": rows}),
+        (customers.skipped, {"skipped_files": rows}),
+        (orders.skipped, {"skipped_files": rows}),
+    ]
+    parts = [
+        batches.rows.select(F.col(DATE_COLUMN).cast("string").alias("day"))
+        .distinct().select("day", F.lit("").alias("count_of"), F.lit(0).cast("bigint").alias("n"))
         for batches in (customers, orders)
-        for part in batches
     ]
-    counted = {
-        "raw_customers_rows": customers.rows,
-        "raw_orders_rows": orders.rows,
-        "cleaned_customers_rows": cleaned_customers,
-        "cleaned_orders_rows": cleaned_orders,
-    }
-    parts = [d.distinct().select("day", F.lit("").alias("count_of"), F.lit(0).alias("n")) for d in days]
-    for name, df in counted.items():
+    for df, counts in counted:
         if df is not None:
-            total = df.agg(F.count(F.lit(1)).alias("n"))
-            parts.append(total.select(F.lit(None).cast("string").alias("day"), F.lit(name).alias("count_of"), "n"))
+            totals = df.agg(*[count.alias(name) for name, count in counts.items()])
+            pairs = [F.struct(F.lit(name).alias("count_of"), F.col(name).cast("bigint").alias("n")) for name in counts]
+            parts.append(totals.select(F.inline(F.array(*pairs))).select(F.lit(None).cast("string").alias("day"), "count_of", "n"))
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part)
+    names = (
+        "raw_customers_rows", "raw_orders_rows", "cleaned_customers_rows", "cleaned_orders_rows",
+        "skipped_files", "blank_mobile_rows", "unparsed_date_rows",
+    )
     sums = [
         F.coalesce(F.sum(F.when(F.col("count_of") == name, F.col("n"))), F.lit(0)).alias(name)
-        for name in counted
+        for name in names
     ]
     return merged.agg(F.array_sort(F.collect_set("day")).alias("partitions"), *sums)
 
 
 def clean_batches(
-    spark: SparkSession, customers: Batches, orders: Batches, out: CleanPaths
+    spark: SparkSession, customers: Batches, orders: Batches, out: CleanPaths, blank_mobile: str = "reject"
 ) -> DataFrame:
     """Clean both datasets, write them, and return the summary.
 
@@ -83,34 +108,49 @@ def clean_batches(
     """
     cleaned_customers = cleaned_orders = None
     if not customers.rows.isEmpty():
-        cleaned = clean_customers(customers.rows.drop(DATE_COLUMN))
+        cleaned = clean_customers(customers.rows.drop(DATE_COLUMN), blank_mobile)
         sink_customers_clean(cleaned, out.customers)
         cleaned_customers = scan_clean_customers(spark, out.customers)
     if not orders.rows.isEmpty():
-        sink_orders_lines(clean_orders(orders.rows.drop(DATE_COLUMN)), out.lines)
+        sink_orders_lines(clean_orders(orders.rows.drop(DATE_COLUMN), blank_mobile), out.lines)
         cleaned_orders = scan_clean_lines(spark, out.lines)
     return batch_summary(customers, orders, cleaned_customers, cleaned_orders)
 
 
+def _merged(
+    spark: SparkSession, customers_root: str, orders_root: str, out: CleanPaths, cleaning: Cleaning, intake: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """The summary, and (source_file, ingest_date) of the files that were skipped."""
+    customers = read_customer_batches(spark, customers_root, cleaning.on_bad_file)
+    if intake is None:
+        orders = read_order_batches(spark, orders_root, cleaning.on_bad_file)
+    else:
+        stage_new_orders(spark, orders_root, intake)
+        orders = read_staged_orders(spark, orders_root, intake, cleaning.on_bad_file)
+    summary = clean_batches(spark, customers, orders, out, cleaning.blank_mobile)
+    return summary, customers.skipped.unionByName(orders.skipped)
+
+
 def merge_and_clean_batches(
-    spark: SparkSession, customers_root: str, orders_root: str, out: CleanPaths
+    spark: SparkSession, customers_root: str, orders_root: str, out: CleanPaths, cleaning: Cleaning = Cleaning()
 ) -> DataFrame:
     """Read all days, clean both datasets, write them, and return the summary."""
-    customers = read_customer_batches(spark, customers_root)
-    return clean_batches(spark, customers, read_order_batches(spark, orders_root), out)
+    return _merged(spark, customers_root, orders_root, out, cleaning, None)[0]
 
 
 def merge_new_batches(
-    spark: SparkSession, customers_root: str, orders_root: str, intake: str, out: CleanPaths
+    spark: SparkSession,
+    customers_root: str,
+    orders_root: str,
+    intake: str,
+    out: CleanPaths,
+    cleaning: Cleaning = Cleaning(),
 ) -> DataFrame:
-    """The same result, with only the order files landed since the last call parsed.
+    """The same result, with only the order files that are new since the last call parsed.
 
-    ``intake`` is a folder that keeps the parsed records and the stream's memory.
+    ``intake`` is a folder that keeps the parsed records and their ledger.
     """
-    staged = f"{intake}/staged"
-    stage_new_orders(spark, orders_root, staged, f"{intake}/checkpoint")
-    customers = read_customer_batches(spark, customers_root)
-    return clean_batches(spark, customers, read_staged_orders(spark, orders_root, staged), out)
+    return _merged(spark, customers_root, orders_root, out, cleaning, intake)[0]
 
 
 def run_pipeline(
@@ -121,16 +161,25 @@ def run_pipeline(
     database: str,
     as_of: datetime,
     on_null: str = "fail",
+    on_duplicate: str = "fail",
+    grain: str = "max",
+    days: int = 30,
+    keep_unmatched: bool = False,
+    shared_number: str = "each",
+    cleaning: Cleaning = Cleaning(),
+    intake: str | None = None,
 ) -> PipelineResult:
     """Clean, roll up, load and report in order; any failing step fails the job.
 
-    Each step starts from the written result of the step before it.
+    Each step starts from the written result of the step before it.  With
+    ``intake``, only order files that are new since the last run are parsed.
     """
-    summary = merge_and_clean_batches(spark, customers_root, orders_root, out)
+    summary, skipped = _merged(spark, customers_root, orders_root, out, cleaning, intake)
     customers = scan_clean_customers(spark, out.customers)
     lines = scan_clean_lines(spark, out.lines)
     sink_orders_rollup(order_rollup_sum(lines, customers), out.rollup)
     rollup = scan_clean_rollup(spark, out.rollup)
-    loaded = load_all(customers, rollup, database, on_null=on_null)
+    loaded = load_all(customers, rollup, database, on_null=on_null, on_duplicate=on_duplicate)
     bundle = kpi_bundle(spark.table(f"{database}.{CUSTOMERS}"), spark.table(f"{database}.{ORDERS}"))
-    return PipelineResult(summary, loaded, bundle, kpi_report(lines, customers, as_of))
+    report = kpi_report(lines, customers, as_of, days, grain, keep_unmatched, shared_number)
+    return PipelineResult(summary, loaded, bundle, report, skipped)

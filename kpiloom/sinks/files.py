@@ -1,4 +1,8 @@
-"""Clean datasets as folders, replaced as a whole: parquet, or CSV for export."""
+"""Clean datasets as folders, replaced as a whole: parquet, or CSV for export.
+
+Each write makes a new version beside the old one, and readers take the last
+complete version.  A write that fails leaves the old data as they were.
+"""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -6,12 +10,14 @@ from pyspark.sql import functions as F
 from kpiloom.functions import year_month
 from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
 from kpiloom.sources.raw import CSV_OPTIONS
+from kpiloom.staging import expire_versions, new_version
 
 
 def _replace(df: DataFrame, path: str, fmt: str, *folders: str) -> None:
     options = CSV_OPTIONS if fmt == "csv" else {}
-    writer = df.write.mode("overwrite").options(**options).format(fmt)
-    (writer.partitionBy(*folders) if folders else writer).save(path)
+    writer = df.write.mode("errorifexists").options(**options).format(fmt)
+    (writer.partitionBy(*folders) if folders else writer).save(new_version(path))
+    expire_versions(df.sparkSession, path)
 
 
 def _by_month(df: DataFrame, moment: str, path: str, fmt: str) -> None:

@@ -1,7 +1,8 @@
 """Full reload of the tables `customers` and `orders`.
 
-Spark commits one table at a time.  A load therefore writes and checks a staged
-table first and swaps it in last, so a failing load leaves the old rows alone.
+A load writes a new version in a folder of its own, checks it, and points the
+table at it last.  So a load that fails, at any step, leaves the old rows alone,
+and at every moment the table is whole.
 """
 
 from typing import NamedTuple
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from kpiloom.functions import parse_iso_date
 from kpiloom.operators.filters import require_columns
 from kpiloom.schemas import CUSTOMERS_TABLE, MONEY, ORDERS_TABLE
+from kpiloom.staging import expire_versions, new_version, remove
 
 # The names of the two tables.
 CUSTOMERS = "customers"
@@ -42,45 +44,52 @@ def cast_load_types(rollup: DataFrame) -> DataFrame:
 
 
 class _Staged(NamedTuple):
+    """A checked version of a table that nothing refers to yet."""
+
     database: str
     table: str
+    path: str
 
-    @property
-    def name(self) -> str:
-        return f"{self.database}.{self.table}__staged"
-
-    def swap(self, spark: SparkSession) -> int:
-        """Put the staged table in the place of the old one and count its rows.
+    def switch(self, spark: SparkSession) -> int:
+        """Point the table at the new version, in one step, and count its rows.
 
-        The old rows are dropped last: at every moment a whole table exists.
+        Before it the table has all its old rows, after it all its new ones.
         """
         target = f"{self.database}.{self.table}"
-        spark.sql(f"DROP TABLE IF EXISTS {target}__old")
-        if spark.catalog.tableExists(target):
-            spark.sql(f"ALTER TABLE {target} RENAME TO {target}__old")
-        spark.sql(f"ALTER TABLE {self.name} RENAME TO {target}")
-        spark.sql(f"DROP TABLE IF EXISTS {target}__old")
+        spark.sql(f"ALTER TABLE {target} SET LOCATION '{self.path}'")
+        spark.catalog.refreshTable(target)
+        expire_versions(spark, _versions_of(spark, self.database, self.table))
         return spark.table(target).count()
 
 
+def _versions_of(spark: SparkSession, database: str, table: str) -> str:
+    """The folder that holds the versions of a table."""
+    return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{table}_versions"
+
+
 def _stage(
     df: DataFrame, database: str, table: str, schema: T.StructType, key: str, required: list[str],
     on_duplicate: str,
 ) -> _Staged:
-    """Write the staged table and check it: no NULL where required, unique key."""
+    """Write a new version and check it: no NULL where required, unique key."""
     spark = df.sparkSession
-    staged = _Staged(database, table)
-    df.select(*schema.names).write.mode("overwrite").format("parquet").saveAsTable(staged.name)
-    written = spark.table(staged.name)
-    nulls = written.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
-    broken = {c: nulls[c] for c in required if nulls[c]}
-    if broken:
-        raise LoadError(f"{table}: rows without a required value: {broken}")
-    if on_duplicate == "fail":
-        repeated = written.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        if not repeated.isEmpty():
-            raise LoadError(f"{table}: {key} is not unique")
-    return staged
+    ensure_tables(spark, database)
+    path = new_version(_versions_of(spark, database, table))
+    df.select(*schema.names).write.parquet(path)
+    try:
+        written = spark.read.schema(schema).parquet(path)
+        nulls = written.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
+        broken = {c: nulls[c] for c in required if nulls[c]}
+        if broken:
+            raise LoadError(f"{table}: rows without a required value: {broken}")
+        if on_duplicate == "fail":
+            repeated = written.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+            if not repeated.isEmpty():
+                raise LoadError(f"{table}: {key} is not unique")
+    except LoadError:
+        remove(spark, path)
+        raise
+    return _Staged(database, table, path)
 
 
 def _stage_customers(customers: DataFrame, database: str, on_duplicate: str) -> _Staged:
@@ -105,7 +114,7 @@ def load_customers_full(
     customers: DataFrame, database: str, on_duplicate: str = "fail"
 ) -> int:
     """Replace the customers table and return the number of rows loaded."""
-    return _stage_customers(customers, database, on_duplicate).swap(customers.sparkSession)
+    return _stage_customers(customers, database, on_duplicate).switch(customers.sparkSession)
 
 
 def load_orders_full(
@@ -116,7 +125,7 @@ def load_orders_full(
     Every column is required.  An order without a customer fails the load, or
     is left out with ``on_null='drop'``.
     """
-    return _stage_orders(rollup, database, on_null, on_duplicate).swap(rollup.sparkSession)
+    return _stage_orders(rollup, database, on_null, on_duplicate).switch(rollup.sparkSession)
 
 
 def load_all(
@@ -128,13 +137,13 @@ def load_all(
 ) -> DataFrame:
     """Load both tables and return (customers_loaded, orders_loaded).
 
-    Both are staged and checked before either is swapped in.
+    Both are written and checked before the table of either is switched.
     """
     spark = customers.sparkSession
     ensure_tables(spark, database)
     staged_customers = _stage_customers(customers, database, on_duplicate)
     staged_orders = _stage_orders(rollup, database, on_null, on_duplicate)
-    counts = (staged_customers.swap(spark), staged_orders.swap(spark))
+    counts = (staged_customers.switch(spark), staged_orders.switch(spark))
     return spark.createDataFrame([counts], "customers_loaded bigint, orders_loaded bigint")
 
 

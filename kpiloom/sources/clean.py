@@ -6,16 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kpiloom.functions.calendar import utc_moment
 from kpiloom.operators.filters import lookback_filter
 from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
 from kpiloom.sources.raw import CSV_OPTIONS
+from kpiloom.staging import current_version
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.options(enforceSchema="false", **CSV_OPTIONS)
-    return reader.format(fmt).load(path).select(*schema.names)
+    return reader.format(fmt).load(current_version(spark, path)).select(*schema.names)
 
 
 def scan_clean_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -34,7 +36,7 @@ def scan_clean_rollup(spark: SparkSession, path: str, fmt: str = "parquet") -> D
 
 def scan_recent_lines(spark: SparkSession, path: str, as_of: datetime, days: int = 30) -> DataFrame:
     """The lines of the last days from month folders, reading only their months."""
-    first_month = (as_of - timedelta(days=days)).strftime("%Y-%m")
+    first_month = (utc_moment(as_of) - timedelta(days=days)).strftime("%Y-%m")
     schema = T.StructType(CLEAN_ORDER_LINES.fields + [T.StructField(MONTH_COLUMN, T.StringType())])
-    months = spark.read.schema(schema).parquet(path).filter(F.col(MONTH_COLUMN) >= first_month)
+    months = spark.read.schema(schema).parquet(current_version(spark, path)).filter(F.col(MONTH_COLUMN) >= first_month)
     return lookback_filter(months, as_of, days).select(*CLEAN_ORDER_LINES.names)

@@ -2,21 +2,20 @@
 
 Customers arrive as ``*.csv``, order lines as ``*.xml``; either may be absent on
 a day.  A batch read parses every file once into a staged parquet table, skips a
-file that cannot be read as a whole, and reports it.
+file that cannot be read as a whole, and reports it.  No list of files passes
+through the driver: layouts and flags are joined on the file.
 """
 
-import csv
 from datetime import datetime
 from typing import NamedTuple
-from urllib.parse import unquote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kpiloom.functions import partition_date_ist
+from kpiloom.functions.calendar import utc_moment
 from kpiloom.operators.dedupe import INPUT_ORDER
-from kpiloom.operators.filters import union_batches
 from kpiloom.schemas import RAW_CUSTOMERS, RAW_ORDER_LINES
 from kpiloom.sources.raw import (
     CSV_OPTIONS,
@@ -40,12 +39,11 @@ _ORIGIN = [
     T.StructField("split_start", T.LongType()),
     T.StructField("row_number", T.LongType()),
 ]
-_STAGED_CUSTOMERS = T.StructType(
-    RAW_CUSTOMERS.fields + [T.StructField("overlong", T.BooleanType())] + _ORIGIN
-)
+_FLAGS = [T.StructField(flag, T.BooleanType()) for flag in ("is_line", "corrupt", "unsplit", "ends")]
 STAGED_ORDERS = T.StructType(
     ORDER_FIELDS.fields
-    + [T.StructField(flag, T.BooleanType()) for flag in ("is_line", "corrupt", "unsplit", "ends")]
+    + _FLAGS
+    + [T.StructField("body", T.StringType()), T.StructField("piece", T.IntegerType())]
     + _ORIGIN
 )
 
@@ -57,17 +55,35 @@ class Batches(NamedTuple):
     skipped: DataFrame
 
 
+class BadFileError(ValueError):
+    """Files that cannot be read as a whole, where none may be skipped."""
+
+
+def check_files(batches: Batches, on_bad_file: str) -> Batches:
+    """``batches`` itself; with ``on_bad_file='fail'`` an error that names bad files."""
+    if on_bad_file not in ("skip", "fail"):
+        raise ValueError(f"on_bad_file must be 'skip' or 'fail', not {on_bad_file!r}")
+    if on_bad_file == "fail":
+        named = [row["source_file"] for row in batches.skipped.limit(10).collect()]
+        if named:
+            raise BadFileError(f"malformed files, among them: {', '.join(named)}")
+    return batches
+
+
 def land_batch(df: DataFrame, root: str, fmt: str, arrived: Column | datetime) -> None:
     """Append a raw batch to the folder of the day (in India) it arrived.
 
-    ``arrived`` is a UTC moment, or a zone-less UTC timestamp column of ``df``.
+    ``arrived`` is a moment (UTC if it has no zone), or a zone-less UTC timestamp
+    column of ``df``.  The rebalance lets adaptive execution choose the files of
+    a day: not one per task and day, and no day in one task.
     Land each kind of data under a root of its own when batches arrive
     concurrently, because two appends to one folder share its commit area.
     """
     if isinstance(arrived, datetime):
-        arrived = F.lit(arrived.isoformat(sep=" ")).cast("timestamp_ntz")
+        arrived = F.lit(utc_moment(arrived).isoformat(sep=" ")).cast("timestamp_ntz")
     options = {"csv": CSV_OPTIONS, "xml": {"rowTag": ROW_TAG, "rootTag": "orders"}}[fmt]
     dated = df.withColumn(DATE_COLUMN, partition_date_ist(arrived))
+    dated = dated.hint("rebalance", F.col(DATE_COLUMN))
     dated.write.partitionBy(DATE_COLUMN).mode("append").options(**options).format(fmt).save(root)
 
 
@@ -89,13 +105,13 @@ def with_row_number(df: DataFrame) -> DataFrame:
     return df.withColumn("row_number", F.monotonically_increasing_id())
 
 
-def _input_order() -> Column:
-    """Where a row stands in the input: four numbers, as every shuffle carries them.
+def _input_order(*more: str) -> Column:
+    """Where a row stands in the input: a few numbers, as every shuffle carries them.
 
     Days come in order and rows in file order; files of one day in a fixed one.
     """
     file = F.xxhash64("source_file").alias("file")
-    return F.struct(DATE_COLUMN, file, "split_start", "row_number").alias(INPUT_ORDER)
+    return F.struct(DATE_COLUMN, file, "split_start", "row_number", *more).alias(INPUT_ORDER)
 
 
 def _without_files(rows: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -105,91 +121,125 @@ def _without_files(rows: DataFrame, skipped: DataFrame) -> DataFrame:
 # -- customers -----------------------------------------------------------------
 
 
-def _headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """The files of each header line.  Layouts are few, files one per batch."""
-    text = spark.read.option("pathGlobFilter", _CSV_FILES).text(root)
-    lines = with_row_number(with_source(text))
-    first = (
-        lines.filter(F.col("split_start") == 0)
-        .groupBy("source_file")
-        .agg(F.min_by("value", "row_number").alias("header"))
-    )
-    layouts = first.groupBy("header").agg(F.collect_list("source_file").alias("files"))
-    return {row["header"]: row["files"] for row in layouts.collect()}
-
-
-def _customer_layout(spark: SparkSession, root: str, header: str, files: list[str]) -> DataFrame:
-    """All files with one header, columns taken by name.
+def _records(lines: DataFrame) -> DataFrame:
+    """CSV records from text lines.
 
-    One column more than the header has shows the rows with too many fields.
+    A line with an odd number of quotes opens or closes a value that spans
+    lines.  Only the files that have such a line are put together: a line
+    belongs to the record whose first line is the last one with all quotes
+    closed before it.
     """
-    names = next(csv.reader([header.removeprefix("\ufeff")]), [])
-    slots = [f"_c{i}" for i in range(len(names) + 1)]
-    schema = T.StructType([T.StructField(slot, T.StringType()) for slot in slots])
-    read = (
-        spark.read.options(basePath=root, **CSV_OPTIONS)
-        .schema(schema)
-        .csv([unquote(path) for path in files])
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    marked = lines.withColumn("odd", odd)
+    spanning = marked.filter("odd").select("source_file").distinct()
+    plain = marked.join(spanning, "source_file", "left_anti").drop("odd")
+    order = Window.partitionBy("source_file").orderBy("split_start", "row_number")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = marked.join(spanning, "source_file", "left_semi").withColumn(
+        "opened", F.coalesce(F.sum(F.col("odd").cast("int")).over(before), F.lit(0)) % 2 == 0
     )
-    known = [
-        F.col(slots[names.index(name)]).alias(name) for name in RAW_CUSTOMERS.names if name in names
-    ]
-    return with_row_number(with_source(read)).select(
-        *known,
-        F.col(slots[-1]).isNotNull().alias("overlong"),
-        DATE_COLUMN,
-        "source_file",
-        "split_start",
-        "row_number",
+    parts = parts.withColumn("record", F.sum(F.col("opened").cast("int")).over(order))
+    at = F.struct("split_start", "row_number")
+    text = F.array_sort(F.collect_list(F.struct("split_start", "row_number", "value")))
+    joined = (
+        parts.groupBy("source_file", DATE_COLUMN, "record")
+        .agg(F.min(at).alias("at"), text.alias("parts"))
+        .select(
+            F.array_join(F.col("parts.value"), "\n").alias("value"), "source_file", "at.split_start", DATE_COLUMN, "at.row_number"
+        )
     )
+    return plain.unionByName(joined)
 
 
-def read_customer_batches(spark: SparkSession, root: str) -> Batches:
+def read_customer_batches(spark: SparkSession, root: str, on_bad_file: str = "skip") -> Batches:
     """Customers of all days, columns aligned by name, absent ones NULL.
 
-    A file is skipped when a row has more fields than its header.  The files
-    are read once per distinct header, not once per day.
+    The text is read once.  A file's header is its first line; its records are
+    parsed by position into as many columns as the widest header has, and one
+    more that shows rows with too many fields.  A file with such a row is
+    skipped.
     """
-    layouts = _headers(spark, root)
-    empty = spark.createDataFrame([], _STAGED_CUSTOMERS)
-    frames = [_customer_layout(spark, root, header, files) for header, files in layouts.items()]
-    staged = materialize(union_batches([empty, *frames]), "raw-customers")
+    text = spark.read.option("pathGlobFilter", _CSV_FILES).text(root)
+    records = _records(with_row_number(with_source(text))).filter(F.trim("value") != "")
+    lines = materialize(records, "raw-customers")
+    at = F.struct("split_start", "row_number")
+    headers = lines.groupBy("source_file").agg(F.min_by("value", at).alias("header"), F.min(at).alias("header_at"))
+    widest = headers.agg(F.max(F.size(F.split("header", ",", -1)))).first()[0] or 1
+    slots = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(widest + 1)])
+    options = {k: v for k, v in CSV_OPTIONS.items() if k != "header"} | {"multiLine": "true"}
+
+    def fields(value: Column) -> Column:
+        """The values of a record as an array."""
+        return F.from_csv(value, slots.simpleString()[len("struct<") : -1].replace(":", " "), options)
+
+    def array(parsed: str) -> Column:
+        return F.array(*[F.col(f"{parsed}.{name}") for name in slots.names])
+
+    named = headers.withColumn("parsed", fields(F.regexp_replace("header", "^\ufeff", "")))
+    filled = F.transform(F.reverse("names"), lambda c: c.isNotNull())
+    named = named.withColumn("names", array("parsed")).select(
+        "source_file", "header_at",
+        F.slice("names", F.lit(1), (F.size("names") - F.array_position(filled, True) + 1).cast("int")).alias("names"),
+    )
+    named = materialize(named, "headers")
+    body = lines.join(named, "source_file").filter(at != F.col("header_at"))
+    body = body.withColumn("parsed", fields(F.col("value"))).withColumn("fields", array("parsed"))
+
+    def column(name: str) -> Column:
+        place = F.array_position("names", name)
+        return F.when(place > 0, F.get("fields", (place - 1).cast("int"))).alias(name)
+
+    overlong = F.exists(F.slice("fields", F.size("names") + 1, widest + 1), lambda f: f.isNotNull())
+    staged = body.select(*map(column, RAW_CUSTOMERS.names), overlong.alias("overlong"), DATE_COLUMN, "source_file", "split_start", "row_number")
+    staged = materialize(staged, "parsed-customers")
     skipped = materialize(
         staged.filter("overlong").select("source_file", DATE_COLUMN).distinct(), "skipped-customers"
     )
     rows = blank_missing(_without_files(staged, skipped), RAW_CUSTOMERS.names)
-    return Batches(rows.select(*RAW_CUSTOMERS.names, DATE_COLUMN, _input_order()), skipped)
+    return check_files(Batches(rows.select(*RAW_CUSTOMERS.names, DATE_COLUMN, _input_order()), skipped), on_bad_file)
 
 
 # -- order lines ---------------------------------------------------------------
 
 
+_COMMENT = r"(?s)<!--.*?-->"
+_CDATA = r"(?s)<!\[CDATA\[.*?\]\]>"
+_OPENERS, _CLOSERS = r"<!--|<!\[CDATA\[", r"-->|\]\]>"
+# A closing row tag may hold white space, which the line separator does not.
+_SPACED_END = rf"</{ROW_TAG}\s+>"
+
+
 def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     """Parse text that was cut at each closing row tag.
 
     Every piece but the last of a file is one record; the last holds only the
     closing root tag.  Comments are removed first.  A comment or CDATA section
-    that reaches over a cut leaves a loose marker, and its file is then to be
-    read unsplit (``unsplit``).  ``ends`` marks a proper end of file.
+    that reaches over a cut leaves a loose marker, and the pieces of its file
+    are then to be put together (``unsplit``) from their text, the ``body``.
+    ``ends`` marks a proper end of file.
     """
-    body = F.regexp_replace("value", r"(?s)<!--.*?-->", "")
-    starts = F.regexp_count(F.col("body"), F.lit(rf"<{ROW_TAG}[\s>]"))
+    cut = pieces.withColumn("body", F.regexp_replace("value", _COMMENT, ""))
+    bare = F.regexp_replace("body", _CDATA, "")
+    loose = bare.rlike(f"{_OPENERS}|{_CLOSERS}")
+    whole = F.when(loose, F.array("body")).otherwise(F.split("body", _SPACED_END, -1))
+    cut = cut.withColumn("loose", loose).select("*", F.posexplode(whole).alias("piece", "part")).withColumn("body", F.col("part"))
+    starts = F.regexp_count(F.regexp_replace("body", _CDATA, ""), F.lit(rf"<{ROW_TAG}[\s>]"))
     record = F.concat(
         F.regexp_extract("body", rf"(?s)(<{ROW_TAG}(?:\s[^>]*)?>.*)", 1), F.lit(f"</{ROW_TAG}>")
     )
     schema = T.StructType(ORDER_FIELDS.fields + [T.StructField(_CORRUPT, T.StringType())])
     options = {"rowTag": ROW_TAG, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
-    parsed = (
-        pieces.withColumn("body", body)
-        .withColumn("starts", starts)
-        .withColumn("line", F.when(F.col("starts") > 0, F.from_xml(record, schema, options)))
+    parsed = cut.withColumn("starts", starts).withColumn(
+        "line", F.when(F.col("starts") > 0, F.from_xml(record, schema, options))
     )
     return parsed.select(
         *[F.col(f"line.{name}").alias(name) for name in ORDER_FIELDS.names],
         (F.col("starts") > 0).alias("is_line"),
         ((F.col("starts") > 1) | F.col(f"line.{_CORRUPT}").isNotNull()).alias("corrupt"),
-        F.col("body").rlike(r"<!--|-->|<!\[CDATA\[").alias("unsplit"),
+        F.col("loose").alias("unsplit"),
         ((F.col("starts") == 0) & F.col("body").rlike(r"</[^<>\s]+\s*>\s*$")).alias("ends"),
+        F.col("value").alias("body"),
+        "piece",
         DATE_COLUMN,
         "source_file",
         "split_start",
@@ -197,26 +247,38 @@ def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _unsplit_lines(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
-    """The files that must not be cut, one task each."""
-    schema = T.StructType(ORDER_FIELDS.fields + [T.StructField(_CORRUPT, T.StringType())])
-    read = (
-        spark.read.format("xml")
-        .options(rowTag=ROW_TAG, basePath=root, columnNameOfCorruptRecord=_CORRUPT)
-        .schema(schema)
-        .load([unquote(path) for path in files])
-    )
-    return (
-        with_row_number(with_source(read))
-        .withColumns(
-            {
-                "is_line": F.col(_CORRUPT).isNull(),
-                "corrupt": F.col(_CORRUPT).isNotNull(),
-                "unsplit": F.lit(False),
-                "ends": F.lit(True),
-            }
-        )
-        .drop(_CORRUPT)
+def _rejoined(staged: DataFrame, files: DataFrame) -> DataFrame:
+    """The files with loose markers, put together over their cuts and parsed again.
+
+    A piece continues the one before while more comments or sections were opened
+    than closed.  What is open at a piece is the sum over the earlier splits of
+    its file plus the sum within its split, so a file's splits are summed by as
+    many tasks; only the pieces of one comment or section meet.
+    """
+    parts = staged.join(files.filter("unsplit").select("source_file"), "source_file", "left_semi").filter("piece = 0")
+    bare = F.regexp_replace(F.regexp_replace("body", _COMMENT, ""), _CDATA, "")
+    loose = F.regexp_count(bare, F.lit(_OPENERS)) - F.regexp_count(bare, F.lit(_CLOSERS))
+    parts = parts.select("body", DATE_COLUMN, "source_file", "split_start", "row_number", loose.alias("opened"))
+    split = ["source_file", "split_start"]
+    inside = Window.partitionBy(*split).orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
+    held = F.coalesce(F.sum("opened").over(inside), F.lit(0))
+    parts = materialize(parts.withColumn("held", held), "loose-pieces")
+    # one row per split
+    earlier = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*split).agg(F.sum("opened").alias("opened"))
+    carried = sums.select(*split, F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("carried"))
+    parts = parts.join(carried, split).withColumn("first", F.col("held") + F.col("carried") <= 0)
+    opener = F.when(F.col("first"), F.struct("split_start", "row_number"))
+    upto = Window.partitionBy(*split).orderBy("row_number")
+    parts = materialize(parts.withColumn("own", F.max(opener).over(upto)), "marked-pieces")
+    last = parts.groupBy(*split).agg(F.max("own").alias("own"))
+    before = last.select(*split, F.max("own").over(earlier).alias("inherited"))
+    grouped = parts.join(before, split).withColumn("at", F.coalesce("own", "inherited"))
+    text = F.array_sort(F.collect_list(F.struct("split_start", "row_number", "body")))
+    joined = grouped.groupBy("source_file", DATE_COLUMN, "at").agg(text.alias("parts"))
+    value = F.array_join(F.col("parts.body"), f"</{ROW_TAG}>")
+    return parse_order_pieces(
+        joined.select(value.alias("value"), "source_file", "at.split_start", DATE_COLUMN, "at.row_number")
     )
 
 
@@ -229,32 +291,45 @@ def order_pieces(spark: SparkSession, root: str) -> DataFrame:
     return with_row_number(with_source(spark.read.options(**PIECES).text(root)))
 
 
+def _broken(rows: DataFrame) -> Column:
+    return F.bool_or("corrupt") | ~F.bool_or("ends")
+
+
 def settle_order_files(staged: DataFrame) -> DataFrame:
-    """Per file, whether it must be read unsplit and whether it is broken."""
+    """Per file, whether its pieces must be put together and whether it is broken."""
     return staged.groupBy("source_file", DATE_COLUMN).agg(
-        F.bool_or("unsplit").alias("unsplit"),
-        (F.bool_or("corrupt") | ~F.bool_or("ends")).alias("broken"),
+        F.bool_or("unsplit").alias("unsplit"), _broken(staged).alias("broken")
     )
 
 
-def read_order_batches(spark: SparkSession, root: str) -> Batches:
+def stage_pieces(pieces: DataFrame) -> DataFrame:
+    """Parsed pieces with the columns that are kept."""
+    return parse_order_pieces(pieces).select(*STAGED_ORDERS.names)
+
+
+def read_order_batches(spark: SparkSession, root: str, on_bad_file: str = "skip") -> Batches:
     """Order lines of all days; a truncated or malformed file is skipped whole."""
-    staged = materialize(parse_order_pieces(order_pieces(spark, root)), "raw-orders")
-    return settle_orders(spark, root, staged)
+    staged = materialize(stage_pieces(order_pieces(spark, root)), "raw-orders")
+    return check_files(settle_orders(staged), on_bad_file)
 
 
-def settle_orders(spark: SparkSession, root: str, staged: DataFrame) -> Batches:
+def settle_orders(staged: DataFrame) -> Batches:
     """Choose the lines of the readable files from parsed, written pieces."""
     files = materialize(settle_order_files(staged), "order-files")
-    unsplit = [row["source_file"] for row in files.filter("unsplit").select("source_file").collect()]
     lines = staged.filter("is_line")
     bad = files.filter(~F.col("unsplit") & F.col("broken")).select("source_file", DATE_COLUMN)
-    if unsplit:
-        whole = materialize(
-            _unsplit_lines(spark, root, unsplit).select(*staged.columns), "raw-unsplit"
-        )
-        lines = _without_files(lines, files.filter("unsplit")).unionByName(whole.filter("is_line"))
-        bad = bad.unionByName(whole.filter("corrupt").select("source_file", DATE_COLUMN).distinct())
+    if not files.filter("unsplit").isEmpty():
+        again = materialize(_rejoined(staged, files), "rejoined-orders")
+        lines = _without_files(lines, files.filter("unsplit")).unionByName(again.filter("is_line"))
+        # a marker still loose is a comment or section that never ends
+        judged = again.groupBy("source_file", DATE_COLUMN).agg((_broken(again) | F.bool_or("unsplit")).alias("broken"))
+        bad = bad.unionByName(judged.filter("broken").select("source_file", DATE_COLUMN))
     skipped = materialize(bad, "skipped-orders")
     rows = resolve_amount(blank_missing(_without_files(lines, skipped), ORDER_FIELDS.names))
-    return Batches(rows.select(*RAW_ORDER_LINES.names, DATE_COLUMN, _input_order()), skipped)
+    return Batches(rows.select(*RAW_ORDER_LINES.names, DATE_COLUMN, _input_order("piece")), skipped)
+
+
+def scan_orders_xml(spark: SparkSession, path: str) -> DataFrame:
+    """Order lines from XML files of any size; a malformed file fails the scan."""
+    rows = read_order_batches(spark, path, on_bad_file="fail").rows
+    return rows.select(*RAW_ORDER_LINES.names, DATE_COLUMN)

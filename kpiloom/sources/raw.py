@@ -44,14 +44,3 @@ def scan_customers_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """
     reader = spark.read.options(enforceSchema="false", **CSV_OPTIONS).schema(RAW_CUSTOMERS)
     return blank_missing(reader.csv(path), RAW_CUSTOMERS.names)
-
-
-def scan_orders_xml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Order lines from XML, one task per file; a malformed file fails the scan.
-
-    ``landing.read_order_batches`` skips and reports such a file instead, and
-    splits files too large for one task.
-    """
-    reader = spark.read.format("xml").options(rowTag=ROW_TAG, mode="FAILFAST")
-    lines = reader.schema(ORDER_FIELDS).load(path)
-    return resolve_amount(blank_missing(lines, ORDER_FIELDS.names))

@@ -1,32 +1,38 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Written tables in the folders that the whole cluster shares."""
 
 import tempfile
 import uuid
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_dirs: dict[str, str] = {}
+_VERSION = "version="
+_NAMED = "spark.kpiloom.shared.dir"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
+def name_local_folder(spark: SparkSession) -> None:
+    """For a session on one machine that names no shared folder, name a temporary one.
 
-    Only a local-mode session without that setting falls back to a folder of
-    its own; a cluster session must name one that every executor can reach.
+    Callers that own the session (entry points, tests) do this; the package
+    itself never falls back to a local folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    local = spark.conf.get("spark.master", "").split("[")[0] == "local"
+    if local and not (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_NAMED, None)):
+        spark.conf.set(_NAMED, tempfile.mkdtemp(prefix="kpiloom-"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, which every executor must reach."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_NAMED, None)
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="kpiloom-")
-    return _local_dirs[app]
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kpiloom/{label}-{uuid.uuid4().hex}"
+    """A path of its own, under one folder per application that its owner can expire."""
+    run = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/kpiloom/{run}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -40,3 +46,41 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# -- versions of a dataset -------------------------------------------------------
+
+
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """The complete versions of a dataset, oldest first.
+
+    A version counts from the moment its success marker exists, which the
+    writer puts down last; so the switch to a new one is one file.
+    """
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{_VERSION}*/_SUCCESS")
+    found = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern)
+    return sorted(status.getPath().getParent().toString() for status in found or ())
+
+
+def new_version(root: str) -> str:
+    """The folder of the next version; later ones sort after earlier ones."""
+    moment = datetime.now(UTC).strftime("%Y%m%dT%H%M%S%f")
+    return f"{root.rstrip('/')}/{_VERSION}{moment}-{uuid.uuid4().hex[:8]}"
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    """The folder of the last complete version, or ``root`` itself if it holds no versions."""
+    versions = _versions(spark, root)
+    return versions[-1] if versions else root
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
+    """Remove all but the last versions; the one before the current may still be read."""
+    for path in _versions(spark, root)[:-keep]:
+        remove(spark, path)

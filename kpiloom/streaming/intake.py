@@ -1,56 +1,86 @@
 """Parse newly landed order files only.
 
 The daily folders only ever grow, so a job that parses all of them again each
-day does work that grows with their age.  This intake parses each file once,
-remembers it in the stream's checkpoint, and keeps the parsed records in a
-staged parquet folder that the batch cleaning reads.
+day does work that grows with their age.  This intake parses each version of a
+file once and keeps the parsed records beside a ledger of what they came from:
+path, modification time and length.  A file is new if the ledger lacks these
+three, however old it is; so late, back-dated and replaced files are read.
 """
 
+import uuid
+from collections.abc import Iterator
+from itertools import batched
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kpiloom.sources.landing import (
     PIECES,
     STAGED_ORDERS,
     Batches,
-    parse_order_pieces,
+    check_files,
     settle_orders,
+    stage_pieces,
     with_row_number,
     with_source,
 )
 
-_BATCH = "intake"
-
-
-def stage_new_orders(
-    spark: SparkSession, root: str, staged: str, checkpoint: str, max_files: int = 10_000
-) -> None:
-    """Parse the files that arrived since the last call, then return.
-
-    Each micro-batch overwrites a folder named by its number, so a batch that
-    is run again after a failure leaves its records once.
-    """
+_FILE = "source_file string, modified timestamp, length bigint"
+_LEDGER = f"{_FILE}, batch string"
 
-    def write(pieces: DataFrame, batch: int) -> None:
-        parsed = parse_order_pieces(with_row_number(pieces))
-        parsed.write.mode("overwrite").parquet(f"{staged}/{_BATCH}={batch}")
 
-    stream = with_source(spark.readStream.options(**PIECES, maxFilesPerTrigger=max_files).text(root))
-    query = (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """The order files that stand under ``root`` now; their content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", PIECES["pathGlobFilter"]).load(root)
+    metadata = F.col("_metadata")
+    return files.select(
+        metadata["file_path"].alias("source_file"),
+        metadata["file_modification_time"].alias("modified"),
+        metadata["file_size"].alias("length"),
     )
-    query.awaitTermination()
 
 
-def read_staged_orders(spark: SparkSession, root: str, staged: str) -> Batches:
-    """The same result as reading every file under ``root`` again."""
+def _kept(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
-        records = spark.read.schema(STAGED_ORDERS).parquet(staged).select(*STAGED_ORDERS.names)
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        records = spark.createDataFrame([], STAGED_ORDERS)  # no file has landed yet
-    return settle_orders(spark, root, records)
+        return spark.createDataFrame([], schema)  # no file has landed yet
+
+
+def _new_files(spark: SparkSession, root: str, staged: str) -> Iterator[tuple]:
+    known = _kept(spark, f"{staged}/ledger", _LEDGER)
+    new = _listed(spark, root).join(known, ["source_file", "modified", "length"], "left_anti")
+    return ((r.source_file, r.modified, r.length) for r in new.toLocalIterator())
+
+
+def stage_new_orders(spark: SparkSession, root: str, staged: str, max_files: int = 10_000) -> None:
+    """Parse the files that the ledger lacks, ``max_files`` at a time, then return.
+
+    The ledger is written after the records of a batch.  After a failure between
+    the two, the files are parsed again as another batch, and the records that
+    no ledger row names are never read.
+    """
+    for files in batched(list(_new_files(spark, root, staged)), max_files):
+        batch = uuid.uuid4().hex
+        paths = [unquote(path) for path, *_ in files]
+        pieces = with_row_number(with_source(spark.read.options(basePath=root, **PIECES).text(paths)))
+        stage_pieces(pieces).write.parquet(f"{staged}/records/batch={batch}")
+        rows = spark.createDataFrame(files, _FILE).withColumn("batch", F.lit(batch))
+        rows.coalesce(1).write.mode("append").parquet(f"{staged}/ledger")
+
+
+def read_staged_orders(spark: SparkSession, root: str, staged: str, on_bad_file: str = "skip") -> Batches:
+    """The same result as reading every file under ``root`` again.
+
+    Of a file that was replaced or removed, the earlier records are left out.
+    """
+    ledger = _kept(spark, f"{staged}/ledger", _LEDGER)
+    valid = _listed(spark, root).join(ledger, ["source_file", "modified", "length"])
+    schema = STAGED_ORDERS.jsonValue()
+    records = _kept(spark, f"{staged}/records", type(STAGED_ORDERS).fromJson(schema).add("batch", "string"))
+    chosen = records.join(valid.select("source_file", "batch"), ["source_file", "batch"], "left_semi")
+    return check_files(settle_orders(chosen.select(*STAGED_ORDERS.names)), on_bad_file)

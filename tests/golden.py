@@ -1,28 +1,34 @@
-"""The sample batch: five customers, three orders on ten lines, known results."""
+"""A sample of our own with results derived by hand.
+
+Order totals repeat on two to four lines.  K1 has two orders of its own, K3 has
+none, K2 and K4 share a number, R13 lies across a month, R14 is on two numbers.
+"""
 
 from datetime import datetime
 
-AS_OF = datetime(2025, 11, 5)
+AS_OF = datetime(2024, 6, 10)
 
 CUSTOMERS = [
-    ("CUST-001", "Aarav Mehta", "9123456781", "West"),
-    ("CUST-002", "Neha Sharma", "9123456782", "North"),
-    ("CUST-003", "Rohan Gupta", "9123456783", "South"),
-    ("CUST-004", "Priya Iyer", "9123456784", "West"),
-    ("CUST-005", "Kabir Singh", "9123456785", "Central"),
+    ("K1", "Mira Stone", "4700001", "Harbour"),
+    ("K2", "Tomas Reed", "4700002", "Valley"),
+    ("K3", "Ines Holt", "4700003", "Harbour"),
+    ("K4", "Jun Park", "4700002", "Ridge"),
+    ("K5", "Olga Brandt", "4700005", "Valley"),
 ]
 
-# (order, mobile, time, amount repeated on each line, number of lines)
-ORDERS = [
-    ("ORD-2025-0001", "9123456781", "2025-10-12T09:15:32", "7450", 3),
-    ("ORD-2025-0002", "9123456781", "2025-11-01T14:22:10", "5299", 3),
-    ("ORD-2025-0003", "9123456782", "2025-09-30T18:45:55", "8930", 4),
-]
+# order: amount, and (mobile, time) of each line
+ORDERS = {
+    "R10": ("120.5", [("4700001", "2024-05-20T10:00:00")] * 2),
+    "R11": ("80", [("4700001", "2024-06-02T08:30:00")] * 3),
+    "R12": ("45.25", [("4700002", "2024-04-11T17:05:09")] * 4),
+    "R13": ("300", [("4700005", "2024-05-31T23:50:00"), ("4700005", "2024-06-01T00:10:00")]),
+    "R14": ("64", [("4700005", "2024-06-05T12:00:00"), ("4700001", "2024-06-05T12:05:00")]),
+}
 
 LINES = [
     (order, mobile, time, f"SKU-{number}", "1", amount)
-    for order, mobile, time, amount, lines in ORDERS
-    for number in range(lines)
+    for order, (amount, lines) in ORDERS.items()
+    for number, (mobile, time) in enumerate(lines)
 ]
 
 
@@ -38,4 +44,4 @@ def orders_xml(lines=LINES, amount="total_amount") -> str:
         + "  </order>\n"
         for line in lines
     ]
-    return "<orders>\n  <!-- first customer -->\n" + "".join(orders) + "  <!-- ... more <order> ... -->\n</orders>\n"
+    return "<orders>\n  <!-- a batch -->\n" + "".join(orders) + "  <!-- an <order> may follow -->\n</orders>\n"

@@ -91,3 +91,14 @@ def test_safe_ratio_and_zero_if_null(spark):
         fn.zero_if_null(F.lit(None).cast("int")).alias("d"),
     ).first()
     assert tuple(row) == (0.25, 0.0, 0.0, 0)
+
+
+def test_a_number_too_large_is_an_error_not_zero(spark):
+    big = spark.createDataFrame([("99999999999999999",)], "t string")
+    with pytest.raises(Exception, match="amount out of range"):
+        big.select(fn.safe_amount(F.col("t"))).collect()
+
+
+def test_moments_outside_the_range_do_not_parse(values):
+    texts = ["9999-12-31", "200000-01-01", "1600-01-01", "2262-04-11T23:00:00"]
+    assert values(fn.safe_timestamp, texts) == [None, None, None, datetime(2262, 4, 11, 23)]

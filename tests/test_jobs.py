@@ -1,4 +1,5 @@
 import json
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal as D
 
 import pytest
@@ -15,6 +16,7 @@ from kpiloom.sources.clean import (
     scan_clean_rollup,
     scan_recent_lines,
 )
+from kpiloom.sources.landing import BadFileError
 from test_landing import put
 
 
@@ -34,15 +36,19 @@ def database(spark, tmp_path):
 
 def test_golden_rollup_and_grain(golden):
     customers, lines = golden
-    rollup = {r.order_id: (r.customer_id, r.order_amount) for r in orders.order_rollup_sum(lines, customers).collect()}
+    rollup = {(r.order_id, r.customer_id): r.order_amount for r in orders.order_rollup_sum(lines, customers).collect()}
     assert rollup == {
-        "ORD-2025-0001": ("CUST-001", D("22350.00")),
-        "ORD-2025-0002": ("CUST-001", D("15897.00")),
-        "ORD-2025-0003": ("CUST-002", D("35720.00")),
+        ("R10", "K1"): D("241.00"),
+        ("R11", "K1"): D("240.00"),
+        ("R12", "K2"): D("181.00"),
+        ("R12", "K4"): D("181.00"),
+        ("R13", "K5"): D("600.00"),
+        ("R14", "K5"): D("64.00"),
+        ("R14", "K1"): D("64.00"),
     }
     for how in ("max", "first", "last"):
         grain = {r.order_id: r.order_amount for r in orders.order_grain(lines, how).collect()}
-        assert grain == {o[0]: D(o[3]) for o in ORDERS}
+        assert grain == {name: D(amount) for name, (amount, _) in ORDERS.items()}
 
 
 def test_golden_dashboard(golden):
@@ -51,31 +57,34 @@ def test_golden_dashboard(golden):
     cards = [(r.title, r.value) for r in dashboard.kpi_cards(customers, rollup).orderBy("position").collect()]
     assert cards == [
         ("Total Customers", "5"),
-        ("Total Orders", "3"),
-        ("Revenue", "73,967.00"),
-        ("Avg Order Value", "24,655.67"),
+        ("Total Orders", "7"),
+        ("Revenue", "1,571.00"),
+        ("Avg Order Value", "224.43"),
         ("Repeat Customer Rate", "50.0%"),
     ]
-    assert [tuple(r) for r in dashboard.chart_top_customers(rollup).collect()] == [("CUST-001", 38247.0), ("CUST-002", 35720.0)]
+    assert [tuple(r) for r in dashboard.chart_top_customers(rollup).collect()] == [("K5", 664.0), ("K1", 545.0), ("K2", 181.0), ("K4", 181.0)]
     filled = kpis.daily_orders_filled(rollup).collect()
-    assert (len(filled), sum(r.orders > 0 for r in filled), str(filled[0].day)) == (33, 3, "2025-09-30")
+    assert (len(filled), sum(r.orders > 0 for r in filled), str(filled[0].day)) == (56, 5, "2024-04-11")
     bundle = dashboard.kpi_bundle(customers, rollup).first()
     assert [(c.title, c.value) for c in bundle.cards] == cards
     assert [[p.label for p in c.points] for c in bundle.charts] == [
-        ["2025-09-30", "2025-10-12", "2025-11-01"],
-        ["CUST-001", "CUST-002"],
+        ["2024-04-11", "2024-05-20", "2024-06-01", "2024-06-02", "2024-06-05"],
+        ["K5", "K1", "K2", "K4"],
     ]
 
 
 GOLDEN_REPORT = {
-    ("monthly_order_trend", "2025-09", None, 1.0),
-    ("monthly_order_trend", "2025-10", None, 1.0),
-    ("monthly_order_trend", "2025-11", None, 1.0),
-    ("region_revenue", "West", None, 12749.0),
-    ("region_revenue", "North", None, 8930.0),
-    ("repeat_customers", "CUST-001", None, 2.0),
-    ("repeat_customer_count", None, None, 1.0),
-    ("top_spenders", "CUST-001", "Aarav Mehta", 12749.0),
+    ("monthly_order_trend", "2024-04", None, 1.0),
+    ("monthly_order_trend", "2024-05", None, 2.0),
+    ("monthly_order_trend", "2024-06", None, 3.0),
+    ("region_revenue", "Harbour", None, 264.5),
+    ("region_revenue", "Valley", None, 345.25),
+    ("region_revenue", "Ridge", None, 45.25),
+    ("repeat_customers", "K1", None, 3.0),
+    ("repeat_customers", "K5", None, 2.0),
+    ("repeat_customer_count", None, None, 2.0),
+    ("top_spenders", "K1", "Mira Stone", 264.5),
+    ("top_spenders", "K5", "Olga Brandt", 300.0),
 }
 
 
@@ -84,18 +93,58 @@ def test_golden_report(golden):
     assert {tuple(r) for r in report.kpi_report(lines, customers, AS_OF).collect()} == GOLDEN_REPORT
 
 
+def test_an_order_on_a_shared_number_counts_once(golden):
+    customers, lines = golden
+    got = {tuple(r) for r in report.kpi_report(lines, customers, AS_OF, shared_number="once").collect()}
+    assert got == GOLDEN_REPORT - {("region_revenue", "Ridge", None, 45.25)}
+    grain = orders.order_grain(lines)
+    assert [tuple(r) for r in kpis.region_revenue(grain, customers, shared_number="once").collect()] == [("Valley", 345.25), ("Harbour", 264.5)]
+    with pytest.raises(ValueError, match="shared_number"):
+        kpis.region_revenue(grain, customers, shared_number="twice")
+
+
+def test_repeat_customers_on_lines_and_on_grain(golden):
+    customers, lines = golden
+    assert sorted(map(tuple, kpis.repeat_customers(lines, customers).collect())) == [("K1", 3), ("K5", 2)]
+    assert sorted(map(tuple, kpis.repeat_customers(orders.order_grain(lines), customers).collect())) == [("K1", 3)]
+
+
+def test_ranked_report(golden):
+    customers, lines = golden
+    got = sorted((r.kpi, r["rank"], r.key) for r in report.ranked(report.kpi_report(lines, customers, AS_OF)).collect())
+    assert got == [
+        ("monthly_order_trend", 1, "2024-04"), ("monthly_order_trend", 2, "2024-05"), ("monthly_order_trend", 3, "2024-06"),
+        ("region_revenue", 1, "Valley"), ("region_revenue", 2, "Harbour"), ("region_revenue", 3, "Ridge"),
+        ("repeat_customer_count", 1, None), ("repeat_customers", 1, "K1"), ("repeat_customers", 2, "K5"),
+        ("top_spenders", 1, "K5"), ("top_spenders", 2, "K1"),
+    ]
+
+
+def test_look_back_on_lines_or_on_orders(spark, golden):
+    """R13 has one line before the cutoff and one after it."""
+    customers, lines = golden
+    as_of = datetime(2024, 7, 1)
+    both = spark.createDataFrame([("X", "4700003", datetime(2024, 5, 1), "S", 1, D("9")), ("X", "4700003", datetime(2024, 6, 15), "T", 1, D("5"))], lines.schema)
+    assert [r.amount for r in kpis.top_spenders(both, customers, as_of).collect()] == [5.0]
+    assert [r.amount for r in kpis.spenders_of_grain(orders.order_grain(both), customers, as_of).collect()] == [9.0]
+    india = timezone(timedelta(hours=5, minutes=30))
+    late = datetime(2024, 7, 15, 5, 30, tzinfo=india)  # midnight in UTC
+    assert kpis.top_spenders(both, customers, late).count() == 1
+    assert kpis.top_spenders(both, customers, late + timedelta(seconds=1)).count() == 0
+
+
 def test_report_agrees_with_the_single_figures(spark, golden):
     customers, lines = golden
-    part = customers.filter("customer_id <> 'CUST-002'")
+    part = customers.filter("customer_id <> 'K2'")
     grain = orders.order_grain(lines)
     for keep in (False, True):
         got = report.kpi_report(lines, part, AS_OF, keep_unmatched=keep)
         value = {(r.kpi, r.key): r.value for r in got.collect()}
         for r in kpis.region_revenue(grain, part, keep).collect():
             assert value.pop(("region_revenue", r.region)) == r.revenue
-        for r in kpis.repeat_customers(grain, part, keep).collect():
+        for r in kpis.repeat_customers(lines, part, keep).collect():
             assert value.pop(("repeat_customers", r.customer_id)) == r.order_count
-        for r in kpis.top_spenders(grain, part, AS_OF, keep_unmatched=keep).collect():
+        for r in kpis.spenders_of_grain(grain, part, AS_OF, keep_unmatched=keep).collect():
             assert value.pop(("top_spenders", r.customer_id)) == r.amount
         assert {k for k, _ in value} == {"monthly_order_trend", "repeat_customer_count"}
 
@@ -114,7 +163,7 @@ def test_written_lines_prune_months(spark, golden, tmp_path, plan):
     files.sink_orders_lines(lines, str(tmp_path / "lines"))
     assert sorted(map(tuple, scan_clean_lines(spark, str(tmp_path / "lines")).collect())) == sorted(map(tuple, lines.collect()))
     recent = scan_recent_lines(spark, str(tmp_path / "lines"), AS_OF)
-    assert {r.order_id for r in recent.collect()} == {"ORD-2025-0001", "ORD-2025-0002"}
+    assert {r.order_id for r in recent.collect()} == {"R10", "R11", "R13", "R14"}
     assert "order_month" in plan(recent).split("PartitionFilters")[1].split("PushedFilters")[0]
 
 
@@ -154,7 +203,7 @@ def test_load_replaces_and_is_idempotent(spark, golden, database):
     customers, lines = golden
     rollup = orders.order_rollup_sum(lines, customers)
     for _ in range(2):
-        assert tuple(tables.load_all(customers, rollup, database).first()) == (5, 3)
+        assert tuple(tables.load_all(customers, rollup, database, on_duplicate="keep").first()) == (5, 7)
     assert spark.table(f"{database}.orders").columns == ["order_id", "customer_id", "order_amount", "order_date"]
     tables.ensure_tables(spark, database)
     assert spark.table(f"{database}.customers").count() == 5
@@ -163,33 +212,82 @@ def test_load_replaces_and_is_idempotent(spark, golden, database):
 def test_failed_load_changes_nothing(spark, golden, database):
     customers, lines = golden
     rollup = orders.order_rollup_sum(lines, customers)
-    tables.load_all(customers, rollup, database)
-    part = customers.filter("customer_id = 'CUST-001'")
+    tables.load_all(customers, rollup, database, on_duplicate="keep")
+    part = customers.filter("customer_id = 'K1'")
     with pytest.raises(tables.LoadError, match="customer_id"):
         tables.load_all(part, orders.order_rollup_sum(lines, part), database)
     with pytest.raises(tables.LoadError, match="not unique"):
         tables.load_all(customers.unionAll(customers), rollup, database)
     with pytest.raises(ValueError, match="order_amount"):
         tables.load_orders_full(rollup.drop("order_amount"), database)
-    assert (spark.table(f"{database}.customers").count(), spark.table(f"{database}.orders").count()) == (5, 3)
+    assert (spark.table(f"{database}.customers").count(), spark.table(f"{database}.orders").count()) == (5, 7)
     dropped = tables.load_orders_full(orders.order_rollup_sum(lines, part), database, on_null="drop")
-    assert dropped == 2
+    assert dropped == 3
+
+
+def test_a_load_that_stops_between_two_steps_leaves_the_old_rows(spark, golden, database, monkeypatch):
+    """Whether it stops after writing or at the switch, and a bad load after that."""
+    customers, lines = golden
+    rollup = orders.order_rollup_sum(lines, customers)
+    tables.load_all(customers, rollup, database, on_duplicate="keep")
+    for stop in ("switch", "staged"):
+        with monkeypatch.context() as patch:
+            def broken(*_, **__):
+                raise RuntimeError("lost")
+
+            patch.setattr(tables._Staged, "switch", broken) if stop == "switch" else patch.setattr(tables, "_Staged", broken)
+            with pytest.raises(RuntimeError, match="lost"):
+                tables.load_customers_full(customers.limit(1), database)
+        assert spark.table(f"{database}.customers").count() == 5
+        with pytest.raises(tables.LoadError):
+            tables.load_customers_full(customers.unionAll(customers), database)
+        tables.ensure_tables(spark, database)
+        assert spark.table(f"{database}.customers").count() == 5
+    assert tables.load_customers_full(customers.limit(2), database) == 2
+    assert spark.table(f"{database}.customers").count() == 2
+
+
+def test_a_failing_write_keeps_the_clean_dataset(spark, golden, tmp_path):
+    customers, lines = golden
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        files.sink_orders_lines(lines, str(tmp_path / "lines"))
+        bad = lines.withColumn("order_id", F.raise_error(F.lit("broken")).cast("string"))
+        with pytest.raises(Exception, match="broken"):
+            files.sink_orders_lines(bad, str(tmp_path / "lines"))
+        assert scan_clean_lines(spark, str(tmp_path / "lines")).count() == len(LINES)
+        for _ in range(3):
+            files.sink_orders_lines(lines.filter("order_id = 'R12'"), str(tmp_path / "lines"))
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    assert {r.order_id for r in scan_clean_lines(spark, str(tmp_path / "lines")).collect()} == {"R12"}
+    assert len(list((tmp_path / "lines").glob("version=*"))) == 2
 
 
 # -- jobs ------------------------------------------------------------------------
 
 
 def test_pipeline_from_raw_files(spark, tmp_path, database):
-    put(tmp_path / "in", "2025-11-01", "customers.csv", customers_csv())
+    extra = [("K9", "No Digits", "none", "Ridge")]
+    put(tmp_path / "in", "2025-11-01", "customers.csv", customers_csv(CUSTOMERS + extra))
     put(tmp_path / "in", "2025-11-01", "orders.xml", orders_xml(LINES[:6]))
-    put(tmp_path / "in", "2025-11-02", "orders.xml", orders_xml(LINES[4:]))
+    put(tmp_path / "in", "2025-11-02", "orders.xml", orders_xml(LINES[4:] + [("R99", "n/k", "9999-12-31T00:00:00", "S", "1", "5")]))
     put(tmp_path / "in", "2025-11-03", "orders.xml", orders_xml()[:200])
-    root = str(tmp_path / "in")
-    result = jobs.run_pipeline(spark, root, root, jobs.CleanPaths.under(str(tmp_path / "out")), database, AS_OF)
-    assert tuple(result.clean.first()) == (["2025-11-01", "2025-11-02", "2025-11-03"], 5, 12, 5, 10)
-    assert tuple(result.load.first()) == (5, 3)
-    assert [c.value for c in result.kpis.first().cards] == ["5", "3", "73,967.00", "24,655.67", "50.0%"]
+    root, out = str(tmp_path / "in"), jobs.CleanPaths.under(str(tmp_path / "out"))
+    result = jobs.run_pipeline(spark, root, root, out, database, AS_OF, on_duplicate="keep")
+    assert tuple(result.clean.first()) == (["2025-11-01", "2025-11-02"], 6, 16, 5, 13, 1, 2, 1)
+    assert [str(r.ingest_date) for r in result.skipped.collect()] == ["2025-11-03"]
+    assert tuple(result.load.first()) == (5, 7)
+    assert [c.value for c in result.kpis.first().cards] == ["5", "7", "1,571.00", "224.43", "50.0%"]
     assert {tuple(r) for r in result.report.collect()} == GOLDEN_REPORT
+    again = jobs.run_pipeline(
+        spark, root, root, out, database, AS_OF, on_duplicate="keep", grain="first", days=400, shared_number="once",
+        cleaning=jobs.Cleaning(blank_mobile="keep"), intake=str(tmp_path / "intake"),
+    )
+    assert again.clean.first().cleaned_customers_rows == 6
+    assert again.report.filter("kpi = 'top_spenders'").count() == 3
+    with pytest.raises(BadFileError, match="2025-11-03"):
+        jobs.merge_and_clean_batches(spark, root, root, out, jobs.Cleaning(on_bad_file="fail"))
 
 
 def test_merge_of_new_files_equals_merge_of_all(spark, tmp_path):
@@ -210,7 +308,7 @@ def test_merge_without_orders(spark, tmp_path):
     root = str(tmp_path / "in")
     out = jobs.CleanPaths.under(str(tmp_path / "out"))
     summary = jobs.merge_and_clean_batches(spark, root, root, out)
-    assert tuple(summary.first()) == (["2025-11-01"], 5, 0, 5, 0)
+    assert tuple(summary.first()) == (["2025-11-01"], 5, 0, 5, 0, 0, 0, 0)
     assert not (tmp_path / "out" / "orders_clean_lines").exists()
 
 
@@ -218,7 +316,7 @@ def test_merge_of_nothing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     root = str(tmp_path / "in")
     summary = jobs.merge_and_clean_batches(spark, root, root, jobs.CleanPaths.under(str(tmp_path / "out")))
-    assert tuple(summary.first()) == ([], 0, 0, 0, 0)
+    assert tuple(summary.first()) == ([], 0, 0, 0, 0, 0, 0, 0)
 
 
 def test_missing_input_fails_the_pipeline(spark, tmp_path, database):
@@ -236,4 +334,4 @@ def test_first_in_file_order_survives_cleaning(spark, tmp_path):
     root, out = str(tmp_path / "in"), jobs.CleanPaths.under(str(tmp_path / "out"))
     jobs.merge_and_clean_batches(spark, root, root, out)
     assert scan_clean_lines(spark, out.lines).first().total_amount == D("9.00")
-    assert spark.read.parquet(out.customers).first().customer_name == "X"
+    assert scan_clean_customers(spark, out.customers).first().customer_name == "X"

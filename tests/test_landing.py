@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 from pathlib import Path
 
@@ -82,10 +83,10 @@ def test_plain_scan_refuses_a_reordered_header(spark, tmp_path):
 def test_plain_scan_fails_on_a_malformed_file(spark, tmp_path):
     path = tmp_path / "o.xml"
     path.write_text(orders_xml(LINES[:3]))
-    assert raw.scan_orders_xml(spark, str(path)).count() == 3
+    assert landing.scan_orders_xml(spark, str(path)).count() == 3
     path.write_text(orders_xml(LINES[:3])[:-60])
-    with pytest.raises(Exception, match="(?i)malformed"):
-        raw.scan_orders_xml(spark, str(path)).collect()
+    with pytest.raises(landing.BadFileError, match="malformed"):
+        landing.scan_orders_xml(spark, str(path))
 
 
 # -- order lines -----------------------------------------------------------------
@@ -95,7 +96,7 @@ def both_readers(spark, root, tmp_path_factory):
     """The result of the batch read, checked to equal the incremental one."""
     batch = orders_of(landing.read_order_batches(spark, str(root)))
     work = tmp_path_factory.mktemp("intake")
-    stage_new_orders(spark, str(root), str(work / "staged"), str(work / "checkpoint"))
+    stage_new_orders(spark, str(root), str(work / "staged"))
     assert orders_of(read_staged_orders(spark, str(root), str(work / "staged"))) == batch
     return batch
 
@@ -169,16 +170,17 @@ def test_a_large_file_is_cut(spark, tmp_path):
 
 
 def test_incremental_intake_reads_each_file_once(spark, tmp_path):
-    root, staged, checkpoint = tmp_path / "in", str(tmp_path / "staged"), str(tmp_path / "checkpoint")
+    root, staged = tmp_path / "in", str(tmp_path / "staged")
     (root / "ingest_date=2025-11-01").mkdir(parents=True)
     assert orders_of(read_staged_orders(spark, str(root), staged)) == ([], [])
     put(root, "2025-11-01", "orders.xml", orders_xml(LINES[:3]))
-    stage_new_orders(spark, str(root), staged, checkpoint)
+    stage_new_orders(spark, str(root), staged)
     put(root, "2025-11-02", "orders.xml", orders_xml(LINES[3:6]))
-    stage_new_orders(spark, str(root), staged, checkpoint)
-    stage_new_orders(spark, str(root), staged, checkpoint)
+    stage_new_orders(spark, str(root), staged)
+    stage_new_orders(spark, str(root), staged)
     rows, _ = orders_of(read_staged_orders(spark, str(root), staged))
     assert [r[:2] for r in rows] == [(l[0], l[3]) for l in LINES[:6]]
+    assert len(list((tmp_path / "staged" / "records").glob("batch=*"))) == 2
 
 
 def test_land_batch_names_the_day_in_india(spark, tmp_path):
@@ -188,3 +190,60 @@ def test_land_batch_names_the_day_in_india(spark, tmp_path):
     assert sorted(p.name for p in tmp_path.glob("ingest*")) == ["ingest_date=2025-11-01", "ingest_date=2025-11-02"]
     rows, _ = customers_of(spark, tmp_path)
     assert len(rows) == 2 * len(CUSTOMERS)
+
+
+def test_late_old_and_replaced_files_are_read(spark, tmp_path):
+    root, staged = tmp_path / "in", str(tmp_path / "staged")
+    put(root, "2025-11-02", "orders.xml", orders_xml(LINES[3:4]))
+    stage_new_orders(spark, str(root), staged)
+    late = put(root, "2025-10-01", "orders.xml", orders_xml(LINES[:1]))
+    os.utime(late, (1.6e9, 1.6e9))
+    put(root, "2025-11-02", "orders.xml", orders_xml(LINES[4:6]))
+    stage_new_orders(spark, str(root), staged, max_files=1)
+    want = orders_of(landing.read_order_batches(spark, str(root)))
+    assert orders_of(read_staged_orders(spark, str(root), staged)) == want
+    assert [r[:2] for r in want[0]] == [(l[0], l[3]) for l in (LINES[0], *LINES[4:6])]
+    late.unlink()
+    assert len(orders_of(read_staged_orders(spark, str(root), staged))[0]) == 2
+
+
+def test_closing_tag_with_a_space(spark, tmp_path, tmp_path_factory):
+    put(tmp_path, "2025-11-01", "orders.xml", orders_xml(LINES[:4]).replace("</order>", "</order >"))
+    put(tmp_path, "2025-11-02", "orders.xml", orders_xml(LINES[4:7]).replace("</order>", "</order\n>", 1))
+    put(tmp_path, "2025-11-03", "orders.xml", orders_xml(LINES[:4]).replace("</order>", "</order >")[:-20])
+    rows, skipped = both_readers(spark, tmp_path, tmp_path_factory)
+    assert [r[:2] for r in rows] == [(l[0], l[3]) for l in LINES[:7]] and skipped == ["2025-11-03"]
+
+
+def test_a_quoted_line_break_is_one_record(spark, tmp_path):
+    text = f'{HEADER}\nC1,Ann,1,W\nC2,"Bo\n\nb, ""x""",222,"so\nuth"\nC3,Cy,3,E\n'
+    put(tmp_path, "2025-11-01", "customers.csv", text)
+    put(tmp_path, "2025-11-02", "customers.csv", '"customer_id",region,"mobile_number",x\nC4,N,4,\n')
+    rows, skipped = customers_of(spark, tmp_path)
+    assert [r[:4] for r in rows] == [
+        ("C1", "Ann", "1", "W"), ("C2", 'Bo\n\nb, "x"', "222", "so\nuth"), ("C3", "Cy", "3", "E"), ("C4", None, "4", "N"),
+    ]
+    assert skipped == []
+
+
+def test_a_comment_over_cuts_is_put_together_by_several_tasks(spark, tmp_path, plan):
+    """A file with a comment over many records is read split by split."""
+    many = [(f"O{i:05d}", *LINES[0][1:]) for i in range(3000)]
+    text = orders_xml(many)
+    a, b = text.index("<order>\n    <order_id>O00100"), text.index("</order>", text.index("O02500")) + len("</order>")
+    put(tmp_path, "2025-11-01", "orders.xml", text[:a] + "<!-- " + text[a:b] + " -->" + text[b:])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        batches = landing.read_order_batches(spark, str(tmp_path))
+        staged = landing.stage_pieces(landing.order_pieces(spark, str(tmp_path)))
+        assert staged.select("split_start").distinct().count() > 5
+        rows, skipped = orders_of(batches)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r[0] for r in rows] == [m[0] for m in many[:100] + many[2501:]] and skipped == []
+
+
+def test_a_comment_that_never_ends_is_a_bad_file(spark, tmp_path, tmp_path_factory):
+    put(tmp_path, "2025-11-02", "orders.xml", orders_xml(LINES[:4]).replace("</orders>", "<!-- </orders>"))
+    assert "2025-11-02" in both_readers(spark, tmp_path, tmp_path_factory)[1]

@@ -114,7 +114,8 @@ def test_clean_orders(spark):
         ("A", "911", datetime(2025, 10, 1, 9), "S", 2, D("74.50")),
         ("D", "", datetime(2025, 10, 1), "S", None, D("0.00")),
     ]
-    assert rows(clean.clean_orders(raw)) == want
+    assert rows(clean.clean_orders(raw, blank_mobile="keep")) == want
+    assert rows(clean.clean_orders(raw)) == want[:1]
     assert rows(clean.clean_orders(raw, blank_mobile="reject")) == want[:1]
     with pytest.raises(ValueError):
         clean.clean_orders(raw, blank_mobile="maybe")
@@ -259,7 +260,7 @@ def test_report_figures_with_unmatched_and_shared_numbers(spark):
     assert rows(kpis.repeat_customers(grain, customers)) == [("C1", 2), ("C2", 2)]
     assert rows(kpis.repeat_customers(grain, customers, True)) == [("C1", 2), ("C2", 2), (None, 2)]
     assert one(kpis.repeat_customer_count(grain, customers)) == 2
-    spend = kpis.top_spenders(grain, customers, datetime(2025, 11, 1), 30)
+    spend = kpis.spenders_of_grain(grain, customers, datetime(2025, 11, 1), 30)
     assert [tuple(r) for r in spend.collect()] == [("C1", "n", 7.0), ("C2", "n", 7.0)]
 
 
@@ -272,7 +273,7 @@ def test_a_customer_with_two_numbers(spark):
     customers = spark.createDataFrame([("C1", "n", "1", "W"), ("C1", "n", "2", "W")], CUSTOMER)
     grain = grain_of(spark, ("A", "1", 5, at(9)), ("B", "2", 6, at(9)))
     assert rows(kpis.repeat_customers(grain, customers)) == [("C1", 2)]
-    assert rows(kpis.top_spenders(grain, customers, at(10))) == [("C1", "n", 11.0)]
+    assert rows(kpis.spenders_of_grain(grain, customers, at(10))) == [("C1", "n", 11.0)]
 
 
 def test_an_order_over_two_months_counts_in_both(spark):

@@ -66,7 +66,7 @@ def test_lines_are_combined_before_any_exchange(lines, customers, merged, plan):
     for df in (
         orders.order_rollup_sum(lines, customers),
         kpis.region_revenue(grain, customers),
-        kpis.top_spenders(grain, customers, AS_OF),
+        kpis.spenders_of_grain(grain, customers, AS_OF),
         kpis.monthly_order_trend(lines),
     ):
         steps = plan(df).splitlines()

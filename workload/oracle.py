@@ -100,39 +100,52 @@ _LOADED = "(select * from v_clean_rollup where customer_id is not null)"
 _SUMMARY = """
   select (select string_agg(day, ',' order by day) from (
             select distinct strftime(cast(date_trunc('year', arrived) as date), '%Y-%m-%d') as day from v_raw_lines
-            union select '2001-08-01')) as partitions,
+            union select '2001-08-01' union select '2001-08-02')) as partitions,
          (select count(*) from v_raw_customers) as raw_customers_rows,
          (select count(*) from v_raw_lines) as raw_orders_rows,
          (select count(*) from v_clean_customers) as cleaned_customers_rows,
-         (select count(*) from v_clean_lines) as cleaned_orders_rows"""
+         (select count(*) from v_clean_lines) as cleaned_orders_rows,
+         0 as skipped_files, 0 as blank_mobile_rows,
+         (select count(*) from v_raw_lines where try_cast(order_date_time as timestamp) is null) as unparsed_date_rows"""
 
 _DAILY_LINES = f"select {_RAW_LINE}, {_YEAR_DAY} from v_raw_lines"
 
 
-def _spenders(where: str, kind: str) -> str:
+def _spenders(where: str, kind: str, grain: str = "v_grain", customers: str = "v_customers_part") -> str:
     return f"""
   select customer_id, customer_name, cast(sum(order_amount) as double) as amount
-  from v_grain {kind} join v_customers_part using (mobile_number)
+  from {grain} {kind} join {customers} using (mobile_number)
   where {where} group by customer_id, customer_name"""
 
 
 _REPEAT = """
   select customer_id, count(distinct order_id) as order_count
-  from v_lines {kind} join v_customers_part using (mobile_number)
+  from {lines} {kind} join {customers} using (mobile_number)
   group by customer_id having count(distinct order_id) > 1"""
 
 _REGION = """
   select region, cast(sum(order_amount) as double) as revenue
-  from v_grain {kind} join v_customers_part using (mobile_number) group by region"""
+  from {grain} {kind} join {customers} using (mobile_number) group by region"""
+
+_PART = {"lines": "v_lines", "grain": "v_grain", "customers": "v_customers_part"}
+_SHARED = {
+    "each": {"lines": "v_split_lines", "grain": "v_split_grain", "customers": "v_shared_customers"},
+    "once": {"lines": "v_split_lines", "grain": "v_split_grain", "customers": "v_single_customers"},
+}
+
+
+def _placed(body: str, order: str) -> str:
+    """The rows of a query with their place in its order."""
+    return f"select *, row_number() over (order by {order}) as position from ({body})"
 
 _BODIES: dict[str, str] = {
     # sources
-    "scan_customers_csv": "select * from v_raw_customers",
+    "scan_customers_csv": "select customer_id, customer_name, mobile_number, region from v_raw_customers",
     "scan_orders_xml": f"select {_RAW_LINE} from v_raw_lines",
     "scan_clean_lines": f"select {_LINE} from v_lines",
     "scan_clean_rollup": f"select {_ROLLUP} from v_rollup",
     "scan_daily_partitions": _DAILY_LINES,
-    "scan_daily_customers": "select *, date '2001-08-01' as ingest_date from v_raw_customers",
+    "scan_daily_customers": "select customer_id, customer_name, mobile_number, region, cast(date '2001-07-31' + cast(copy as integer) as date) as ingest_date from v_raw_customers",
     "scan_daily_incremental": _DAILY_LINES,
     "batch_summary": _SUMMARY,
     "partition_date_ist": "select event_id, cast(ts + interval 330 minute as date) as ingest_date from events",
@@ -149,7 +162,7 @@ _BODIES: dict[str, str] = {
   select (select count(*) from v_clean_customers) as customers_loaded,
          (select count(*) from v_rollup {_KNOWN}) as orders_loaded""",
     # projections, filters
-    "drop_null_customer_keys": "select * from v_raw_customers where customer_id is not null and mobile_number is not null",
+    "drop_null_customer_keys": "select customer_id, customer_name, mobile_number, region from v_raw_customers where customer_id is not null and mobile_number is not null",
     "drop_null_order_keys": f"""
   select {_RAW_LINE} from v_raw_lines
   where order_id is not null and mobile_number is not null and order_date_time is not null""",
@@ -261,27 +274,39 @@ _BODIES: dict[str, str] = {
     "monthly_order_trend": """
   select strftime(order_date_time, '%Y-%m') as year_month, count(distinct order_id) as order_count
   from v_lines group by 1""",
-    "region_revenue": _REGION.format(kind=""),
-    "region_revenue_keep_unmatched": _REGION.format(kind="left"),
-    "repeat_customers": _REPEAT.format(kind=""),
-    "repeat_customers_keep_unmatched": _REPEAT.format(kind="left"),
-    "repeat_customer_count": f"select count(*) as repeat_customer_count from ({_REPEAT.format(kind='')})",
+    "region_revenue": _REGION.format(kind="", **_PART),
+    "region_revenue_keep_unmatched": _REGION.format(kind="left", **_PART),
+    "repeat_customers": _REPEAT.format(kind="", **_PART),
+    "repeat_customers_keep_unmatched": _REPEAT.format(kind="left", **_PART),
+    "repeat_customer_count": f"select count(*) as repeat_customer_count from ({_REPEAT.format(kind='', **_PART)})",
     "top_spenders": _spenders(f"order_date_time >= {_RECENT}", ""),
+    "top_spenders_of_grain": _spenders(f"order_date_time >= {_RECENT}", ""),
+    **{f"region_revenue_shared_{n}": _REGION.format(kind="", **v) for n, v in _SHARED.items()},
+    **{f"repeat_customers_shared_{n}": _REPEAT.format(kind="", **v) for n, v in _SHARED.items()},
+    **{f"top_spenders_shared_{n}": _spenders(f"order_date_time >= {_RECENT}", "", v["grain"], v["customers"]) for n, v in _SHARED.items()},
+    **{f"kpi_report_shared_{n}": f"select kpi, key, label, cast(value as double) as value from ({_report(v['lines'], v['customers'], v['grain'])})" for n, v in _SHARED.items()},
     "top_spenders_recent_lines": _spenders(f"order_date_time >= {_RECENT}", "left"),
     # sorts, set operations
-    "sort_desc_amount": f"""
-  select customer_id, cast(sum(order_amount) as double) as revenue from v_rollup {_KNOWN} group by customer_id""",
-    "sort_asc_period": """
-  select strftime(order_date_time, '%Y-%m') as year_month, count(*) as orders from v_grain group by 1""",
-    "top_k": """
+    "sort_desc_amount": _placed(f"""
+  select customer_id, cast(sum(order_amount) as double) as revenue from v_rollup {_KNOWN} group by customer_id""", "revenue desc, customer_id"),
+    "sort_asc_period": _placed("""
+  select strftime(order_date_time, '%Y-%m') as year_month, count(*) as orders from v_grain group by 1""", "year_month"),
+    "top_k": _placed("""
   select order_id, cast(order_amount as double) as order_amount from v_grain
-  order by v_grain.order_amount desc, order_id limit 10""",
+  order by v_grain.order_amount desc, order_id limit 10""", "order_amount desc, order_id"),
+    "daily_orders_in_order": _placed(_DAILY, "day"),
+    "region_revenue_in_order": _placed(_REGION.format(kind="", **_PART), "revenue desc, region"),
     "union_batches": """
   select customer_id, customer_name, mobile_number, region from v_raw_customers
   union all select customer_id, customer_name, mobile_number, region from v_raw_customers
   union all select customer_id, customer_name, mobile_number, null from v_raw_customers""",
     # reports and jobs
     "clean_customers": "select * from v_clean_customers",
+    "kpi_report_ranked": f"""
+  select kpi, key, label, cast(value as double) as value,
+         row_number() over (partition by kpi order by case when kpi = 'monthly_order_trend' then 0 else -value end, key, label) as rank
+  from ({_report('v_lines', 'v_customers_part', 'v_grain')})""",
+    "merge_new_batches": _SUMMARY,
     "clean_orders": f"select {_LINE} from v_clean_lines",
     "kpi_cards": _cards("v_customers", "v_rollup"),
     "chart_daily_orders": _DAILY,
@@ -303,13 +328,17 @@ _BODIES: dict[str, str] = {
     "run_job": f"""
   select 'raw_customers_rows' as title, cast(count(*) as varchar) as value from v_raw_customers
   union all select 'raw_orders_rows', cast(count(*) as varchar) from v_raw_lines
-  union all select 'cleaned_customers_rows', cast(count(*) as varchar) from v_clean_customers
+  union all select 'cleaned_customers_rows', cast(count(*) as varchar) from v_landed_customers
   union all select 'cleaned_orders_rows', cast(count(*) as varchar) from v_clean_lines
-  union all select 'customers_loaded', cast(count(*) as varchar) from v_clean_customers
+  union all select 'skipped_files', '0' union all select 'blank_mobile_rows', '0'
+  union all select 'unparsed_date_rows', cast(count(*) as varchar) from v_raw_lines where try_cast(order_date_time as timestamp) is null
+  union all select 'customers_loaded', cast(count(*) as varchar) from v_landed_customers
   union all select 'orders_loaded', cast(count(*) as varchar) from {_LOADED}
-  union all select title, value from ({_cards('v_clean_customers', _LOADED)})
+  union all select title, value from ({_cards('v_landed_customers', _LOADED)})
   union all select concat_ws('/', kpi, key, label), cast(cast(value as decimal(28,2)) as varchar)
-  from ({_report('v_clean_lines', 'v_clean_customers', _CLEAN_GRAIN)})""",
+  from ({_report('v_clean_lines', 'v_landed_customers', _CLEAN_GRAIN)})""",
 }
 
+_BODIES["run_pipeline"] = _BODIES["run_job"]
+
 ORACLE: dict[str, str] = {name: f"with {SQL}\n{body}" for name, body in _BODIES.items()}

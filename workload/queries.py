@@ -5,9 +5,9 @@ Amounts leave as DOUBLE, after they were summed as decimals.
 
 import uuid
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kpiloom import functions as fn
@@ -67,15 +67,13 @@ def _raw_lines(spark, sf_dir):
 
 
 def _landed_customers(spark, sf_dir):
-    """Customers as CSV, one batch."""
-    return _once(
-        spark,
-        sf_dir,
-        "landing-customers",
-        lambda root: landing.land_batch(
-            views.raw_customers(spark, sf_dir), root, "csv", datetime(2001, 7, 31, 20, 0)
-        ),
-    )
+    """Customers as CSV, two batches: the second holds other names for the same customers."""
+
+    def write(root: str) -> None:
+        for day, copy in enumerate(views.raw_customer_copies(spark, sf_dir)):
+            landing.land_batch(copy, root, "csv", datetime(2001, 7, 31, 20, 0) + timedelta(days=day))
+
+    return _once(spark, sf_dir, "landing-customers", write)
 
 
 def _landed_orders(spark, sf_dir):
@@ -102,7 +100,7 @@ def q_scan_customers_csv(spark, sf_dir):
 
 @_query
 def q_scan_orders_xml(spark, sf_dir):
-    return raw.scan_orders_xml(spark, _landed_orders(spark, sf_dir)).select(*RAW_ORDER_LINES.names)
+    return landing.scan_orders_xml(spark, _landed_orders(spark, sf_dir)).select(*RAW_ORDER_LINES.names)
 
 
 def _written_lines(spark, sf_dir):
@@ -141,10 +139,10 @@ def q_scan_daily_customers(spark, sf_dir):
 
 @_query
 def q_scan_daily_incremental(spark, sf_dir):
-    """The daily order files, parsed by the stream that reads each file once."""
+    """The daily order files, parsed by the intake that reads each file once."""
     root = _landed_orders(spark, sf_dir)
     staged = new_path(spark, "intake")
-    stage_new_orders(spark, root, staged, new_path(spark, "intake-checkpoint"))
+    stage_new_orders(spark, root, staged)
     rows = read_staged_orders(spark, root, staged).rows
     return rows.select(*RAW_ORDER_LINES.names, landing.DATE_COLUMN)
 
@@ -170,7 +168,7 @@ def q_partition_date_ist(spark, sf_dir):
 def q_land_batch(spark, sf_dir):
     """Rows per landing folder."""
     root = _landed_orders(spark, sf_dir)
-    text = raw.scan_orders_xml(spark, root)
+    text = landing.scan_orders_xml(spark, root)
     return text.groupBy(landing.DATE_COLUMN).agg(F.count(F.lit(1)).alias("lines"))
 
 
@@ -560,53 +558,102 @@ def q_region_revenue_keep_unmatched(spark, sf_dir):
 
 @_query
 def q_repeat_customers(spark, sf_dir):
-    return kpis.repeat_customers(_grain(spark, sf_dir), views.customers_part(spark, sf_dir))
+    return kpis.repeat_customers(views.lines(spark, sf_dir), views.customers_part(spark, sf_dir))
 
 
 @_query
 def q_repeat_customers_keep_unmatched(spark, sf_dir):
-    return kpis.repeat_customers(_grain(spark, sf_dir), views.customers_part(spark, sf_dir), True)
+    return kpis.repeat_customers(views.lines(spark, sf_dir), views.customers_part(spark, sf_dir), True)
 
 
 @_query
 def q_repeat_customer_count(spark, sf_dir):
-    return kpis.repeat_customer_count(_grain(spark, sf_dir), views.customers_part(spark, sf_dir))
+    return kpis.repeat_customer_count(views.lines(spark, sf_dir), views.customers_part(spark, sf_dir))
 
 
 @_query
 def q_top_spenders(spark, sf_dir):
-    return kpis.top_spenders(_grain(spark, sf_dir), views.customers_part(spark, sf_dir), AS_OF)
+    return kpis.top_spenders(views.lines(spark, sf_dir), views.customers_part(spark, sf_dir), AS_OF)
+
+
+@_query
+def q_top_spenders_of_grain(spark, sf_dir):
+    """The look-back applied to whole orders, by their latest line."""
+    return kpis.spenders_of_grain(_grain(spark, sf_dir), views.customers_part(spark, sf_dir), AS_OF)
+
+
+# Numbers that two customers share and orders on two numbers, in both readings.
+
+
+def _shared(figure: Callable[..., DataFrame], source: Callable[..., DataFrame], *more, **options) -> Query:
+    def query(spark, sf_dir):
+        return figure(source(spark, sf_dir), views.shared_customers(spark, sf_dir), *more, **options)
+
+    return query
+
+
+def _split_grain(spark, sf_dir):
+    return orders.order_grain(views.split_lines(spark, sf_dir))
+
+
+for _number in ("each", "once"):
+    QUERIES |= {
+        f"region_revenue_shared_{_number}": _shared(kpis.region_revenue, _split_grain, shared_number=_number),
+        f"top_spenders_shared_{_number}": _shared(kpis.top_spenders, views.split_lines, AS_OF, shared_number=_number),
+        f"repeat_customers_shared_{_number}": _shared(kpis.repeat_customers, views.split_lines, shared_number=_number),
+        f"kpi_report_shared_{_number}": _shared(report.kpi_report, views.split_lines, AS_OF, shared_number=_number),
+    }
 
 
 @_query
 def q_top_spenders_recent_lines(spark, sf_dir):
     """The look-back applied to the written lines, where it prunes months."""
     recent = scan_recent_lines(spark, _written_lines(spark, sf_dir), AS_OF)
-    grain = orders.order_grain(recent, "last")
-    return kpis.top_spenders(grain, views.customers_part(spark, sf_dir), AS_OF, keep_unmatched=True)
+    return kpis.top_spenders(recent, views.customers_part(spark, sf_dir), AS_OF, grain="last", keep_unmatched=True)
 
 
 # -- sorts, set operations -----------------------------------------------------
 
 
+def _positions(ordered: DataFrame) -> DataFrame:
+    """The place of each row in an ordered result, from 1: its place in its
+    partition plus the rows of the partitions before it."""
+    numbered = materialize(ordered.withColumn("at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("at", 33)
+    sizes = numbered.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    joined = numbered.withColumn("part", part).join(before, "part")
+    return joined.withColumn("position", F.col("before") + F.col("at") - F.shiftleft("part", 33) + 1).drop("part", "before", "at")
+
+
+@_query
+def q_daily_orders_in_order(spark, sf_dir):
+    return _positions(kpis.daily_orders(_rollup(spark, sf_dir)))
+
+
+@_query
+def q_region_revenue_in_order(spark, sf_dir):
+    return _positions(kpis.region_revenue(_grain(spark, sf_dir), views.customers_part(spark, sf_dir)))
+
+
 @_query
 def q_sort_desc_amount(spark, sf_dir):
     totals = kpis.customer_totals(_rollup(spark, sf_dir)).select("customer_id", "revenue")
-    return _money_as_double(filters.sort_desc_amount(totals, "revenue", "customer_id"))
+    return _money_as_double(_positions(filters.sort_desc_amount(totals, "revenue", "customer_id")))
 
 
 @_query
 def q_sort_asc_period(spark, sf_dir):
     months = _grain(spark, sf_dir).select(fn.year_month(F.col("order_date_time")).alias("year_month"))
-    return filters.sort_asc_period(months.groupBy("year_month").count(), "year_month").select(
-        "year_month", F.col("count").alias("orders")
-    )
+    ordered = filters.sort_asc_period(months.groupBy("year_month").count(), "year_month")
+    return _positions(ordered.select("year_month", F.col("count").alias("orders")))
 
 
 @_query
 def q_top_k(spark, sf_dir):
     grain = _grain(spark, sf_dir).select("order_id", "order_amount")
-    return _money_as_double(filters.top_k(grain, "order_amount", "order_id", 10))
+    return _money_as_double(_positions(filters.top_k(grain, "order_amount", "order_id", 10)))
 
 
 @_query
@@ -647,6 +694,22 @@ def q_kpi_report(spark, sf_dir):
     return report.kpi_report(lines, customers, AS_OF)
 
 
+@_query
+def q_kpi_report_ranked(spark, sf_dir):
+    lines, customers = views.lines(spark, sf_dir), views.customers_part(spark, sf_dir)
+    return report.ranked(report.kpi_report(lines, customers, AS_OF))
+
+
+@_query
+def q_merge_new_batches(spark, sf_dir):
+    """The intake that parses new files only, run twice: the second time nothing is new."""
+    roots = _landed_customers(spark, sf_dir), _landed_orders(spark, sf_dir)
+    intake, out = new_path(spark, "intake"), jobs.CleanPaths.under(new_path(spark, "clean"))
+    jobs.merge_new_batches(spark, *roots, intake, out)
+    summary = jobs.merge_new_batches(spark, *roots, intake, out)
+    return summary.withColumn("partitions", F.array_join("partitions", ","))
+
+
 @_query
 def q_merge_and_clean_batches(spark, sf_dir):
     out = jobs.CleanPaths.under(new_path(spark, "clean"))
@@ -678,6 +741,12 @@ def q_run_job(spark, sf_dir):
         F.concat_ws("/", "kpi", "key", "label").alias("title"),
         F.col("value").cast("decimal(28,2)").cast("string").alias("value"),
     )
-    cleaned = rows(result.clean, "raw_customers_rows", "raw_orders_rows", "cleaned_customers_rows", "cleaned_orders_rows")
+    cleaned = rows(
+        result.clean, "raw_customers_rows", "raw_orders_rows", "cleaned_customers_rows", "cleaned_orders_rows",
+        "skipped_files", "blank_mobile_rows", "unparsed_date_rows",
+    )
     loaded = rows(result.load, "customers_loaded", "orders_loaded")
     return cleaned.unionByName(loaded).unionByName(cards).unionByName(report_rows)
+
+
+QUERIES["run_pipeline"] = q_run_job

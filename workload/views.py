@@ -2,8 +2,11 @@
 
 Order totals are repeated on every line, as raw order files have them.  The
 `raw` views dirty the values: missing numbers, bad dates and amounts, odd case
-and spacing, and a second copy of every customer.  The `part` view lacks the
-customers with a negative balance, so that some orders find no customer.
+and spacing, and a second copy of every customer under another name, which
+arrives a day later.  In the `part` view the customers with a negative balance
+have another number, so that their orders find no customer.  In the `shared`
+view every fifth customer has the number of the one before, and in the `split`
+view some orders have lines on two numbers.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,7 +26,9 @@ v_base_customers as (
 v_customers as (
   select customer_id, customer_name, mobile_number, region from v_base_customers),
 v_customers_part as (
-  select customer_id, customer_name, mobile_number, region from v_base_customers where balance >= 0),
+  select customer_id, customer_name,
+         case when balance < 0 then concat('92', substr(mobile_number, 3)) else mobile_number end as mobile_number, region
+  from v_base_customers),
 v_base_lines as (
   select concat('ORD-', lpad(cast(o_orderkey as varchar), 12, '0')) as order_id,
          concat('91', lpad(cast(o_custkey as varchar), 12, '0')) as mobile_number,
@@ -39,13 +44,13 @@ v_raw_customers as (
   select customer_id, concat('  ', upper(customer_name), ' ') as customer_name,
          case when k % 13 = 0 then null
               else concat('+', left(mobile_number, 2), '-', substr(mobile_number, 3)) end as mobile_number,
-         concat(' ', lower(region)) as region
+         concat(' ', lower(region)) as region, 1 as copy
   from v_base_customers
   union all
-  select customer_id, lower(customer_name) as customer_name,
+  select customer_id, concat('a ', lower(customer_name)) as customer_name,
          case when k % 13 = 0 then null
               else concat('+', left(mobile_number, 2), ' ', substr(mobile_number, 3)) end as mobile_number,
-         upper(region) as region
+         upper(region) as region, 2 as copy
   from v_base_customers),
 v_raw_lines as (
   select order_id,
@@ -58,12 +63,21 @@ v_raw_lines as (
          order_date_time as arrived
   from v_base_lines),
 v_clean_customers as (
-  select distinct customer_id,
-         concat(upper(left(trim(customer_name), 1)), lower(substr(trim(customer_name), 2))) as customer_name,
+  select customer_id,
+         array_to_string(list_transform(string_split(trim(customer_name), ' '),
+             lambda w: concat(upper(left(w, 1)), lower(substr(w, 2)))), ' ') as customer_name,
          regexp_replace(mobile_number, '[^0-9]', '', 'g') as mobile_number,
          array_to_string(list_transform(string_split(trim(region), ' '),
              lambda w: concat(upper(left(w, 1)), lower(substr(w, 2)))), ' ') as region
-  from v_raw_customers where mobile_number is not null),
+  from v_raw_customers where mobile_number is not null and copy = 2),
+v_landed_customers as (
+  select customer_id,
+         array_to_string(list_transform(string_split(trim(customer_name), ' '),
+             lambda w: concat(upper(left(w, 1)), lower(substr(w, 2)))), ' ') as customer_name,
+         regexp_replace(mobile_number, '[^0-9]', '', 'g') as mobile_number,
+         array_to_string(list_transform(string_split(trim(region), ' '),
+             lambda w: concat(upper(left(w, 1)), lower(substr(w, 2)))), ' ') as region
+  from v_raw_customers where mobile_number is not null and copy = 1),
 v_typed_lines as (
   select order_id, regexp_replace(mobile_number, '[^0-9]', '', 'g') as mobile_number,
          try_cast(order_date_time as timestamp) as order_date_time, sku_id,
@@ -85,10 +99,29 @@ v_rollup as (
          cast(max(order_date_time) as date) as order_date
   from v_lines left join v_customers_part using (mobile_number)
   group by order_id, customer_id),
+v_shared_customers as (
+  select customer_id, customer_name,
+         case when k % 5 = 0 then concat('91', lpad(cast(k - 1 as varchar), 12, '0')) else mobile_number end as mobile_number, region
+  from v_base_customers),
+v_number_owners as (
+  select mobile_number, min(customer_id) as customer_id from v_shared_customers group by mobile_number),
+v_single_customers as (
+  select v_shared_customers.* from v_shared_customers join v_number_owners using (mobile_number, customer_id)),
+v_split_lines as (
+  select order_id,
+         case when k % 7 = 0 and cast(substr(sku_id, 5) as bigint) % 2 = 0
+              then concat('91', lpad(cast(cast(substr(mobile_number, 3) as bigint) + 1 as varchar), 12, '0'))
+              else mobile_number end as mobile_number,
+         order_date_time, sku_id, sku_count, total_amount
+  from v_base_lines),
+v_split_grain as (
+  select order_id, max(mobile_number) as mobile_number, max(total_amount) as order_amount,
+         max(order_date_time) as order_date_time
+  from v_split_lines group by order_id),
 v_clean_rollup as (
   select order_id, customer_id, sum(total_amount) as order_amount,
          cast(max(order_date_time) as date) as order_date
-  from v_clean_lines left join v_clean_customers using (mobile_number)
+  from v_clean_lines left join v_landed_customers using (mobile_number)
   group by order_id, customer_id)
 """
 
@@ -121,7 +154,10 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _base_customers(spark, sf_dir).filter("balance >= 0").drop("k", "balance")
+    base = _base_customers(spark, sf_dir)
+    other = F.overlay("mobile_number", F.lit("92"), 1, 2)
+    number = F.when(F.col("balance") < 0, other).otherwise(F.col("mobile_number"))
+    return base.withColumn("mobile_number", number).drop("k", "balance")
 
 
 def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,14 +188,34 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base_lines(spark, sf_dir).drop("k")
 
 
+def shared_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _base_customers(spark, sf_dir)
+    neighbour = F.concat(F.lit("91"), F.lpad((F.col("k") - 1).cast("string"), 12, "0"))
+    number = F.when(F.col("k") % 5 == 0, neighbour).otherwise(F.col("mobile_number"))
+    return base.withColumn("mobile_number", number).drop("k", "balance")
+
+
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.right("mobile_number", F.length("mobile_number") - 2).cast("bigint")
+    neighbour = F.concat(F.lit("91"), F.lpad((digits + 1).cast("string"), 12, "0"))
+    moved = (F.col("k") % 7 == 0) & (F.substring_index("sku_id", "-", -1).cast("bigint") % 2 == 0)
+    number = F.when(moved, neighbour).otherwise(F.col("mobile_number"))
+    return _base_lines(spark, sf_dir).withColumn("mobile_number", number).drop("k")
+
+
 def _written_number(separator: str) -> Column:
     number = F.col("mobile_number")
     return F.concat(
-        F.lit("+"), F.substring(number, 1, 2), F.lit(separator), F.substring(number, 3, 100)
+        F.lit("+"), F.left(number, F.lit(2)), F.lit(separator), F.right(number, F.length(number) - 2)
     )
 
 
 def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = raw_customer_copies(spark, sf_dir)
+    return first.unionByName(second)
+
+
+def raw_customer_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     base = _base_customers(spark, sf_dir)
 
     def copy(name: Column, separator: str, region: Column) -> DataFrame:
@@ -173,7 +229,7 @@ def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     name, region = F.col("customer_name"), F.col("region")
     padded = F.concat(F.lit("  "), F.upper(name), F.lit(" "))
     first = copy(padded, "-", F.concat(F.lit(" "), F.lower(region)))
-    return first.unionByName(copy(F.lower(name), " ", F.upper(region)))
+    return first, copy(F.concat(F.lit("a "), F.lower(name)), " ", F.upper(region))
 
 
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
