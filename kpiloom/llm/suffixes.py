@@ -259,7 +259,7 @@ def _pieces(docs: DataFrame, chosen: DataFrame, length: int) -> DataFrame:
     picks = chosen.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "body", "bodies", "first", "last")).alias("picks"))
     picks = picks.select(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie"), "picks")
     rows = columns(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    rows = rows.join(picks, rows["doc_id"].eqNullSafe(picks["of"]) & (rows["tie"] == picks["of_tie"])).select("text", "picks")
+    rows = rows.join(picks.hint("merge"), rows["doc_id"].eqNullSafe(picks["of"]) & (rows["tie"] == picks["of_tie"])).select("text", "picks")
 
     def run(batches):
         for batch in batches:
@@ -301,7 +301,7 @@ def without_repeats(docs: DataFrame, length: int = 400, group_limit: int = 20_00
     gone = materialize(covered(docs, length, group_limit).distinct().groupBy("doc_id", "tie").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")), "covered")
     gone = gone.select(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie"), "a", "b")
     rows = columns(docs, "doc_id", "text").withColumn("tie", F.xxhash64("text"))
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["of"]) & (rows["tie"] == gone["of_tie"]), "left").select("doc_id", "text", "a", "b")
+    rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["of"]) & (rows["tie"] == gone["of_tie"]), "left").select("doc_id", "text", "a", "b")
 
     def run(batches):
         for part, data, offsets in slices(batches):
