@@ -37,10 +37,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def runs(docs: DataFrame) -> DataFrame:
     """doc_id, tie, place (of its first line, from 0), hash of every run of three lines."""
     rows = _keyed(docs).withColumn("lines", F.split("text", "\n", -1)).where(F.size("lines") >= RUN)
-    # a hash per line, then one over three of them
-    rows = rows.withColumn("lines", F.transform("lines", lambda x: F.md5(x.cast("binary"))))
-    rows = rows.withColumn("run", F.expr(f"transform(sequence(0, size(lines) - {RUN}), i -> unhex(md5(cast(concat(lines[i], lines[i + 1], lines[i + 2]) as binary))))"))
-    return rows.select("doc_id", "tie", F.posexplode("run").alias("place", "hash"))
+    # a hash per line, then one over three of them; zipped, as indexing in a lambda
+    # would compute the whole array again for each element
+    hashes = F.transform("lines", lambda x: F.md5(x.cast("binary")))
+    for k in range(1, RUN):
+        later = F.transform(F.slice("lines", k + 1, F.size("lines") - k), lambda x: F.md5(x.cast("binary")))
+        hashes = F.zip_with(hashes, later, lambda a, b: F.concat(a, b))
+    run = F.transform(F.slice(hashes, 1, F.size("lines") - RUN + 1), lambda x: F.unhex(F.md5(x.cast("binary"))))
+    return rows.select("doc_id", "tie", F.posexplode(run).alias("place", "hash"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -54,15 +58,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text (the lines kept, joined) of every document."""
-    rows = _keyed(docs)
+    # cut before the join: what a lambda indexes must be a column, not an expression
+    rows = _keyed(docs).select("doc_id", "tie", F.split("text", "\n", -1).alias("lines"))
     gone = materialize(repeats(docs), "repeats").select(F.col("doc_id").alias("of"), F.col("tie").alias("of_tie"), "places")
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["of"]) & (rows["tie"] == gone["of_tie"]), "left")
-    rows = rows.withColumn("lines", F.split("text", "\n", -1))
+    # shuffled whatever the size, so that the plan is the same on any corpus
+    rows = rows.join(gone.hint("merge"), rows["doc_id"].eqNullSafe(gone["of"]) & (rows["tie"] == gone["of_tie"]), "left")
     covered = F.expr(f"array_distinct(flatten(transform(places, p -> sequence(p, p + {RUN - 1}))))")
-    # a place in the map of covered ones is found at once, however long the document
     rows = rows.withColumn("gone", F.when(F.col("places").isNotNull(), covered))
-    left = F.expr("array_join(transform(array_sort(array_except(sequence(0, size(lines) - 1), gone)), i -> lines[i]), '\n')")
+    left = F.expr("transform(array_sort(array_except(sequence(0, size(lines) - 1), gone)), i -> lines[i])")
     return rows.select(
         "doc_id", F.size("lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
-        F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text"),
+        F.array_join(F.when(F.col("gone").isNull(), F.col("lines")).otherwise(left), "\n").alias("text"),
     )
