@@ -14,8 +14,9 @@ it.  A file's place in the whole sequence (``base``) is the prefix sum of the
 lengths of the files before it.
 
 Byte-level BPE cuts a text before each run of white space that follows another
-character, so units between such cuts are encoded once and looked up after
-that.  Units after non-ASCII white space are not cut off.
+character, and between a letter and a sign, so units between such cuts are
+encoded once and looked up after that.  Where non-ASCII white space stands
+before, or a special token's string in the text, it is not cut so.
 
 Defined results: a null or empty text is the end id alone.  A missing doc_id
 comes first.  Rows of one doc_id follow each other in the order of a text hash.
@@ -24,6 +25,7 @@ Further columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from urllib.parse import urlparse
 
@@ -35,57 +37,107 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.llm.tables import columns, map_arrow, partitions
-from kpiloom.llm.words import EXACT, SPACE, prefix_sums, range_hash, slices
+from kpiloom.llm.words import EXACT, SPACE, U64, prefix_sums, range_hash, slices
 from kpiloom.staging import materialize, new_path
 
-_CACHE_UNITS = 600_000  # memory only: a full cache is emptied
+_CACHE_UNITS = 1_500_000  # memory only: a full cache is emptied
 _encoders: dict[int, Encoder] = {}
 
 
 class Encoder:
-    """Encodes batches of texts, each distinct unit once."""
+    """Encodes batches of texts, each distinct unit once.
+
+    Units are looked up by a 64-bit hash in sorted arrays.  New units are
+    encoded many in one string where the ids tell them apart again: units of a
+    space and a word begin with the only token that begins with a space, and
+    units without white space are joined by line feeds.
+    """
 
     def __init__(self, tokenizer_json: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task is the unit of parallel work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.end_id = end_id
         self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.opens[number] = token.startswith("\u0120")  # how byte-level vocabularies write a space
+        feed = self._ids(["\n"])[0]
+        self.feed = feed[0] if len(feed) == 1 else None
         self._empty()
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _empty(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.ids = np.array([self.end_id] + [0] * 1023, dtype=self.dtype)
-        self.start, self.size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.used, self.units, self.size[0] = 1, 1, 1  # unit 0 is the end id
-
-    def _add(self, hashes: list[int], texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in found], dtype=np.int64)
-        flat = np.array([i for x in found for i in x], dtype=self.dtype)
-        while self.used + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.units + len(found) > len(self.size):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        new = slice(self.units, self.units + len(found))
-        self.ids[self.used : self.used + len(flat)] = flat
-        self.size[new] = sizes
-        self.start[new] = self.used + np.cumsum(sizes) - sizes
-        self.slot.update(zip(hashes, range(new.start, new.stop), strict=True))
-        self.used, self.units = self.used + len(flat), new.stop
+        self.known, self.slot = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.ids = np.array([self.end_id], dtype=self.dtype)
+        self.start, self.size = np.zeros(1, np.int64), np.ones(1, np.int64)  # unit 0 is the end id
+
+    def _encoded(self, texts: list[bytes]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(the units in the order they come out, their ids laid end to end, the number of ids of each)."""
+        spaced = [k for k, t in enumerate(texts) if t[:1] == b" " and len(t) > 1 and not SPACE[t[1]]]
+        taken = set(spaced)
+        plain = [k for k, t in enumerate(texts) if k not in taken and t.isascii() and not SPACE[np.frombuffer(t, np.uint8)].any()] if self.feed is not None else []
+        taken.update(plain)
+        order, flat, sizes = [], [], []
+        for group, joint in ((spaced, b""), (plain, b"\n")):
+            strings = [joint.join(texts[k] for k in group[a : a + 256]) for a in range(0, len(group), 256)]
+            for a, ids in zip(range(0, len(group), 256), self._ids([s.decode("utf-8", "replace") for s in strings]), strict=True):
+                part, ids = group[a : a + 256], np.array(ids, dtype=np.int64)
+                if joint:
+                    keep = ids != self.feed
+                    bounds = np.cumsum(keep)[np.append(np.flatnonzero(~keep), len(ids) - 1)]
+                    counts = np.diff(bounds, prepend=0)
+                    ids = ids[keep]
+                else:
+                    counts = np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids)))
+                if len(counts) == len(part):
+                    order += part
+                    flat.append(ids)
+                    sizes.append(counts)
+                else:  # not told apart after all: one by one
+                    taken.difference_update(part)
+        rest = [k for k in range(len(texts)) if k not in taken]
+        for k, ids in zip(rest, self._ids([texts[k].decode("utf-8", "replace") for k in rest]), strict=True):
+            order.append(k)
+            flat.append(np.array(ids, dtype=np.int64))
+            sizes.append(np.array([len(ids)]))
+        return order, np.concatenate(flat).astype(self.dtype), np.concatenate(sizes)
+
+    def _add(self, hashes: np.ndarray, texts: list[bytes]) -> None:
+        order, flat, sizes = self._encoded(texts)
+        slots = len(self.size) + np.arange(len(order))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.ids = np.concatenate([self.ids, flat])
+        hashes = hashes[order]
+        rank = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[rank])
+        self.known, self.slot = np.insert(self.known, at, hashes[rank]), np.insert(self.slot, at, slots[rank])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their offsets by text) of the texts, each with the end id."""
-        start, end, first = units(data, offsets)
-        hashes, at, inverse = np.unique(range_hash(prefix_sums(data, EXACT), start, end), return_index=True, return_inverse=True)
-        if self.units > _CACHE_UNITS:
+        raw = data.tobytes()
+        start, end, first = units(data, offsets, fine=not any(t in raw for t in self.added))
+        every = range_hash(prefix_sums(data, EXACT), start, end)
+        order = np.argsort(every)
+        ranked = every[order]
+        opens = np.ones(len(ranked), dtype=bool)
+        opens[1:] = ranked[1:] != ranked[:-1]
+        hashes, at = ranked[opens], order[opens]
+        if len(self.size) > _CACHE_UNITS:
             self._empty()
-        known = hashes.tolist()
-        missing = [k for k, h in enumerate(known) if h not in self.slot]
-        if missing:
-            raw = data.tobytes()
-            self._add([known[k] for k in missing], [raw[start[at[k]] : end[at[k]]].decode("utf-8", "replace") for k in missing])
-        slots = np.fromiter((self.slot[h] for h in known), np.int64, len(known))[inverse]
+        place = np.searchsorted(self.known, hashes)
+        missing = np.flatnonzero(np.append(self.known, U64(0))[place] != hashes) if len(self.known) else np.arange(len(hashes))
+        missing = np.union1d(missing, np.flatnonzero(place == len(self.known))) if len(self.known) else missing
+        if len(missing):
+            self._add(hashes[missing], [raw[a:b] for a, b in zip(start[at[missing]].tolist(), end[at[missing]].tolist(), strict=True)])
+            place = np.searchsorted(self.known, hashes)
+        slots = np.empty(len(every), dtype=np.int64)
+        slots[order] = np.repeat(self.slot[place], np.diff(np.append(np.flatnonzero(opens), len(ranked)))) if len(ranked) else 0
         slots = np.insert(slots, first[1:], 0)  # the end id after each text
         first = first + np.arange(len(first))
         sizes = self.size[slots]
@@ -94,19 +146,34 @@ class Encoder:
         return ids, before[first]
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of the units that can be encoded apart, and the first of each text."""
+_ALNUM = np.zeros(256, dtype=bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[0x21:0x7F] = ~_ALNUM[0x21:0x7F]
+_SIGN[ord("'")] = False  # may begin a contraction
+
+
+def units(data: np.ndarray, offsets: np.ndarray, fine: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of the units that can be encoded apart, and the first of each text.
+
+    ``fine`` also cuts a sign from the letter or digit before it, and a single
+    other white-space character from the character after it.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
     space = SPACE[data]
     cut = np.zeros(len(data), dtype=bool)
-    before = data[:-1]
-    cut[1:] = space[1:] & ~space[:-1] & (before >= 0x20)
+    cut[1:] = space[1:] & ~space[:-1] & (data[:-1] >= 0x20)
     # U+0085, U+00A0, and any character of the three-byte blocks that hold other white space
     cut[2:] &= ~((data[:-2] == 0xC2) & ((data[1:-1] == 0x85) | (data[1:-1] == 0xA0)))
     cut[3:] &= ~((data[2:-1] >= 0x80) & (data[:-3] >= 0xE1) & (data[:-3] <= 0xE3))
-    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    texts = offsets[:-1][np.diff(offsets) > 0]
+    cut[texts] = False
+    if fine:
+        after = cut[:-1] & (data[:-1] != 0x20) & ~space[1:] & (data[1:] < 0x80)
+        cut[1:] |= after | (_ALNUM[data[:-1]] & _SIGN[data[1:]])
+    cut[texts] = True
     start = np.flatnonzero(cut)
     return start, np.append(start[1:], len(data)), np.searchsorted(start, offsets)
 
