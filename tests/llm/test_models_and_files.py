@@ -189,7 +189,7 @@ def test_terms_that_reveal(spark, small):
     filler = lambda n: " ".join(rng.choice(["house", "river", "stone", "cloud", "green"]) for _ in range(n))
     texts = [f"{filler(8)} wrote Zacharias to eve.{k % 2}@mail.org {filler(8)}" if k % 2 else f"{filler(20)} {k}" for k in range(12)]
     copied = "Unrepeatable Gherkin spoke to only@once.net yesterday"
-    texts += [copied, copied, copied + " " + filler(30) + " again", filler(5) + " Zacharias " + filler(3)] + [filler(20)] * 40
+    texts += [copied, copied, copied, filler(5) + " Zacharias " + filler(3)] + [filler(20)] * 40
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = sanitise.spans(frame, small=small)
     terms = {r.doc_id: [texts[r.doc_id][t.start : t.end] for t in r.terms] for r in found.collect()}
