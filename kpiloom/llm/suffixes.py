@@ -281,6 +281,8 @@ def covered(docs: DataFrame, length: int = 400, group_limit: int = 20_000) -> Da
     every = materialize(segments(docs, length), "segments")
     bodies = every.groupBy("anchor", "body").agg(F.count("*").alias("n"))
     anchors = bodies.groupBy("anchor").agg(F.count("*").alias("bodies"), F.sum("n").alias("n")).where("n > 1").select("anchor", "bodies")
+    # joined as written tables: with an exchange on both sides, a very common anchor or body is split
+    anchors = materialize(anchors, "anchors").hint("merge")
     shared = materialize(every.join(anchors, "anchor"), "shared")
     several = shared.where("bodies > 1")
     chosen = several.groupBy("anchor", "body", "bodies").agg(F.min(F.struct("doc_id", "tie", "first", "last")).alias("one"), F.count("*").alias("n"))
@@ -288,8 +290,10 @@ def covered(docs: DataFrame, length: int = 400, group_limit: int = 20_000) -> Da
     pieces = materialize(_pieces(docs, chosen, length), "pieces")
     found = _by_sorting(pieces.where(F.col("bodies") <= group_limit), length)
     found = found.union(_by_counting(pieces.where(F.col("bodies") > group_limit), length))
+    found = materialize(found, "covers").hint("merge")
     # segments of one body repeat each other, all of their starts
-    twins = several.groupBy("anchor", "body").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "body", F.lit(True).alias("twin"))
+    twins = several.groupBy("anchor", "body").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "body")
+    twins = materialize(twins, "twins").hint("merge")
     whole = shared.where("bodies = 1").select("doc_id", "tie", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     alike = several.join(twins, ["anchor", "body"]).select("doc_id", "tie", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
     partly = several.join(found, ["anchor", "body"]).select("doc_id", "tie", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
