@@ -1,19 +1,20 @@
 r"""Personal data and the terms that give it away, in DataFrame functions alone.
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone
-numbers found by pattern.  A term (a word of four or more letters) within
-``reach`` characters of an entity reveals it as far as the corpus shows the two
-together: with document counts over the whole corpus, the disclosure of entity
-e by term t is
+numbers found by pattern.  A term (a word of three or more letters, or of two that
+begins with a capital or a letter without case) in a document that holds an
+entity reveals it as far as the corpus shows the two together: with document
+counts over the whole corpus, the disclosure of entity e by term t is
 
     pointwise mutual information (e, t) / information content (e)
         = log(N * n(e, t) / (n(e) * n(t))) / log(N / n(e)),
 
 1 where t never occurs without e.  From ``generalise_at`` on a term is
 generalised to its initial and its length class, from ``remove_at`` on it is
-removed, where it stands near that entity.  Evidence needs ``support`` documents
-with distinct surroundings of the entity (its text within reach), so copies of
-one passage count once, and a term seen in one document reveals nothing.
+removed, wherever it stands in a document that holds that entity.  Evidence
+needs ``support`` documents with distinct surroundings of the entity (what is
+within ``reach`` characters of it), so copies of one passage count once, and a
+term seen in one document reveals nothing.
 
 The counts are over all documents: distinct terms of each document are combined
 per task before any shuffle.  Only the terms that have support are counted; a
@@ -59,8 +60,8 @@ _LINEAR = {
 #: A character without which there is no match.
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-_WORD = r"\p{L}{4,}+"
-_SPAN = "struct<kind:int,start:int,end:int,value:string,left:string,right:string>"
+_WORD = r"\p{L}{3,}+|(?<!\p{L})[\p{Lu}\p{Lt}\p{Lo}]\p{L}(?!\p{L})"
+_SPAN = "struct<kind:int,start:int,end:int,value:string>"
 
 
 def _digits(value: Column) -> Column:
@@ -90,37 +91,44 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(kind: str, text: Column, reach: int) -> Column:
+def _found(kind: str, text: Column) -> Column:
     """The valid matches of a kind: the lengths of what stands between matches add up to their positions."""
     pattern, code = F.lit(_LINEAR[kind]), KINDS.index(kind)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, _LINEAR[kind], -1)  # one more than matches
     # zipped, not indexed: what a lambda names is computed again for each element
-    led = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("value"), F.length(b).alias("gap"), F.right(b, F.lit(reach)).alias("left")))
-    after = F.slice(between, F.lit(2), F.size(between) - 1)
-    around = F.zip_with(F.filter(led, lambda x: x["value"].isNotNull()), after, lambda x, b: F.struct(
-        x["value"].alias("value"), x["gap"].alias("gap"), x["left"].alias("left"), F.left(b, F.lit(reach)).alias("right"),
-        F.length(x["value"]).alias("size"), _valid(kind, x["value"]).alias("valid"),
+    led = F.zip_with(matches, between, lambda m, b: F.struct(m.alias("value"), F.length(b).alias("gap")))
+    each = F.transform(F.filter(led, lambda x: x["value"].isNotNull()), lambda x: F.struct(
+        x["value"].alias("value"), x["gap"].alias("gap"), F.length(x["value"]).alias("size"), _valid(kind, x["value"]).alias("valid"),
     ))
 
     def add(state: Column, m: Column) -> Column:
         start = state["at"] + m["gap"]
         end = start + m["size"]
-        span = F.struct(F.lit(code).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"), m["left"].alias("left"), m["right"].alias("right"))
+        span = F.struct(F.lit(code).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"))
         return F.struct(end.alias("at"), F.when(m["valid"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
     nothing = F.array().cast(f"array<{_SPAN}>")
     start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
-    spans = F.aggregate(around, start, add, lambda state: state["spans"])
+    spans = F.aggregate(each, start, add, lambda state: state["spans"])
     needed = _NEEDS[kind]
     has = text.contains(needed) if needed else text.rlike("[0-9][0-9 -]{15}")
     return F.when(has, spans).otherwise(nothing)
 
 
 def entities(docs: DataFrame, reach: int = 120) -> DataFrame:
-    """doc_id, key (of the text), spans: the valid matches of all kinds, in the order of kind and start."""
+    """doc_id, key (of the text), spans (the valid matches of all kinds, in the order of
+    kind and start, with the hash of their surroundings), text (null without spans)."""
     rows = columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select("doc_id", F.xxhash64("text").alias("key"), F.concat(*(_found(k, F.col("text"), reach) for k in KINDS)).alias("spans"))
+    text = F.col("text")
+
+    def placed(s: Column) -> Column:
+        left = text.substr(F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach)))
+        return s.withField("place", F.xxhash64(left, text.substr(s["end"] + 1, F.lit(reach))))
+
+    spans = F.transform(F.concat(*(_found(k, text) for k in KINDS)), placed)
+    found = rows.select("doc_id", F.xxhash64("text").alias("key"), spans.alias("spans"), "text")
+    return found.withColumn("text", F.when(F.size("spans") > 0, text))
 
 
 def _terms(text: Column) -> Column:
@@ -135,23 +143,37 @@ def _document_counts(docs: DataFrame, wanted: DataFrame, small: int) -> DataFram
     return terms.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
 
 
-def disclosures(docs: DataFrame, found: DataFrame, support: int = 2, small: int = 100_000) -> DataFrame:
-    """kind, entity, term, disclosure for every pair with support; ``found`` is what ``entities`` returned, written."""
+def _mentions(found: DataFrame) -> DataFrame:
+    """doc, kind, entity, place: each entity of a document once, with the least of its surroundings."""
+    each = found.select(_doc().alias("doc"), F.explode("spans").alias("s")).select("doc", "s.kind", _entity(F.col("s")).alias("entity"), "s.place")
+    return each.groupBy("doc", "kind", "entity").agg(F.min("place").alias("place"))
+
+
+def _doc() -> Column:
+    return F.xxhash64("doc_id", "key")
+
+
+def _texts(found: DataFrame) -> DataFrame:
+    """doc, text, spans of the documents with entities; rows that are equal in both are one."""
+    return found.where("text is not null").select(_doc().alias("doc"), "text", "spans")
+
+
+def disclosures(docs: DataFrame, found: DataFrame, mentions: DataFrame, support: int = 2, small: int = 100_000) -> DataFrame:
+    """kind, entity, term, disclosure for every pair with support; ``found`` is what
+    ``entities`` returned and ``mentions`` what ``_mentions`` did, both written."""
     total = found.count()
-    each = found.select("doc_id", "key", F.explode("spans").alias("s")).select("doc_id", "key", "s.kind", _entity(F.col("s")).alias("entity"), "s.left", "s.right")
-    around = F.array_distinct(F.concat(_terms(F.col("left")), _terms(F.col("right"))))
-    near = each.select("kind", "entity", F.xxhash64("doc_id", "key").alias("doc"), F.xxhash64("left", "right").alias("place"), F.explode(around).alias("term"))
     # an entity with one surrounding has no pair with support: left out before its terms are counted
-    place = F.xxhash64("left", "right")
-    repeated = each.groupBy("kind", "entity").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("kind", "entity")
-    near = near.join(repeated, ["kind", "entity"], "left_semi")
+    repeated = mentions.groupBy("kind", "entity").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("kind", "entity")
+    held = mentions.join(repeated, ["kind", "entity"], "left_semi").groupBy("doc").agg(F.collect_list(F.struct("kind", "entity", "place")).alias("held"))
+    terms = F.array_distinct(_terms(F.col("text")))
+    near = _texts(found).join(materialize(held, "held").hint("merge"), "doc").select("doc", "held", terms.alias("terms")).dropDuplicates(["doc"])
+    near = near.select(F.explode("held").alias("h"), "terms").select("h.*", F.explode("terms").alias("term"))
     pair = ["kind", "entity", "term"]
-    # each document is evidence once, by the least of its places; copies have the same least one
-    held = near.groupBy(*pair, "doc").agg(F.min("place").alias("place")).groupBy(*pair, "place").agg(F.count("*").alias("docs"))
-    pairs = held.groupBy(*pair).agg(F.count("*").alias("places"), F.sum("docs").alias("n_et")).where(F.col("places") >= support)
-    pairs = materialize(pairs.select("kind", "entity", "term", "n_et"), "pairs")
+    # copies have the same least place
+    pairs = near.groupBy(*pair, "place").agg(F.count("*").alias("docs")).groupBy(*pair).agg(F.count("*").alias("places"), F.sum("docs").alias("n_et"))
+    pairs = materialize(pairs.where(F.col("places") >= support).select("kind", "entity", "term", "n_et"), "pairs")
     counts = _document_counts(docs, materialize(pairs.select("term").distinct(), "terms"), small)
-    holders = each.select("kind", "entity", F.xxhash64("doc_id", "key").alias("doc")).distinct().groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
+    holders = mentions.groupBy("kind", "entity").agg(F.count("*").alias("n_e"))
     joined = pairs.join(counts, "term").join(holders, ["kind", "entity"])
     information = F.log(F.lit(float(total)) / F.col("n_e"))
     mutual = F.log(F.lit(float(total)) * F.least("n_et", "n_e", "n_t") / (F.col("n_e") * F.col("n_t")))
@@ -163,8 +185,8 @@ def _entity(span: Column) -> Column:
     return F.when(span["kind"] >= 2, _digits(span["value"])).otherwise(F.lower(span["value"]))
 
 
-def _placed(text: Column, offset: Column) -> Column:
-    """(term, start, end) of the words of a short surrounding that begins at ``offset``."""
+def _placed(text: Column, wanted: Column) -> Column:
+    """(term, start, end) of the words of a text that are among the wanted terms."""
     words, between = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
     pairs = F.filter(F.zip_with(words, between, lambda w, b: F.struct(w.alias("word"), F.length(b).alias("gap"))), lambda x: x["word"].isNotNull())
     kind = "array<struct<term:string,start:int,end:int>>"
@@ -173,32 +195,32 @@ def _placed(text: Column, offset: Column) -> Column:
         start = state["at"] + w["gap"]
         end = start + F.length(w["word"])
         one = F.struct(F.lower(w["word"]).alias("term"), start.alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(state["terms"], F.array(one)).alias("terms"))
+        named = F.array_contains(wanted, F.lower(w["word"]))
+        return F.struct(end.alias("at"), F.when(named, F.concat(state["terms"], F.array(one))).otherwise(state["terms"]).alias("terms"))
 
-    return F.aggregate(pairs, F.struct(offset.alias("at"), F.array().cast(kind).alias("terms")), add, lambda state: state["terms"])
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("terms")), add, lambda state: state["terms"])
 
 
-def term_spans(found: DataFrame, revealing: DataFrame, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
-    """doc_id, key, terms (start, end, action): the revealing terms near their entity, outside the entities' own spans."""
+def term_spans(found: DataFrame, mentions: DataFrame, revealing: DataFrame, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
+    """doc, terms (start, end, action): the revealing terms in the documents of their entity, outside the entities' own spans."""
     chosen = revealing.where(F.col("disclosure") >= generalise_at)
-    each = found.select("doc_id", "key", "spans", F.explode("spans").alias("s")).withColumn("kind", F.col("s.kind")).withColumn("entity", _entity(F.col("s")))
-    held = each.join(chosen.select("kind", "entity").distinct(), ["kind", "entity"], "left_semi")
-    left = _placed(F.col("s.left"), F.col("s.start") - F.length("s.left"))
-    words = held.withColumn("w", F.explode(F.concat(left, _placed(F.col("s.right"), F.col("s.end"))))).select("doc_id", "key", "spans", "kind", "entity", "w.term", "w.start", "w.end")
-    free = words.where(~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (s["end"] > F.col("start"))))
-    hit = free.join(chosen, ["kind", "entity", "term"])
-    span = F.struct("start", "end", F.when(F.col("disclosure") >= remove_at, "remove").otherwise("generalise").alias("action"))
     # two entities may name one word: the stronger action holds
-    one = hit.groupBy("doc_id", "key", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    return one.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    named = mentions.join(chosen, ["kind", "entity"]).groupBy("doc", "term").agg(F.max("disclosure").alias("disclosure"))
+    wanted = named.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "disclosure"))).alias("wanted"))
+    rows = _texts(found).join(materialize(wanted, "wanted").hint("merge"), "doc").dropDuplicates(["doc"])
+    words = rows.select("doc", "spans", "wanted", _placed(F.col("text"), F.map_keys("wanted")).alias("words"))
+    free = F.filter("words", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"])))
+    action = lambda w: F.when(F.element_at("wanted", w["term"]) >= remove_at, "remove").otherwise("generalise").alias("action")
+    return words.select("doc", F.transform(free, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), action(w))).alias("terms"))
 
 
 def spans(docs: DataFrame, support: int = 2, generalise_at: float = 0.6, remove_at: float = 0.9, small: int = 100_000, reach: int = 120) -> DataFrame:
     """doc_id, key, spans (kind, start, end, value) and terms (start, end, action) of every document."""
     found = materialize(entities(docs, reach), "entities")
-    revealing = materialize(disclosures(docs, found, support, small), "disclosures")
-    terms = term_spans(found, revealing, generalise_at, remove_at).toDF("of", "of_key", "terms")
-    rows = found.join(terms, found["doc_id"].eqNullSafe(terms["of"]) & (found["key"] == terms["of_key"]), "left")
+    mentions = materialize(_mentions(found), "mentions")
+    revealing = materialize(disclosures(docs, found, mentions, support, small), "disclosures")
+    terms = term_spans(found, mentions, revealing, generalise_at, remove_at)
+    rows = found.drop("text").withColumn("doc", _doc()).join(terms, "doc", "left")
     kind = "array<struct<start:int,end:int,action:string>>"
     return rows.select("doc_id", "key", "spans", F.coalesce("terms", F.array().cast(kind)).alias("terms"))
 

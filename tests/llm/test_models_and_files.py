@@ -200,6 +200,23 @@ def test_terms_that_reveal(spark, small):
     assert clean[12].text == copied.replace("only@once.net", "[EMAIL]")
 
 
+def test_terms_of_the_whole_document(spark):
+    """Far from the entity, beyond other numbers, short names, in a list of addresses."""
+    rng = random.Random(10)
+    filler = lambda n: " ".join(rng.choice(["house", "river", "stone", "cloud", "green"]) for _ in range(n))
+    texts = [f"Jonathan Lee, born 1984, {filler(3)} card 4111 1111 1111 1111 {filler(60)} with Ng and 李明, {filler(2)} Lee" for _ in range(3)]
+    texts += [f"{filler(9)}: {k}a@x.org, eve@mail.org, {k}b@x.org. {filler(40)} Zacharias" for k in range(3)]
+    texts += [filler(20) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = sanitise.spans(frame)
+    terms = {r.doc_id: {texts[r.doc_id][t.start : t.end] for t in r.terms} for r in found.collect()}
+    assert all({"Jonathan", "Lee", "Ng", "李明"} <= terms[k] for k in range(3))
+    assert all("Zacharias" in terms[k] for k in range(3, 6))
+    assert not any(terms[k] for k in range(6, 46))
+    clean = by_id(sanitise.sanitised(frame, found))
+    assert not any(name in clean[0].text for name in ("Jonathan", "Lee", "Ng", "李明"))
+
+
 def test_sanitisation_of_hard_rows(hard, empty):
     found = sanitise.spans(hard)
     assert found.count() == hard.count()
