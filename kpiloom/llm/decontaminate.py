@@ -12,6 +12,8 @@ An item is contained where at least ``percent`` % of its distinct shingles of
   shingles are together, some 20 bins are expected to agree, and as many if
   they are spread over several windows.  Documents without any hash that is a
   least hash of an item cannot agree in a bin and are not sketched.
+* An item of up to SHORT shingles needs no sketch: each of its shingles that
+  stands in a document makes it a candidate.
 * Every candidate is verified by the exact containment of the shingles in the
   whole document.
 
@@ -38,6 +40,7 @@ from kpiloom.staging import materialize
 
 _BINS_SHIFT = U64(57)  # the first seven bits of a hash: 128 bins
 _LOW = 20
+SHORT = 8
 
 
 class Index:
@@ -47,26 +50,37 @@ class Index:
         self.ids, self.sets = ids, sets
         self.classes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         by_class: dict[int, list[tuple[np.ndarray, int]]] = {}
+        short = [k for k, items in enumerate(sets) if len(items) <= SHORT]
+        values = np.concatenate([sets[k] for k in short]) if short else np.zeros(0, U64)
+        order = np.argsort(values, kind="stable")
+        self.short = values[order], np.repeat(short, [len(sets[k]) for k in short]).astype(np.int64)[order]
         for k, items in enumerate(sets):
+            if len(items) <= SHORT:
+                continue
             by_class.setdefault(max(int(len(items) - 1).bit_length(), 3), []).append((least(items), k))
         for c, sketches in by_class.items():
             values = np.concatenate([s for s, _ in sketches])
             owners = np.repeat([k for _, k in sketches], [len(s) for s, _ in sketches])
             order = np.argsort(values, kind="stable")
             self.classes[c] = (values[order], owners[order])
-        every = np.unique(np.concatenate([v for v, _ in self.classes.values()])) if by_class else np.zeros(0, U64)
+        every = np.unique(np.concatenate([self.short[0], *(v for v, _ in self.classes.values())]))
         self.values = every
         self.low = np.zeros(1 << _LOW, dtype=bool)
         self.low[(every & U64((1 << _LOW) - 1)).astype(np.int64)] = True
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
-        """Positions of hashes that are the least of a bin of some item."""
+        """Positions of hashes that are the least of a bin of some item, or of a short item."""
         at = np.flatnonzero(self.low[(hashes & U64((1 << _LOW) - 1)).astype(np.int64)])
         return at[isin_sorted(hashes[at], self.values)]
 
     def search(self, runs: np.ndarray, hits: np.ndarray, percent: int) -> list[tuple[int, int, int]]:
         """(item, shared, size) of the items contained in a document, given its shingles in order."""
         candidates: set[int] = set()
+        values, owners = self.short
+        present = np.unique(runs[hits])
+        low, high = np.searchsorted(values, present), np.searchsorted(values, present, side="right")
+        for a, b in zip(low[high > low], high[high > low], strict=True):
+            candidates.update(owners[a:b].tolist())
         for c, (values, owners) in self.classes.items():
             half = 1 << c
             for window in np.unique(np.concatenate([hits // half, np.maximum(hits // half - 1, 0)])):

@@ -62,6 +62,15 @@ def test_contained_items(docs, corpus, leaks, block):
     assert kept == set(range(len(corpus))) - {k for k, *_ in want}
 
 
+def test_short_items_are_never_missed():
+    rng = np.random.default_rng(12)
+    runs = rng.integers(0, 1 << 63, 100_000).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(runs[k : k + size]) for size in (1, 2, 8, 9) for k in range(0, 100_000, 200)]
+    index = decontaminate.Index(list(range(len(sets))), sets)
+    assert [k for k, *_ in index.search(runs, index.hits(runs), 100)] == list(range(len(sets)))
+    assert index.search(runs[:0], index.hits(runs[:0]), 100) == []
+
+
 def test_decontamination_of_hard_rows(hard, leaks, empty):
     frame, _ = leaks
     kept = decontaminate.clean_documents(hard, frame)
