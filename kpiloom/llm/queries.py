@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kpiloom.llm import chains, decontaminate, jaccard, lines, merkle, mixing, quality, sanitise, suffixes, tokens
+from kpiloom.llm import chains, decontaminate, jaccard, lines, merkle, mixing, quality, resample, sanitise, secretscan, suffixes, tokens, variants
 from kpiloom.llm.tables import read
 
 END_ID = 2
@@ -47,9 +47,14 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read(manifest)
 
 
+def _of_kind(kind: int) -> Callable[[Column], Column]:
+    # one parameter: a second one would be the element's place
+    return lambda span: span["kind"] == kind
+
+
 def op8_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.spans(read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(sanitise.KINDS)]
+    counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(sanitise.KINDS)]
     base = sanitise.span_text(F.col("spans"))
     terms = F.transform("terms", lambda t: F.concat_ws(":", F.lit(sanitise.TERM), t["start"].cast("string"), t["end"].cast("string")))
     every = F.array_join(F.concat(F.when(base == "", F.array().cast("array<string>")).otherwise(F.array(base)), terms), ",")
@@ -65,6 +70,26 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_secret_grammars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secretscan.spans(read(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("spans", _named(kind))).cast("long").alias(f"n_{kind}") for kind in secretscan.KINDS]
+    base = secretscan.span_text(F.filter("spans", lambda s: s["kind"] != secretscan.FORMAT))
+    added = F.size(F.filter("spans", _named(secretscan.FORMAT))).cast("long").alias("n_format")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secretscan.span_text(F.col("spans")).alias("spans"), added)
+
+
+def _named(kind: str) -> Callable[[Column], Column]:
+    return lambda span: span["kind"] == kind
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -78,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pii_sanitisation,
         op9_mixing_to_weights,
         op10_line_dedup,
+        op11_secret_grammars,
+        op12_importance_resampling,
+        op13_spelling_variants,
     )
 }
 

@@ -89,25 +89,37 @@ def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64))
 
 
-def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end) of every word, and the first word of every text (one more at the end)."""
-    if not len(data):
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of every maximal run of bytes that are ``inside``, and the first run of every text (one more at the end)."""
+    if not len(inside):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
-    space = SPACE[data]
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    before = np.empty_like(inside)
+    before[0], before[1:] = True, ~inside[:-1]
+    edges = offsets[(offsets > 0) & (offsets < len(inside))]
     before[edges] = True
-    after = np.empty_like(space)
-    after[-1], after[:-1] = True, space[1:]
+    after = np.empty_like(inside)
+    after[-1], after[:-1] = True, ~inside[1:]
     after[edges - 1] = True
-    word = ~space
-    start = np.flatnonzero(word & before)
-    end = np.flatnonzero(word & after) + 1
+    start = np.flatnonzero(inside & before)
+    end = np.flatnonzero(inside & after) + 1
     return start, end, np.searchsorted(start, offsets)
 
 
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The byte ranges [start, end) as a binary column."""
+    sizes = end - start
+    offsets = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(sizes, out=offsets[1:])
+    taken = data[np.repeat(start - offsets[:-1], sizes) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(taken)])
+
+
+def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of every word, and the first word of every text (one more at the end)."""
+    return runs(~SPACE[data], offsets)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, values: np.ndarray = FOLDED):
     """(hash, start, end) of every word, and the first word of every text."""
     start, end, first = spans(data, offsets)
