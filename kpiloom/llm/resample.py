@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.llm.tables import columns, fresh, map_arrow, partitions
-from kpiloom.llm.words import runs, slices, strings
+from kpiloom.llm.words import runs, slices, strings, text_bytes
 from kpiloom.staging import materialize
 
 HEAD_WORDS = 65_536
@@ -179,10 +179,8 @@ def features(docs: DataFrame, known: Head, buckets: int) -> DataFrame:
 
 def _numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(16-bit numbers, first of each row) of a binary column."""
-    _, offsets, data = column.cast(pa.large_binary()).buffers()
-    offsets = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(data if data is not None else b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
-    return data.view("<u2"), (offsets - offsets[0]) // 2
+    data, offsets = text_bytes(column)
+    return data.view("<u2"), offsets // 2
 
 
 def totals(found: DataFrame, buckets: int) -> np.ndarray:
