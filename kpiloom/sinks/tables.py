@@ -1,8 +1,13 @@
 """Full reload of the tables `customers` and `orders`.
 
-A load writes a new version in a folder of its own, checks it, and points the
-table at it last.  So a load that fails, at any step, leaves the old rows alone,
-and at every moment the table is whole.
+A load writes new versions in folders of their own, checks them, and commits last:
+one small file names the current version of both tables, and both are read through
+views that follow it.  So a load that fails or stops, at any step, leaves the old
+rows alone, at every moment each table is whole, and never is one table new and the
+other old.
+
+A database that was never loaded has plain tables.  Its first load copies their rows
+as the first version, puts the views in their place, and then goes on as any other.
 """
 
 from typing import NamedTuple
@@ -14,7 +19,7 @@ from pyspark.sql import types as T
 from kpiloom.functions import parse_iso_date
 from kpiloom.operators.filters import require_columns
 from kpiloom.schemas import CUSTOMERS_TABLE, MONEY, ORDERS_TABLE
-from kpiloom.staging import expire_versions, new_version, remove
+from kpiloom.staging import expire_files, expire_versions, new_version, remove, write_text
 
 # The names of the two tables.
 CUSTOMERS = "customers"
@@ -25,12 +30,77 @@ class LoadError(ValueError):
     """The data breaks a constraint of the table; nothing was replaced."""
 
 
+_SCHEMAS = {CUSTOMERS: CUSTOMERS_TABLE, ORDERS: ORDERS_TABLE}
+
+
 def ensure_tables(spark: SparkSession, database: str) -> None:
     """Create the database and both tables where they are absent."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, schema in ((CUSTOMERS, CUSTOMERS_TABLE), (ORDERS, ORDERS_TABLE)):
-        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+    for name, schema in _SCHEMAS.items():
+        if _committed(spark, database):
+            _create_view(spark, database, name)
+        else:
+            columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+
+
+def _home(spark: SparkSession, database: str) -> str:
+    return spark.catalog.getDatabase(database).locationUri.rstrip("/")
+
+
+def _commits(spark: SparkSession, database: str) -> str:
+    """The folder of commits: the text of the last one names the version of each table."""
+    return f"{_home(spark, database)}/commits"
+
+
+def _committed(spark: SparkSession, database: str) -> dict[str, str]:
+    """The current version of each table, nothing if none was loaded."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(_commits(spark, database))
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return {}
+    last = spark.read.text(_commits(spark, database)).agg(F.max("value")).first()[0]
+    return dict(zip(_SCHEMAS, last.split(" ")[1:], strict=True)) if last else {}
+
+
+def _commit(spark: SparkSession, database: str, versions: dict[str, str]) -> None:
+    """Make these the current versions, of both tables at once."""
+    name = new_version("").rpartition("=")[2]
+    current = [versions[table].rpartition("=")[2] for table in _SCHEMAS]
+    write_text(spark, f"{_commits(spark, database)}/{name}", " ".join([name, *current]) + "\n")
+    expire_files(spark, _commits(spark, database))
+    for table in _SCHEMAS:
+        expire_versions(spark, _versions_of(spark, database, table))
+
+
+def _create_view(spark: SparkSession, database: str, table: str) -> None:
+    """A view of the version that the last commit names; only that folder is read.
+
+    It replaces a plain table that stands there, whose rows are in the first version.
+    """
+    if spark.catalog.tableExists(f"{database}.{table}"):
+        if spark.catalog.getTable(f"{database}.{table}").tableType == "VIEW":
+            return
+        spark.sql(f"DROP TABLE {database}.{table}")
+    place = 1 + list(_SCHEMAS).index(table)
+    current = f"SELECT split(max(value), ' ')[{place}] FROM text.`{_commits(spark, database)}`"
+    spark.sql(
+        f"CREATE VIEW {database}.{table} AS SELECT {', '.join(_SCHEMAS[table].names)} "
+        f"FROM parquet.`{_versions_of(spark, database, table)}` WHERE version = ({current})"
+    )
+
+
+def _follow_commits(spark: SparkSession, database: str) -> None:
+    """Put views in the place of the plain tables, with the same rows."""
+    if _committed(spark, database):
+        ensure_tables(spark, database)  # a view may be missing where this stopped
+        return
+    first = {}
+    for table in _SCHEMAS:
+        first[table] = new_version(_versions_of(spark, database, table))
+        spark.table(f"{database}.{table}").write.parquet(first[table])
+    _commit(spark, database, first)
+    for table in _SCHEMAS:
+        _create_view(spark, database, table)
 
 
 def cast_load_types(rollup: DataFrame) -> DataFrame:
@@ -51,20 +121,23 @@ class _Staged(NamedTuple):
     path: str
 
     def switch(self, spark: SparkSession) -> int:
-        """Point the table at the new version, in one step, and count its rows.
+        """Make this the current version, in one step, and count its rows.
 
         Before it the table has all its old rows, after it all its new ones.
         """
-        target = f"{self.database}.{self.table}"
-        spark.sql(f"ALTER TABLE {target} SET LOCATION '{self.path}'")
-        spark.catalog.refreshTable(target)
-        expire_versions(spark, _versions_of(spark, self.database, self.table))
-        return spark.table(target).count()
+        return _switch(spark, self)[0]
+
+
+def _switch(spark: SparkSession, *staged: _Staged) -> list[int]:
+    """Make the staged versions current, all in one step, and count their rows."""
+    database = staged[0].database
+    _commit(spark, database, {**_committed(spark, database), **{s.table: s.path for s in staged}})
+    return [spark.table(f"{database}.{s.table}").count() for s in staged]
 
 
 def _versions_of(spark: SparkSession, database: str, table: str) -> str:
     """The folder that holds the versions of a table."""
-    return f"{spark.catalog.getDatabase(database).locationUri.rstrip('/')}/{table}_versions"
+    return f"{_home(spark, database)}/{table}_versions"
 
 
 def _stage(
@@ -74,6 +147,7 @@ def _stage(
     """Write a new version and check it: no NULL where required, unique key."""
     spark = df.sparkSession
     ensure_tables(spark, database)
+    _follow_commits(spark, database)
     path = new_version(_versions_of(spark, database, table))
     df.select(*schema.names).write.parquet(path)
     try:
@@ -137,13 +211,12 @@ def load_all(
 ) -> DataFrame:
     """Load both tables and return (customers_loaded, orders_loaded).
 
-    Both are written and checked before the table of either is switched.
+    Both are written and checked, then switched by one commit.
     """
     spark = customers.sparkSession
-    ensure_tables(spark, database)
     staged_customers = _stage_customers(customers, database, on_duplicate)
     staged_orders = _stage_orders(rollup, database, on_null, on_duplicate)
-    counts = (staged_customers.switch(spark), staged_orders.switch(spark))
+    counts = tuple(_switch(spark, staged_customers, staged_orders))
     return spark.createDataFrame([counts], "customers_loaded bigint, orders_loaded bigint")
 
 

@@ -315,6 +315,12 @@ def read_order_batches(spark: SparkSession, root: str, on_bad_file: str = "skip"
 
 def settle_orders(staged: DataFrame) -> Batches:
     """Choose the lines of the readable files from parsed, written pieces."""
+    lines, skipped = settle_lines(staged)
+    return Batches(lines.drop("source_file"), skipped)
+
+
+def settle_lines(staged: DataFrame) -> Batches:
+    """The same, each line with its file."""
     files = materialize(settle_order_files(staged), "order-files")
     lines = staged.filter("is_line")
     bad = files.filter(~F.col("unsplit") & F.col("broken")).select("source_file", DATE_COLUMN)
@@ -326,7 +332,7 @@ def settle_orders(staged: DataFrame) -> Batches:
         bad = bad.unionByName(judged.filter("broken").select("source_file", DATE_COLUMN))
     skipped = materialize(bad, "skipped-orders")
     rows = resolve_amount(blank_missing(_without_files(lines, skipped), ORDER_FIELDS.names))
-    return Batches(rows.select(*RAW_ORDER_LINES.names, DATE_COLUMN, _input_order("piece")), skipped)
+    return Batches(rows.select(*RAW_ORDER_LINES.names, DATE_COLUMN, _input_order("piece"), "source_file"), skipped)
 
 
 def scan_orders_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Written tables in the folders that the whole cluster shares."""
 
+import json
 import tempfile
 import uuid
 from datetime import UTC, datetime
@@ -76,11 +77,98 @@ def current_version(spark: SparkSession, root: str) -> str:
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    place, files = _place(spark, path)
+    files.delete(place, True)
 
 
 def expire_versions(spark: SparkSession, root: str, keep: int = 2) -> None:
-    """Remove all but the last versions; the one before the current may still be read."""
-    for path in _versions(spark, root)[:-keep]:
+    """Remove all but the last versions; the one before the current may still be read.
+
+    Of an older version the month folders stay that a kept one names.
+    """
+    versions = _versions(spark, root)
+    needed = {folder for version in versions[-keep:] for folder in (manifest(spark, version) or {"months": {}})["months"].values()}
+    for path in versions[:-keep]:
+        if not any(folder.startswith(f"{path}/") for folder in needed):
+            remove(spark, path)
+            continue
+        for folder in _folders(spark, path).values():
+            if folder not in needed:
+                remove(spark, folder)
+
+
+# -- small files -------------------------------------------------------------------
+
+
+def _place(spark: SparkSession, path: str):
+    """(path, file system) of Hadoop."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small file in place in one step: readers see all of it or nothing."""
+    folder, _, name = path.rpartition("/")
+    place, files = _place(spark, path)
+    half, _ = _place(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
+    stream = files.create(half, False)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+    if not files.rename(half, place):
+        raise OSError(f"cannot put {path} in place")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, None where there is none."""
+    place, files = _place(spark, path)
+    if not files.exists(place):
+        return None
+    stream = files.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def expire_files(spark: SparkSession, folder: str, keep: int = 2) -> None:
+    """Remove all but the last of the files of a folder, by name."""
+    pattern, files = _place(spark, f"{folder}/[!_.]*")
+    for path in sorted(status.getPath().toString() for status in files.globStatus(pattern) or ())[:-keep]:
         remove(spark, path)
+
+
+# -- versions of month folders --------------------------------------------------------
+
+_MANIFEST = "_months"
+
+
+def _folders(spark: SparkSession, version: str) -> dict[str, str]:
+    """The month folders inside a version, by month."""
+    pattern, files = _place(spark, f"{version}/*=*")
+    found = [status.getPath().toString() for status in files.globStatus(pattern) or ()]
+    return {path.rpartition("=")[2]: path for path in found}
+
+
+def manifest(spark: SparkSession, version: str) -> dict | None:
+    """What a version that shares folders with earlier ones consists of: ``months`` names
+    the folder of each month, ``built`` says from what it was built.  None for a version
+    that is whole in its own folder."""
+    text = read_text(spark, f"{version}/{_MANIFEST}")
+    return None if text is None else json.loads(text)
+
+
+def month_folders(spark: SparkSession, version: str) -> dict[str, str]:
+    """The folder of each month of a version."""
+    named = manifest(spark, version)
+    return _folders(spark, version) if named is None else named["months"]
+
+
+def commit_months(spark: SparkSession, version: str, kept: dict[str, str], built: dict) -> None:
+    """Completes a version whose own months are written: they and the kept folders of
+    earlier versions are the dataset from the moment the success marker is there."""
+    months = {**kept, **_folders(spark, version)}
+    write_text(spark, f"{version}/{_MANIFEST}", json.dumps({"built": built, "months": months}))
+    place, files = _place(spark, f"{version}/_SUCCESS")
+    files.create(place, True).close()

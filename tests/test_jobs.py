@@ -335,3 +335,190 @@ def test_first_in_file_order_survives_cleaning(spark, tmp_path):
     jobs.merge_and_clean_batches(spark, root, root, out)
     assert scan_clean_lines(spark, out.lines).first().total_amount == D("9.00")
     assert scan_clean_customers(spark, out.customers).first().customer_name == "X"
+
+
+# -- both tables in one commit -------------------------------------------------------
+
+
+def test_both_tables_change_in_one_step(spark, golden, database, monkeypatch):
+    """Stopped at any call that writes or removes something, both tables are old or both are new."""
+    customers, lines = golden
+    rollup = orders.order_rollup_sum(lines, customers)
+    part = customers.filter("customer_id = 'K1'")
+    small = orders.order_rollup_sum(lines, part).filter("customer_id = 'K1'")
+    sizes = {(5, 7), (1, 3)}
+    tables.load_all(customers, rollup, database, on_duplicate="keep")
+    seen = set()
+    for name in ("new_version", "write_text", "expire_files", "expire_versions", "_switch", "_commit"):
+        for nth in (1, 2):
+            calls = []
+            real = getattr(tables, name)
+
+            def stopped(*args, calls=calls, nth=nth, real=real, **more):
+                calls.append(1)
+                if len(calls) == nth:
+                    raise RuntimeError("lost")
+                return real(*args, **more)
+
+            before = (spark.table(f"{database}.customers").count(), spark.table(f"{database}.orders").count())
+            assert before in sizes
+            wanted = (part, small) if before == (5, 7) else (customers, rollup)
+            with monkeypatch.context() as patch:
+                patch.setattr(tables, name, stopped)
+                try:
+                    tables.load_all(*wanted, database, on_duplicate="keep")
+                except RuntimeError:
+                    pass
+            now = (spark.table(f"{database}.customers").count(), spark.table(f"{database}.orders").count())
+            assert now in sizes
+            seen.add((before, now))
+    assert len(seen) > 2
+    assert tuple(tables.load_all(customers, rollup, database, on_duplicate="keep").first()) == (5, 7)
+
+
+def test_first_load_keeps_the_rows_of_plain_tables_until_it_commits(spark, golden, database, monkeypatch):
+    customers, lines = golden
+    tables.ensure_tables(spark, database)
+    customers.select("customer_id", "customer_name").write.insertInto(f"{database}.customers")
+    rows = lambda: (spark.table(f"{database}.customers").count(), spark.table(f"{database}.orders").count())
+    for name, nth in (("_create_view", 1), ("_create_view", 2), ("_switch", 1)):
+        calls, real = [], getattr(tables, name)
+
+        def stopped(*args, calls=calls, nth=nth, real=real):
+            calls.append(1)
+            if len(calls) == nth:
+                raise RuntimeError("lost")
+            return real(*args)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(tables, name, stopped)
+            with pytest.raises(RuntimeError):
+                tables.load_all(customers.limit(1), orders.order_rollup_sum(lines, customers).limit(2), database)
+        tables.ensure_tables(spark, database)
+        assert rows() == (5, 0)
+    tables.load_all(customers.limit(1), orders.order_rollup_sum(lines, customers).limit(2), database)
+    assert rows() == (1, 2)
+
+
+def test_views_read_one_version(spark, golden, database, plan):
+    customers, lines = golden
+    for _ in range(3):
+        tables.load_all(customers, orders.order_rollup_sum(lines, customers), database, on_duplicate="keep")
+    frame = spark.table(f"{database}.orders")
+    assert "version" in plan(frame).split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert len(frame.inputFiles()) >= 1 and frame.count() == 7
+
+
+# -- only what new files touch -------------------------------------------------------------
+
+
+def _files(frame):
+    """Version, month and name of the files of a dataset."""
+    return {tuple(f.split("/")[-3:]) for f in frame.inputFiles()}
+
+
+def _month_files(spark, path):
+    return _files(scan_clean_lines(spark, path))
+
+
+def _line(order, month, sku="S", number="911", amount="5"):
+    return (order, number, f"2025-{month:02d}-10T00:00:00", sku, "1", amount)
+
+
+def _daily(spark, tmp_path, name, **options):
+    """Runs the job over the landed files incrementally, and in full beside it; both results."""
+    got, want = (jobs.CleanPaths.under(str(tmp_path / n)) for n in (name, "full"))
+    root = str(tmp_path / "in")
+    summary = jobs.merge_new_batches(spark, root, root, str(tmp_path / "intake"), got, **options)
+    full = jobs.merge_and_clean_batches(spark, root, root, want, **options)
+    assert tuple(summary.first()) == tuple(full.first())
+    results = [sorted(map(tuple, scan_clean_lines(spark, p.lines).collect()), key=str) for p in (got, want)]
+    assert results[0] == results[1]
+    return got
+
+
+def test_a_late_file_rewrites_its_months_alone(spark, tmp_path):
+    put(tmp_path / "in", "2025-11-01", "customers.csv", customers_csv())
+    put(tmp_path / "in", "2025-11-01", "a.xml", orders_xml([_line("A", 1), _line("B", 2), _line("C", 3)]))
+    out = _daily(spark, tmp_path, "out")
+    first = _month_files(spark, out.lines)
+    assert _daily(spark, tmp_path, "out") and _month_files(spark, out.lines) == first  # nothing is new
+    # a late line of February: January and March keep their files
+    put(tmp_path / "in", "2025-11-02", "b.xml", orders_xml([_line("D", 2)]))
+    _daily(spark, tmp_path, "out")
+    second = _month_files(spark, out.lines)
+    assert len(first & second) == 2 and len(first) == 3 and len(second) >= 3
+    recent = scan_recent_lines(spark, out.lines, datetime(2025, 3, 20))
+    assert {r.order_id for r in recent.collect()} == {"C"} and len(recent.inputFiles()) < len(second)
+    # a back-dated file whose line is the first of its key moves an order from one month to another
+    put(tmp_path / "in", "2025-10-01", "c.xml", orders_xml([_line("A", 3), _line("A", 3, sku="T")]))
+    _daily(spark, tmp_path, "out")
+    third = _month_files(spark, out.lines)
+    assert second & third and {r.order_id for r in scan_clean_lines(spark, out.lines).filter("month(order_date_time) = 1").collect()} == set()
+    # a file that is replaced, and one that is removed
+    put(tmp_path / "in", "2025-11-02", "b.xml", orders_xml([_line("D", 5), _line("E", 6)]))
+    (tmp_path / "in" / "ingest_date=2025-10-01" / "c.xml").unlink()
+    _daily(spark, tmp_path, "out")
+    # other cleaning: everything again
+    put(tmp_path / "in", "2025-11-03", "d.xml", orders_xml([_line("F", 1, number="none")]))
+    _daily(spark, tmp_path, "out", cleaning=jobs.Cleaning(blank_mobile="keep"))
+    assert {r.order_id for r in scan_clean_lines(spark, out.lines).collect()} == {"A", "B", "C", "D", "E", "F"}
+    kept = {p.name for p in (tmp_path / "out" / "orders_clean_lines").glob("version=*")}
+    assert 2 <= len(kept) <= 4
+
+
+def test_a_merge_that_fails_leaves_the_lines(spark, tmp_path, monkeypatch):
+    put(tmp_path / "in", "2025-11-01", "a.xml", orders_xml([_line("A", 1), _line("B", 2)]))
+    out = _daily(spark, tmp_path, "out")
+    put(tmp_path / "in", "2025-11-02", "b.xml", orders_xml([_line("D", 2)]))
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(files, "commit_months", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            jobs.merge_new_batches(spark, str(tmp_path / "in"), str(tmp_path / "in"), str(tmp_path / "intake"), out)
+    assert {r.order_id for r in scan_clean_lines(spark, out.lines).collect()} == {"A", "B"}
+    _daily(spark, tmp_path, "out")
+
+
+def test_incremental_rollup_equals_the_full_one(spark, tmp_path, database):
+    root, out = str(tmp_path / "in"), jobs.CleanPaths.under(str(tmp_path / "out"))
+
+    def run():
+        result = jobs.run_pipeline(spark, root, root, out, database, AS_OF, on_null="drop", on_duplicate="keep", intake=str(tmp_path / "intake"))
+        got = scan_clean_rollup(spark, out.rollup)
+        want = orders.order_rollup_sum(scan_clean_lines(spark, out.lines), scan_clean_customers(spark, out.customers))
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.select(*got.columns).collect()), key=str)
+        assert result.load.first().orders_loaded == got.na.drop().count()
+        return _files(got)
+
+    put(tmp_path / "in", "2025-11-01", "c.csv", customers_csv([("K1", "x", "911", "r"), ("K2", "y", "912", "r")]))
+    put(tmp_path / "in", "2025-11-01", "a.xml", orders_xml([_line("A", 1), _line("B", 2, number="912"), _line("C", 3, number="913")]))
+    first = run()
+    assert run() == first
+    put(tmp_path / "in", "2025-11-02", "b.xml", orders_xml([_line("D", 2)]))
+    second = run()
+    assert len(first & second) == 2
+    # a customer for the number of an old order: its month alone
+    put(tmp_path / "in", "2025-11-02", "c.csv", customers_csv([("K3", "z", "913", "r")]))
+    third = run()
+    assert len(second & third) == len(second) - 1
+    # the lines moved on without the rollup: it is built anew
+    put(tmp_path / "in", "2025-11-03", "d.xml", orders_xml([_line("A", 4, sku="T")]))
+    jobs.merge_new_batches(spark, root, root, str(tmp_path / "intake"), out)
+    assert not run() & third
+
+
+def test_new_files_are_taken_a_page_at_a_time(spark, tmp_path, monkeypatch):
+    from kpiloom.streaming import intake
+
+    for k in range(5):
+        put(tmp_path / "in", "2025-11-01", f"f{k}.xml", orders_xml([_line(f"O{k}", 1 + k)]))
+    pages, real = [], intake.stage_pieces
+    monkeypatch.setattr(intake, "stage_pieces", lambda pieces: pages.append(pieces.select("source_file").distinct().count()) or real(pieces))
+    intake.stage_new_orders(spark, str(tmp_path / "in"), str(tmp_path / "staged"), max_files=2)
+    assert pages == [2, 2, 1]
+    rows = intake.read_staged_orders(spark, str(tmp_path / "in"), str(tmp_path / "staged")).rows
+    assert sorted(r.order_id for r in rows.collect()) == [f"O{k}" for k in range(5)]

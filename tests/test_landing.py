@@ -180,7 +180,7 @@ def test_incremental_intake_reads_each_file_once(spark, tmp_path):
     stage_new_orders(spark, str(root), staged)
     rows, _ = orders_of(read_staged_orders(spark, str(root), staged))
     assert [r[:2] for r in rows] == [(l[0], l[3]) for l in LINES[:6]]
-    assert len(list((tmp_path / "staged" / "records").glob("batch=*"))) == 2
+    assert len(list((tmp_path / "staged" / "lines").glob("batch=*"))) == 2
 
 
 def test_land_batch_names_the_day_in_india(spark, tmp_path):
