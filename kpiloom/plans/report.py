@@ -80,35 +80,36 @@ def kpi_report(
     """(kpi, key, label, value) of the monthly trend, the revenue per region, the
     repeat customers with their number, and the recent top spenders.
 
-    The lines are read once; what is kept between the KPIs is one row per order,
-    number and month, and one per customer, in the shared folder.  ``ranked``
-    gives the rows of each KPI their places.
+    The lines are read once, into one written row per order, number and month,
+    from which every KPI starts.  Regions and spenders come out of one aggregate.
+    ``ranked`` gives the rows of each KPI their places.
     """
     pairs = materialize(report_pairs(lines, grain), "report-pairs")
-    base = report_base(order_grain(pairs, grain), customers, as_of, days, keep_unmatched, shared_number)
-    base = materialize(base, "report")
     trend = pairs.groupBy("month").agg(F.countDistinct("order_id").alias("order_count"))
     trend = trend.select(year_month(F.col("month")).alias("year_month"), "order_count")
-    regions = base.groupBy("region").agg(zero_if_null(F.sum("amount")).alias("amount"))
-    if not keep_unmatched:
-        regions = regions.filter(F.col("region").isNotNull())
-    repeated = materialize(
-        repeat_customers(pairs, customers, keep_unmatched, shared_number), "repeat-customers"
+    base = report_base(order_grain(pairs, grain), customers, as_of, days, keep_unmatched, shared_number)
+    who = ["customer_id", "customer_name"]
+    sums = base.groupingSets([["region"], who], "region", *who).agg(
+        F.grouping("region").alias("by_customer"),
+        zero_if_null(F.sum("amount")).alias("amount"),
+        zero_if_null(F.sum("recent_amount")).alias("recent_amount"),
+        F.sum("recent_count").alias("recent_count"),
     )
-    spenders = (
-        base.filter(F.col("recent_count") > 0)
-        .groupBy("customer_id", "customer_name")
-        .agg(zero_if_null(F.sum("recent_amount")).alias("amount"))
+    by_customer = F.col("by_customer") == 1
+    wanted = F.when(by_customer, F.col("recent_count") > 0).otherwise(F.lit(True) if keep_unmatched else F.col("region").isNotNull())
+    summed = sums.filter(wanted).select(
+        F.when(by_customer, "top_spenders").otherwise("region_revenue").alias("kpi"),
+        F.when(by_customer, F.col("customer_id")).otherwise(F.col("region")).alias("key"),
+        F.when(by_customer, F.col("customer_name")).alias("label"),
+        F.when(by_customer, F.col("recent_amount")).otherwise(F.col("amount")).cast("double").alias("value"),
     )
+    repeated = repeat_customers(pairs, customers, keep_unmatched, shared_number)
     count = repeated.agg(F.count(F.lit(1)).alias("order_count"))
     return (
         _rows(trend, "monthly_order_trend", "year_month", None, F.col("order_count"))
-        .unionByName(_rows(regions, "region_revenue", "region", None, F.col("amount")))
+        .unionByName(summed)
         .unionByName(_rows(repeated, "repeat_customers", "customer_id", None, F.col("order_count")))
         .unionByName(_rows(count, "repeat_customer_count", None, None, F.col("order_count")))
-        .unionByName(
-            _rows(spenders, "top_spenders", "customer_id", "customer_name", F.col("amount"))
-        )
     )
 
 

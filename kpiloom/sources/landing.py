@@ -6,6 +6,8 @@ file that cannot be read as a whole, and reports it.  No list of files passes
 through the driver: layouts and flags are joined on the file.
 """
 
+import uuid
+from collections.abc import Callable
 from datetime import datetime
 from typing import NamedTuple
 
@@ -24,13 +26,14 @@ from kpiloom.sources.raw import (
     blank_missing,
     resolve_amount,
 )
-from kpiloom.staging import materialize
+from kpiloom.staging import list_files, materialize, move, remove
 
 DATE_COLUMN = "ingest_date"
 _CSV_FILES = "*.csv"
 # Text cut at each closing row tag.
 PIECES = {"pathGlobFilter": "*.xml", "lineSep": f"</{ROW_TAG}>"}
 _CORRUPT = "_corrupt"
+_LANDING = "_landing"
 
 
 _ORIGIN = [
@@ -76,15 +79,35 @@ def land_batch(df: DataFrame, root: str, fmt: str, arrived: Column | datetime) -
     ``arrived`` is a moment (UTC if it has no zone), or a zone-less UTC timestamp
     column of ``df``.  The rebalance lets adaptive execution choose the files of
     a day: not one per task and day, and no day in one task.
-    Land each kind of data under a root of its own when batches arrive
-    concurrently, because two appends to one folder share its commit area.
+
+    A batch is written to a folder of its own, which readers pass over, and its
+    files are moved to their days once it is complete.  So batches that are landed
+    at the same time do not meet, and of one that stops while it is written
+    nothing is seen.  One that stops while it is moved is completed by the next
+    batch, or by ``finish_landing``.
     """
     if isinstance(arrived, datetime):
         arrived = F.lit(utc_moment(arrived).isoformat(sep=" ")).cast("timestamp_ntz")
     options = {"csv": CSV_OPTIONS, "xml": {"rowTag": ROW_TAG, "rootTag": "orders"}}[fmt]
     dated = df.withColumn(DATE_COLUMN, partition_date_ist(arrived))
     dated = dated.hint("rebalance", F.col(DATE_COLUMN))
-    dated.write.partitionBy(DATE_COLUMN).mode("append").options(**options).format(fmt).save(root)
+    staged = f"{root.rstrip('/')}/{_LANDING}/{uuid.uuid4().hex}"
+    dated.write.partitionBy(DATE_COLUMN).options(**options).format(fmt).save(staged)
+    finish_landing(df.sparkSession, root)
+
+
+def finish_landing(spark: SparkSession, root: str) -> None:
+    """Move the files of all batches under ``root`` that are completely written to their days.
+
+    The names of files are unique, and several callers may do this at once: each
+    file is moved by one of them.
+    """
+    for marker in list_files(spark, f"{root.rstrip('/')}/{_LANDING}/*/_SUCCESS"):
+        staged = marker.rpartition("/")[0]
+        for path in list_files(spark, f"{staged}/{DATE_COLUMN}=*/[!_.]*"):
+            _, day, name = path.rsplit("/", 2)
+            move(spark, path, f"{root.rstrip('/')}/{day}/{name}")
+        remove(spark, staged)
 
 
 def with_source(df: DataFrame) -> DataFrame:
@@ -121,6 +144,29 @@ def _without_files(rows: DataFrame, skipped: DataFrame) -> DataFrame:
 # -- customers -----------------------------------------------------------------
 
 
+def _starts(parts: DataFrame, amount: str, begins: Callable[[Column], Column]) -> DataFrame:
+    """Where the record starts that each part of a file belongs to, as ``at`` (split start, row number).
+
+    A part starts a record if ``begins`` holds for the sum of ``amount`` over all
+    parts of its file before it.  That is the sum over the earlier splits plus the
+    sum within its own split, so a file is worked on by as many tasks as it has
+    splits; what meets in one task is one row for each split.
+    """
+    split = ["source_file", "split_start"]
+    inside = Window.partitionBy(*split).orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
+    parts = materialize(parts.withColumn("held", F.coalesce(F.sum(amount).over(inside), F.lit(0))), "parts")
+    earlier = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*split).agg(F.sum(amount).alias("sum"))
+    carried = sums.select(*split, F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("carried"))
+    parts = parts.join(carried, split)
+    start = F.when(begins(F.col("held") + F.col("carried")), F.struct("split_start", "row_number"))
+    upto = Window.partitionBy(*split).orderBy("row_number")
+    parts = materialize(parts.withColumn("own", F.max(start).over(upto)), "marked-parts")
+    last = parts.groupBy(*split).agg(F.max("own").alias("own"))
+    before = last.select(*split, F.max("own").over(earlier).alias("inherited"))
+    return parts.join(before, split).withColumn("at", F.coalesce("own", "inherited")).drop("held", "carried", "own", "inherited")
+
+
 def _records(lines: DataFrame) -> DataFrame:
     """CSV records from text lines.
 
@@ -129,21 +175,15 @@ def _records(lines: DataFrame) -> DataFrame:
     belongs to the record whose first line is the last one with all quotes
     closed before it.
     """
-    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
-    marked = lines.withColumn("odd", odd)
-    spanning = marked.filter("odd").select("source_file").distinct()
+    odd = (F.regexp_count("value", F.lit('"')) % 2).alias("odd")
+    marked = lines.select("*", odd)
+    spanning = marked.filter("odd = 1").select("source_file").distinct()
     plain = marked.join(spanning, "source_file", "left_anti").drop("odd")
-    order = Window.partitionBy("source_file").orderBy("split_start", "row_number")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    parts = marked.join(spanning, "source_file", "left_semi").withColumn(
-        "opened", F.coalesce(F.sum(F.col("odd").cast("int")).over(before), F.lit(0)) % 2 == 0
-    )
-    parts = parts.withColumn("record", F.sum(F.col("opened").cast("int")).over(order))
-    at = F.struct("split_start", "row_number")
+    parts = _starts(marked.join(spanning, "source_file", "left_semi"), "odd", lambda quotes: quotes % 2 == 0)
     text = F.array_sort(F.collect_list(F.struct("split_start", "row_number", "value")))
     joined = (
-        parts.groupBy("source_file", DATE_COLUMN, "record")
-        .agg(F.min(at).alias("at"), text.alias("parts"))
+        parts.groupBy("source_file", DATE_COLUMN, "at")
+        .agg(text.alias("parts"))
         .select(
             F.array_join(F.col("parts.value"), "\n").alias("value"), "source_file", "at.split_start", DATE_COLUMN, "at.row_number"
         )
@@ -251,29 +291,13 @@ def _rejoined(staged: DataFrame, files: DataFrame) -> DataFrame:
     """The files with loose markers, put together over their cuts and parsed again.
 
     A piece continues the one before while more comments or sections were opened
-    than closed.  What is open at a piece is the sum over the earlier splits of
-    its file plus the sum within its split, so a file's splits are summed by as
-    many tasks; only the pieces of one comment or section meet.
+    than closed; only the pieces of one comment or section meet.
     """
     parts = staged.join(files.filter("unsplit").select("source_file"), "source_file", "left_semi").filter("piece = 0")
     bare = F.regexp_replace(F.regexp_replace("body", _COMMENT, ""), _CDATA, "")
     loose = F.regexp_count(bare, F.lit(_OPENERS)) - F.regexp_count(bare, F.lit(_CLOSERS))
     parts = parts.select("body", DATE_COLUMN, "source_file", "split_start", "row_number", loose.alias("opened"))
-    split = ["source_file", "split_start"]
-    inside = Window.partitionBy(*split).orderBy("row_number").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.coalesce(F.sum("opened").over(inside), F.lit(0))
-    parts = materialize(parts.withColumn("held", held), "loose-pieces")
-    # one row per split
-    earlier = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
-    sums = parts.groupBy(*split).agg(F.sum("opened").alias("opened"))
-    carried = sums.select(*split, F.coalesce(F.sum("opened").over(earlier), F.lit(0)).alias("carried"))
-    parts = parts.join(carried, split).withColumn("first", F.col("held") + F.col("carried") <= 0)
-    opener = F.when(F.col("first"), F.struct("split_start", "row_number"))
-    upto = Window.partitionBy(*split).orderBy("row_number")
-    parts = materialize(parts.withColumn("own", F.max(opener).over(upto)), "marked-pieces")
-    last = parts.groupBy(*split).agg(F.max("own").alias("own"))
-    before = last.select(*split, F.max("own").over(earlier).alias("inherited"))
-    grouped = parts.join(before, split).withColumn("at", F.coalesce("own", "inherited"))
+    grouped = _starts(parts, "opened", lambda markers: markers <= 0)
     text = F.array_sort(F.collect_list(F.struct("split_start", "row_number", "body")))
     joined = grouped.groupBy("source_file", DATE_COLUMN, "at").agg(text.alias("parts"))
     value = F.array_join(F.col("parts.body"), f"</{ROW_TAG}>")

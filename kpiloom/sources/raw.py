@@ -41,6 +41,13 @@ def scan_customers_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A schema binds CSV columns by position, so a header in another order is an
     error here; ``landing.read_customer_batches`` aligns such files by name.
+
+    A file is cut at its line ends, which a quoted value may hold too.  So the
+    lines are looked at first, and if any has an odd number of quotes, every file
+    is read whole by one task.
     """
-    reader = spark.read.options(enforceSchema="false", **CSV_OPTIONS).schema(RAW_CUSTOMERS)
-    return blank_missing(reader.csv(path), RAW_CUSTOMERS.names)
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    paths = [path] if isinstance(path, str) else path
+    whole = not spark.read.text(paths).filter(odd).isEmpty()
+    reader = spark.read.options(enforceSchema="false", multiLine=str(whole).lower(), **CSV_OPTIONS)
+    return blank_missing(reader.schema(RAW_CUSTOMERS).csv(path), RAW_CUSTOMERS.names)

@@ -5,6 +5,7 @@ import tempfile
 import uuid
 from datetime import UTC, datetime
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 _VERSION = "version="
@@ -132,10 +133,30 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def list_files(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a pattern names, in order."""
+    place, files = _place(spark, pattern)
+    return sorted(status.getPath().toString() for status in files.globStatus(place) or ())
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file to a place that is free; nothing if another has moved it there."""
+    old, files = _place(spark, path)
+    new, _ = _place(spark, to)
+    files.mkdirs(new.getParent())
+    try:
+        done = files.rename(old, new)
+    except Py4JJavaError as error:
+        if "FileNotFoundException" not in str(error):
+            raise
+        done = False
+    if not done and not files.exists(new):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def expire_files(spark: SparkSession, folder: str, keep: int = 2) -> None:
     """Remove all but the last of the files of a folder, by name."""
-    pattern, files = _place(spark, f"{folder}/[!_.]*")
-    for path in sorted(status.getPath().toString() for status in files.globStatus(pattern) or ())[:-keep]:
+    for path in list_files(spark, f"{folder}/[!_.]*")[:-keep]:
         remove(spark, path)
 
 
@@ -146,9 +167,7 @@ _MANIFEST = "_months"
 
 def _folders(spark: SparkSession, version: str) -> dict[str, str]:
     """The month folders inside a version, by month."""
-    pattern, files = _place(spark, f"{version}/*=*")
-    found = [status.getPath().toString() for status in files.globStatus(pattern) or ()]
-    return {path.rpartition("=")[2]: path for path in found}
+    return {path.rpartition("=")[2]: path for path in list_files(spark, f"{version}/*=*")}
 
 
 def manifest(spark: SparkSession, version: str) -> dict | None:

@@ -247,3 +247,56 @@ def test_a_comment_over_cuts_is_put_together_by_several_tasks(spark, tmp_path, p
 def test_a_comment_that_never_ends_is_a_bad_file(spark, tmp_path, tmp_path_factory):
     put(tmp_path, "2025-11-02", "orders.xml", orders_xml(LINES[:4]).replace("</orders>", "<!-- </orders>"))
     assert "2025-11-02" in both_readers(spark, tmp_path, tmp_path_factory)[1]
+
+
+def test_quoted_line_breaks_are_put_together_by_several_tasks(spark, tmp_path, monkeypatch):
+    """A CSV file with values over line ends is worked on split by split."""
+    rows = [(f"C{i:05d}", f'a "{i}"' if i % 7 else f"x\n{i},\ny", str(i), "W") for i in range(4000)]
+    quoted = lambda v: '"' + v.replace('"', '""') + '"'
+    put(tmp_path, "2025-11-01", "customers.csv", "\n".join([HEADER, *(",".join(map(quoted, r)) for r in rows)]) + "\n")
+    put(tmp_path, "2025-11-02", "customers.csv", f"{HEADER}\nP,plain,1,W\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    grouped, real = [], landing._starts
+    monkeypatch.setattr(landing, "_starts", lambda *args: grouped.append(real(*args)) or grouped[-1])
+    try:
+        got, skipped = customers_of(spark, tmp_path)
+        assert grouped[0].select("split_start").distinct().count() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    windows = [w for w in grouped[0]._jdf.queryExecution().analyzed().toString().split("\n") if "windowspec" in w]
+    assert all("split_start" in w for w in windows)
+    assert [r[:4] for r in got] == [*rows, ("P", "plain", "1", "W")] and skipped == []
+
+
+def test_plain_scan_reads_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    for text, names in (
+        (f'{HEADER}\nC1,Ann,1,W\nC2,"Bo\nb",222,south\n', ["Ann", "Bo\nb"]),
+        (f'{HEADER}\nC2,Bo,222,"so\na,b,c,uth"\n', ["Bo"]),
+        (f'{HEADER}\nC1,5" pipe,1,W\nC2,Cy,2,W\n', ['5" pipe', "Cy"]),
+    ):
+        path.write_text(text)
+        assert [r.customer_name for r in raw.scan_customers_csv(spark, str(path)).collect()] == names
+
+
+def test_batches_landed_at_the_same_time_lose_nothing(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame(CUSTOMERS, "customer_id string, customer_name string, mobile_number string, region string")
+    moment, root = datetime(2025, 11, 1), str(tmp_path)
+    real = landing.finish_landing
+    # the second batch is landed whole while the first is written but not moved
+    with monkeypatch.context() as patch:
+        patch.setattr(landing, "finish_landing", lambda *_: (patch.undo(), landing.land_batch(frame, root, "csv", moment), real(spark, root)))
+        landing.land_batch(frame, root, "csv", moment)
+    assert len(customers_of(spark, tmp_path)[0]) == 2 * len(CUSTOMERS)
+    # one that stops before it is moved is not seen, and is completed by the next
+    with monkeypatch.context() as patch:
+        patch.setattr(landing, "finish_landing", lambda *_: None)
+        landing.land_batch(frame, root, "csv", moment)
+    assert len(customers_of(spark, tmp_path)[0]) == 2 * len(CUSTOMERS)
+    landing.land_batch(frame, root, "csv", moment)
+    assert len(customers_of(spark, tmp_path)[0]) == 4 * len(CUSTOMERS)
+    # one that fails while it is written leaves nothing
+    with pytest.raises(Exception, match="broken"):
+        landing.land_batch(frame.withColumn("region", F.raise_error(F.lit("broken")).cast("string")), root, "csv", moment)
+    assert len(customers_of(spark, tmp_path)[0]) == 4 * len(CUSTOMERS)
