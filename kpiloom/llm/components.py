@@ -24,13 +24,25 @@ def _large_star(links: DataFrame) -> DataFrame:
     pairs = _both_ways(links)
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
     larger = pairs.where("v > u")
-    return larger.join(least, larger["u"] == least["k"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    return _meet(larger, "u", least).select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
+def _meet(rows: DataFrame, node: str, least: DataFrame) -> DataFrame:
+    """``rows`` with the minimum ``m`` around their node.
+
+    The join has a second key, implied by the first: without it the planner would
+    join where the aggregate left its rows, and adaptive execution splits a common
+    node only if an exchange feeds both sides.
+    """
+    keyed = least.withColumn("part", F.pmod("k", F.lit(16)))
+    rows = rows.withColumn("rows_part", F.pmod(node, F.lit(16)))
+    return rows.join(keyed, (rows[node] == keyed["k"]) & (rows["rows_part"] == keyed["part"]))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Links every node and its smaller neighbours to the smallest of them; a > b on input."""
     least = links.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-    joined = links.join(least, links["a"] == least["k"]).select("a", "b", "m")
+    joined = _meet(links, "a", least).select("a", "b", "m")
     moved = joined.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
 

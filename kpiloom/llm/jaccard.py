@@ -11,14 +11,22 @@ Method: size-banded tiles, hashed bitmap signatures, exact intersection.
   by the part's content.  Only documents with an equal key are compared.  Where
   too many parts of a document are empty for that argument, it also enters
   under its first ``n - ceil(t*n) + 1`` hashes, of which two linked sets share one.
+* Documents with equal sets are one from here on; keys under which the same
+  documents meet are one key.
 * First, each document is compared with the smallest document under its keys;
   the exact links make groups.  Then, under every key that still holds several
   groups, documents of different groups meet in blocks, as bitmaps of a bit per
   hash (parity).  Differing bits are at most the differing elements, so their
-  count bounds the overlap from above.  What passes is intersected exactly.
+  count bounds the overlap from above.
+* Of the pairs that pass, a tile returns as many as connect its documents.  These
+  are intersected exactly and merge groups.  All pairs that passed lie within the
+  families that the returned ones connect; so in each family that still holds
+  several groups, blocks of documents are intersected exactly, all against all, as
+  products of incidence matrices.
 
-No key's group is gathered: the first comparison streams over sorted rows, the
-second works in tiles of two blocks of bounded size.
+No key's group and no family is gathered: the first comparison streams over sorted
+rows, the others work in tiles of two blocks of bounded size.  No list of all
+passing pairs is made.
 
 Defined results: a null or empty text, or one without words, has no shingles
 and no links.  A document without doc_id has no links and a null group.  Rows
@@ -28,7 +36,7 @@ size.  Further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +50,8 @@ from kpiloom.staging import materialize
 
 _BAND_RATIO = 1.5
 _BLOCK = 512  # documents in a block of a tile
+_BLOCK_SHINGLES = 1 << 19  # shingles in a block of an exact tile, but for a greater document
+_COLUMNS = 4096  # shingles in a slice of an incidence matrix
 _EDGES = [1]
 while _EDGES[-1] < 1 << 40:
     _EDGES.append(max(_EDGES[-1] + 1, int(_EDGES[-1] * _BAND_RATIO)))
@@ -88,9 +98,9 @@ def keys(sorted_set: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parity of the hashes per bit; at least four bits for each, a power of two."""
+    """Parity of the hashes per bit; at least eight bits for each, a power of two."""
     bits = 64
-    while bits < 4 * len(hashes):
+    while bits < 8 * len(hashes):
         bits *= 2
     return np.packbits(np.bincount((mix(hashes) & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
 
@@ -185,32 +195,49 @@ def _similar(pairs: DataFrame, profile: DataFrame, texts: DataFrame, n: int, per
     return sized.where("equal").select("a", "b").union(map_arrow(both, run, "a long, b long"))
 
 
-def _across(meetings: DataFrame, groups: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) under one key, of different groups, that sizes and bitmaps admit."""
-    members = meetings.select("key", "doc_id").union(meetings.select("key", F.col("hub").alias("doc_id")).distinct())
-    named = members.join(groups.toDF("doc_id", "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
-    rows = named.join(mixed, "key").join(profile.where("bits is not null").select("doc_id", "n_shingles", "bits"), "doc_id")
-    blocks = F.expr(f"int((size + {_BLOCK - 1}) / {_BLOCK})")
-    rows = rows.withColumn("blocks", blocks).withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
+def _distinct_keys(meetings: DataFrame) -> DataFrame:
+    """The meetings under one key of those under which the same documents meet."""
+    held = F.sum(F.xxhash64("doc_id").cast("decimal(38,0)"))
+    each = meetings.groupBy("key").agg(F.min("hub").alias("hub"), F.count("*").alias("n"), held.alias("held"))
+    chosen = materialize(each.groupBy("hub", "n", "held").agg(F.min("key").alias("key")).select("key"), "keys")
+    return meetings.join(chosen, "key", "left_semi").select("key", "hub", "doc_id")
+
+
+def _tiles(rows: DataFrame, unit: str, run: Callable, schema: str, *carried: str) -> DataFrame:
+    """``run`` over (tile, block, ...) tables: every two of the ``blocks`` of documents of a unit are a tile."""
+    rows = rows.withColumn("block", F.expr("int(pmod(xxhash64(doc_id), blocks))"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tiles = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component", "n_shingles", "bits")
+    tiles = rows.select(F.col(unit).alias("unit"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", *carried)
 
-    def run(batches):
+    def stream(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            if not batch.num_rows:
+                continue
             # a tile is bounded, so the rows of the last tile in hand are kept for the next batch
             table = pa.Table.from_batches([*held, batch])
-            tile = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            tile = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("unit", "i", "j")])
             starts = np.concatenate([[0], np.flatnonzero((tile[:, 1:] != tile[:, :-1]).any(axis=0)) + 1])
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield from _tile(table.slice(a, b - a), percent)
+                yield from run(table.slice(a, b - a))
             held = table.slice(starts[-1]).to_batches()
         if held:
-            yield from _tile(pa.Table.from_batches(held), percent)
+            yield from run(pa.Table.from_batches(held))
 
-    spread = tiles.repartition(partitions(tiles.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return map_arrow(spread, run, "a long, b long").distinct()
+    spread = tiles.repartition(partitions(tiles.sparkSession), "unit", "i", "j").sortWithinPartitions("unit", "i", "j")
+    return map_arrow(spread, stream, schema)
+
+
+def _connecting(meetings: DataFrame, groups: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different groups that sizes and bitmaps admit, as many as connect all such pairs under each key."""
+    members = meetings.select("key", "doc_id").union(meetings.select("key", F.col("hub").alias("doc_id")).distinct())
+    named = members.join(groups.toDF("doc_id", "component"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    named = materialize(named, "members")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high").select("key", "size")
+    # a key that very many documents have is split: the join reads a written table on both sides
+    rows = named.join(materialize(mixed, "mixed"), "key").withColumn("blocks", F.expr(f"int((size + {_BLOCK - 1}) / {_BLOCK})"))
+    rows = rows.join(profile.where("bits is not null").select("doc_id", "n_shingles", "bits"), "doc_id")
+    return _tiles(rows, "key", lambda tile: _tile(tile, percent), "a long, b long", "component", "n_shingles", "bits").distinct()
 
 
 def _folded(bits: np.ndarray, width: int) -> np.ndarray:
@@ -219,38 +246,127 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
+class _Union:
+    """Groups that grow together."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = x = self.up.get(y, y)
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.root(x), self.root(y)
+        self.up[x] = y
+        return x != y
+
+
+def _ordered(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        pairs = np.array(found, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], names=["a", "b"])
+
+
 def _tile(tile: pa.Table, percent: int) -> Iterator[pa.RecordBatch]:
     ids, groups, sizes, block = (tile.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles", "block"))
     if len(ids) < 2 or (groups == groups[0]).all():
         return
     maps = [np.frombuffer(x.as_buffer(), dtype=np.uint8) for x in tile.column("bits")]
-    width = min(map(len, maps))
-    bits = np.stack([_folded(m, width) for m in maps])
+    # in order of the size of the maps, each is folded to that of the smaller one of a pair
+    order = np.argsort([len(m) for m in maps], kind="stable")
+    ids, groups, sizes, block, maps = ids[order], groups[order], sizes[order], block[order], [maps[k] for k in order]
     diagonal = bool((block == block[0]).all())
-    for x in range(len(ids)):
-        other = np.flatnonzero((groups != groups[x]) & ((ids > ids[x]) if diagonal else (block > block[x])))
+    union, found, bits, width = _Union(), [], None, 0
+    for x in range(len(ids) - 1):
+        if len(maps[x]) != width:
+            width = len(maps[x])
+            bits = np.stack([_folded(m, width) for m in maps[x:]])
+            first = x
+        other = np.arange(x + 1, len(ids))
+        other = other[(groups[other] != groups[x]) & (diagonal | (block[other] != block[x]))]
         other = other[np.minimum(sizes[other], sizes[x]) * 100 >= np.maximum(sizes[other], sizes[x]) * percent]
         if not len(other):
             continue
-        apart = np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64)
+        apart = np.bitwise_count(bits[other - first].view(np.uint64) ^ bits[x - first].view(np.uint64)).sum(axis=1, dtype=np.int64)
         total = sizes[other] + sizes[x]
         most = (total - apart) // 2  # of shared elements
-        other = other[100 * most >= percent * (total - most)]
-        if len(other):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[other])), pa.array(np.maximum(ids[x], ids[other]))], names=["a", "b"])
+        for y in other[100 * most >= percent * (total - most)].tolist():
+            if union.join(int(groups[x]), int(groups[y])):
+                found.append((int(ids[x]), int(ids[y])))
+    yield from _ordered(found)
+
+
+def _exact_tile(tile: pa.Table, n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Exact links between different groups of a tile, as many as connect them."""
+    ids, groups, block = (tile.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+    sets = [s for _, found in _sets(tile.select(["doc_id", "text"]).to_batches(), n) for s in found]
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    # a shingle of one document is shared with none
+    several = times > 1
+    column, row = (np.cumsum(several) - 1)[column[several[column]]], row[several[column]]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    # the documents of a diagonal tile meet each other, else those of one block meet the other's
+    left = np.flatnonzero(block == block[0])
+    diagonal = len(left) == len(ids)
+    right = left if diagonal else np.flatnonzero(block != block[0])
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)  # whole numbers, exact below 2**24
+    edges = np.searchsorted(column, np.arange(0, int(several.sum()) + _COLUMNS, _COLUMNS))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        part = np.zeros((len(ids), _COLUMNS), dtype=np.float32)
+        part[row[a:b], column[a:b] - k * _COLUMNS] = 1
+        shared += part[left] @ part[right].T
+    linked = (shared > 0) & (100 * shared.astype(np.int64) >= percent * (sizes[left][:, None] + sizes[right][None, :] - shared.astype(np.int64)))
+    linked &= groups[left][:, None] != groups[right][None, :]
+    union, found = _Union(), []
+    for x, y in np.argwhere(linked).tolist():
+        if union.join(int(groups[left[x]]), int(groups[right[y]])):
+            found.append((int(ids[left[x]]), int(ids[right[y]])))
+    yield from _ordered(found)
+
+
+def _within(families: DataFrame, groups: DataFrame, profile: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Exact links between the groups that each family still holds."""
+    sizes = profile.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
+    named = families.toDF("doc_id", "family").join(groups.toDF("doc_id", "component"), "doc_id", "left").join(sizes, "doc_id")
+    named = materialize(named.select("doc_id", "family", F.coalesce("component", "doc_id").alias("component"), "n_shingles"), "families")
+    mixed = named.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"), F.sum("n_shingles").alias("shingles"))
+    blocks = F.greatest(F.expr(f"int((size + {_BLOCK - 1}) / {_BLOCK})"), F.expr(f"int((shingles + {_BLOCK_SHINGLES - 1}) / {_BLOCK_SHINGLES})")).alias("blocks")
+    mixed = materialize(mixed.where("low != high").select("family", blocks), "mixed")
+    rows = named.join(mixed, "family").join(texts, "doc_id")
+    return _tiles(rows, "family", lambda tile: _exact_tile(tile, n, percent), "a long, b long", "component", "text").distinct()
 
 
 def links(docs: DataFrame, profile: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Links (a, b) between doc_ids whose closure is that of all exact links."""
-    meetings = materialize(_meetings(_keyed(docs, n, percent)), "meetings")
+    same = ["n_shingles", "one", "two"]
+    sets = profile.where("doc_id is not null and n_shingles > 0").select("doc_id", *same)
+    least = materialize(sets.groupBy(*same).agg(F.min("doc_id").alias("least")), "sets")
+    # the second key, implied by the first, lets a set that very many documents have be split
+    part = F.pmod("one", F.lit(16)).alias("part")
+    equal = sets.select("*", part).join(least.select("*", part), [*same, "part"]).where("doc_id != least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    equal = materialize(equal, "equal")
+    own = least.select(F.col("least").alias("own")).distinct()
+    distinct = columns(docs, "doc_id", "text").join(own, F.col("doc_id") == F.col("own"), "left_semi")
+    meetings = materialize(_meetings(_keyed(distinct, n, percent)), "meetings")
+    meetings = materialize(_distinct_keys(meetings), "distinct-meetings")
     met = meetings.select("doc_id").union(meetings.select("hub")).distinct().withColumnRenamed("doc_id", "met")
     texts = columns(docs, "doc_id", "text")
     texts = materialize(texts.join(met, texts["doc_id"] == met["met"], "left_semi"), "texts")
     near = meetings.groupBy("doc_id").agg(F.min("hub").alias("hub")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
     first = materialize(_similar(near, profile, texts, n, percent), "links")
     groups = materialize(components(first), "groups")
-    rest = _similar(_across(meetings, groups, profile, percent), profile, texts, n, percent)
-    return first.union(rest)
+    maybe = materialize(_connecting(meetings, groups, profile, percent), "maybe")
+    second = materialize(_similar(maybe, profile, texts, n, percent), "links")
+    groups = materialize(components(first.union(second)), "groups")
+    families = components(first.union(maybe))
+    third = _within(families, groups, profile, texts, n, percent)
+    return equal.union(first).union(second).union(third)
 
 
 def near_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -51,8 +51,12 @@ def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, tie, places: the places of later occurrences of runs in each document."""
     found = runs(docs)
     first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), F.max(F.struct("doc_id", "tie", "place")).alias("last"))
-    first = first.where("not first <=> last").select(F.col("hash").alias("of"), "first")
-    later = found.join(first, found["hash"] == first["of"]).where(~F.struct("doc_id", "tie", "place").eqNullSafe(F.col("first")))
+    # the second key, implied by the first, keeps the planner from joining where the aggregate
+    # left its rows: with an exchange on both sides, a very common run is split
+    lead = F.substring("hash", 1, 1)
+    first = first.where("not first <=> last").select(F.col("hash").alias("of"), "first", lead.alias("of_lead"))
+    found = found.withColumn("lead", lead)
+    later = found.join(first.hint("merge"), (found["hash"] == first["of"]) & (found["lead"] == first["of_lead"])).where(~F.struct("doc_id", "tie", "place").eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tie").agg(F.collect_set("place").alias("places"))
 
 
