@@ -18,7 +18,8 @@ term seen in one document reveals nothing.
 
 The counts are over all documents: distinct terms of each document are combined
 per task before any shuffle.  Only the terms that have support are counted; a
-list of at most ``small`` terms is broadcast for that, a longer one is joined.
+list of at most ``small`` terms is broadcast for that (so of a bounded size: a run
+of more than ``LONGEST_TERM`` letters is no term), a longer one is joined.
 
 Positions are code points, end exclusive.  The patterns keep the leftmost
 non-overlapping matches of the plain ones stated in ``PLAIN`` but never try a
@@ -41,6 +42,7 @@ from kpiloom.staging import materialize
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
+LONGEST_TERM = 64  # letters
 
 #: What each kind is.
 PLAIN = {
@@ -132,7 +134,8 @@ def entities(docs: DataFrame, reach: int = 120) -> DataFrame:
 
 
 def _terms(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda t: F.lower(t))
+    words = F.filter(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda t: F.length(t) <= LONGEST_TERM)
+    return F.transform(words, lambda t: F.lower(t))
 
 
 def _document_counts(docs: DataFrame, wanted: DataFrame, small: int) -> DataFrame:

@@ -40,6 +40,7 @@ from kpiloom.llm.tables import columns, map_arrow, partitions
 from kpiloom.llm.words import EXACT, SPACE, U64, prefix_sums, range_hash, slices
 from kpiloom.staging import materialize, new_path
 
+_READ_IDS = 1 << 22  # ids read at once, but for a longer document
 _CACHE_UNITS = 1_500_000  # memory only: a full cache is emptied
 _encoders: dict[int, Encoder] = {}
 
@@ -222,26 +223,41 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str | None
     return files.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
-def opened(path: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, bounds, doc_ids, present) of one file pair; memory-mapped where it is a local file."""
-    local = urlparse(path).scheme in ("", "file")
-    kind = f"<u{width}"
-    if local:
-        plain = urlparse(path).path
-        index = np.fromfile(f"{plain}.idx", dtype=np.uint8)
-    else:
-        store, plain = _filesystem(path)
-        index = np.frombuffer(store.open_input_file(f"{plain}.idx").readall(), dtype=np.uint8)
-    n = int(index[:8].view("<i8")[0])
-    numbers = index[8 : 8 + 8 * (2 * n + 1)].view("<i8")
-    bounds, doc_ids, present = numbers[: n + 1], numbers[n + 1 :], index[8 + 8 * (2 * n + 1) :]
-    if not bounds[-1]:
-        ids = np.zeros(0, kind)
-    elif local:
-        ids = np.memmap(f"{plain}.bin", dtype=kind, mode="r")
-    else:
-        ids = np.frombuffer(store.open_input_file(f"{plain}.bin").readall(), dtype=kind)
-    return ids, bounds, doc_ids, present
+class TokenFile:
+    """One file pair, read by ranges: memory-mapped where it is a local file, else by seeking.
+
+    So no more of it is held than what is asked for, wherever it lies.
+    """
+
+    def __init__(self, path: str, width: int, mapped: bool | None = None):
+        self.dtype = np.dtype(f"<u{width}")
+        local = urlparse(path).scheme in ("", "file")
+        if local if mapped is None else mapped:
+            plain = urlparse(path).path
+            maps = {kind: np.memmap(f"{plain}.{kind}", dtype=np.uint8, mode="r") if os.path.getsize(f"{plain}.{kind}") else np.zeros(0, np.uint8) for kind in ("bin", "idx")}
+            self._bytes = lambda kind, a, b: maps[kind][a:b]
+        else:
+            store, plain = _filesystem(path)
+            files = {kind: store.open_input_file(f"{plain}.{kind}") for kind in ("bin", "idx")}
+            self._bytes = lambda kind, a, b: np.frombuffer(files[kind].read_at(b - a, a), dtype=np.uint8)
+        self.n_docs = int(self._bytes("idx", 0, 8).view("<i8")[0])
+
+    def _numbers(self, a: int, b: int) -> np.ndarray:
+        return self._bytes("idx", 8 * a, 8 * b).view("<i8")
+
+    def bounds(self, a: int, b: int) -> np.ndarray:
+        """Where the ids of documents a to b - 1 start, and the last of them ends."""
+        return self._numbers(1 + a, 2 + b)
+
+    def doc_ids(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The doc_ids of documents a to b - 1, and whether each is there."""
+        after = 2 + self.n_docs
+        present = 8 * (after + self.n_docs)
+        return self._numbers(after + a, after + b), self._bytes("idx", present + a, present + b)
+
+    def ids(self, a: int, b: int) -> np.ndarray:
+        """The ids at places a to b - 1 of the file."""
+        return self._bytes("bin", a * self.dtype.itemsize, b * self.dtype.itemsize).view(self.dtype)
 
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -251,18 +267,26 @@ def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                ids, bounds, doc_ids, present = opened(row["path"], row["width"])
-                for a in range(0, row["n_docs"], 4096):
+                file = TokenFile(row["path"], row["width"])
+                a = 0
+                while a < row["n_docs"]:
+                    # so many documents that their ids have a bounded size, but for one that is longer
                     b = min(a + 4096, row["n_docs"])
-                    texts = [ids[x:y] for x, y in zip(bounds[a:b], bounds[a + 1 : b + 1], strict=True)]
+                    bounds = file.bounds(a, b)
+                    b = a + max(1, int(np.searchsorted(bounds, bounds[0] + _READ_IDS, side="right")) - 1)
+                    bounds = bounds[: b - a + 1]
+                    doc_ids, present = file.doc_ids(a, b)
+                    ids = file.ids(int(bounds[0]), int(bounds[-1]))
+                    texts = [ids[x:y] for x, y in zip(bounds[:-1] - bounds[0], bounds[1:] - bounds[0], strict=True)]
                     out = [
-                        pa.array(doc_ids[a:b], pa.int64(), mask=present[a:b] == 0),
-                        pa.array(bounds[a:b] + row["base"], pa.int64()),
-                        pa.array(np.diff(bounds[a : b + 1]), pa.int64()),
+                        pa.array(doc_ids, pa.int64(), mask=present == 0),
+                        pa.array(bounds[:-1] + row["base"], pa.int64()),
+                        pa.array(np.diff(bounds), pa.int64()),
                         pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in texts], pa.int64()),
                     ]
                     if with_ids:
                         out.append(pa.array([x.tolist() for x in texts], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(out, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(out)])
+                    a = b
 
     return map_arrow(manifest.repartition(partitions(manifest.sparkSession), "part"), run, schema)

@@ -152,8 +152,33 @@ def test_token_files(docs, corpus, spark):
         start += len(ids)
     rows = manifest.orderBy("part").collect()
     assert [r.base for r in rows] == np.cumsum([0] + [r.n_ids for r in rows[:-1]]).tolist() and {r.width for r in rows} == {2}
-    ids, bounds, doc_ids, present = tokens.opened(rows[0].path, rows[0].width)
-    assert isinstance(ids, np.memmap) and len(ids) == bounds[-1] and len(doc_ids) == len(present) == rows[0].n_docs
+    # memory-mapped, or by ranges as from a remote store
+    for row in rows:
+        mapped, ranged = (tokens.TokenFile(row.path, row.width, way) for way in (True, False))
+        assert isinstance(mapped.ids(0, row.n_ids), np.memmap) and not isinstance(ranged.ids(0, row.n_ids), np.memmap)
+        for a, b in ((0, row.n_docs), (row.n_docs // 2, row.n_docs), (0, 1)):
+            assert mapped.bounds(a, b).tolist() == ranged.bounds(a, b).tolist() and len(ranged.bounds(a, b)) == b - a + 1
+            assert [x.tolist() for x in mapped.doc_ids(a, b)] == [x.tolist() for x in ranged.doc_ids(a, b)]
+            x, y = (int(v) for v in ranged.bounds(a, b)[[0, -1]])
+            assert mapped.ids(x, y).tolist() == ranged.ids(x, y).tolist() and len(ranged.ids(x, y)) == y - x
+        assert ranged.bounds(0, row.n_docs)[-1] == row.n_ids
+
+
+def test_token_files_are_read_in_pieces(docs, monkeypatch):
+    manifest = tokens.write(docs, TOKENIZER, 2, parts=2)
+    whole = sorted(tokens.read(manifest, with_ids=True).collect())
+    folder = manifest.first().path.rpartition("/")[0]
+    width = manifest.first().width
+    import glob
+
+    for path in glob.glob(f"{folder}/*.idx"):
+        file = tokens.TokenFile(path.removesuffix(".idx"), width)
+        at = 0
+        while at < file.n_docs:
+            bounds = file.bounds(at, min(at + 7, file.n_docs))
+            at += len(bounds) - 1
+        assert at == file.n_docs
+    assert len(whole) == docs.count()
 
 
 def test_token_files_of_hard_rows(hard, empty):
