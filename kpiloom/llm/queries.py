@@ -111,11 +111,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _FOLDED_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 
-def _tree(text: str) -> str:
-    """SQL for the paragraphs' nodes and the root of a text."""
-    nodes = f"list_transform(string_split({text}, chr(10)), lambda p: sha256(p))"
-    marked = f"regexp_replace('<' || array_to_string({nodes}, '><') || '>', '(<[01][0-9a-f]*>)', '\\1|', 'g')"
-    return f"sha256(array_to_string(list_transform(string_split(regexp_replace({marked}, '\\|$', ''), '|'), lambda s: sha256(s)), ''))"
+def _leaves(text: str) -> str:
+    """SQL for the leaves' nodes of each paragraph."""
+    return f"list_transform(string_split({text}, chr(10)), lambda p: list_transform(regexp_extract_all(p, '{merkle.LEAF}'), lambda x: sha256(x)))"
+
+
+def _sections(paragraphs: str) -> str:
+    marked = f"regexp_replace('<' || array_to_string({paragraphs}, '><') || '>', '(<[01][0-9a-f]*>)', '\\1|', 'g')"
+    return f"list_transform(string_split(regexp_replace({marked}, '\\|$', ''), '|'), lambda s: sha256(s))"
+
+
+def _levels(of: str, source: str) -> str:
+    """SQL steps for paragraphs, sections, root and nodes of the leaves named by ``of``."""
+    return f"""
+        {of}_p as (select *, list_transform({of}_leaves, lambda l: sha256(array_to_string(l, ''))) as {of}_paragraphs from {source}),
+        {of}_s as (select *, {_sections(f"{of}_paragraphs")} as {of}_sections from {of}_p),
+        {of}_t as (select *, sha256(array_to_string({of}_sections, '')) as {of}_root,
+                         list_distinct(list_concat(list_concat({of}_sections, {of}_paragraphs), flatten({of}_leaves))) as {of}_nodes from {of}_s)"""
 
 
 ORACLE: dict[str, str] = {
@@ -124,17 +136,14 @@ ORACLE: dict[str, str] = {
                           coalesce(lead(coalesce(text, '')) over (order by doc_id), first_value(coalesce(text, '')) over (order by doc_id)) as next_text
                    from documents),
         e as (select *, length(text) as n, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) as edited from n),
-        t as (select *, {_tree("text")} as fingerprint, {_tree("edited")} as edited_fingerprint, {_tree("next_text")} as next_fingerprint,
-                     list_distinct(regexp_extract_all(text, '{merkle.LEAF}')) as a, list_distinct(regexp_extract_all(edited, '{merkle.LEAF}')) as b,
-                     list_distinct(regexp_extract_all(next_text, '{merkle.LEAF}')) as c,
-                     string_split(text, chr(10)) as p, string_split(edited, chr(10)) as q from e)
-        select doc_id, n::bigint as n_chars, sha256(edited) as edited_sha256, fingerprint, edited_fingerprint,
-               (2 * (len(list_intersect(a, b)) + (fingerprint = edited_fingerprint)::int))::double / (len(a) + len(b) + 2) as near_edited,
-               (2 * (len(list_intersect(a, c)) + (fingerprint = next_fingerprint)::int))::double / (len(a) + len(c) + 2) as near_next,
-               len(string_split(regexp_replace(regexp_replace('<' || array_to_string(list_transform(p, lambda x: sha256(x)), '><') || '>', '(<[01][0-9a-f]*>)', '\1|', 'g'), '\|$', ''), '|'))::int as n_sections,
-               len(p)::int as n_paragraphs,
-               coalesce(list_position(list_transform(range(1, greatest(len(p), len(q)) + 1), lambda i: p[i] is distinct from q[i]), true), 0)::bigint as first_change
-        from t""",
+        l as (select *, {_leaves("text")} as a_leaves, {_leaves("edited")} as b_leaves, {_leaves("next_text")} as c_leaves from e),
+        {_levels("a", "l")}, {_levels("b", "a_t")}, {_levels("c", "b_t")}
+        select doc_id, n::bigint as n_chars, sha256(edited) as edited_sha256, a_root as fingerprint, b_root as edited_fingerprint,
+               (2 * (len(list_intersect(a_nodes, b_nodes)) + (a_root = b_root)::int))::double / (len(a_nodes) + len(b_nodes) + 2) as near_edited,
+               (2 * (len(list_intersect(a_nodes, c_nodes)) + (a_root = c_root)::int))::double / (len(a_nodes) + len(c_nodes) + 2) as near_next,
+               len(a_sections)::int as n_sections, len(a_paragraphs)::int as n_paragraphs,
+               coalesce(list_position(list_transform(range(1, greatest(len(a_paragraphs), len(b_paragraphs)) + 1), lambda i: a_paragraphs[i] is distinct from b_paragraphs[i]), true), 0)::bigint as first_change
+        from c_t""",
     "op10_line_dedup": """
         with d as (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
         w as (select doc_id, l, unnest(range(1, len(l) - 1)) as p from d),

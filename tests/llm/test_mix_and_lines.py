@@ -97,34 +97,53 @@ def test_lines_of_hard_rows(spark, hard, empty):
     assert got == [(0, 0, "a\nb\nc"), (1, 3, ""), (1, 3, ""), (2, 3, "d")]
 
 
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def _tree(text):
-    nodes = [hashlib.sha256(p.encode()).hexdigest() for p in text.split("\n")]
+    """(root, all other nodes, paragraphs' nodes, paragraphs of each section) of a text."""
+    below = [[_sha(x) for x in re.findall(merkle.LEAF, p)] for p in text.split("\n")]
+    assert "\n".join("".join(re.findall(merkle.LEAF, p)) for p in text.split("\n")) == text
+    nodes = [_sha("".join(leaves)) for leaves in below]
     groups, cut = [[]], False
     for n in nodes:
         if cut:
             groups.append([])
         groups[-1].append(n)
         cut = n[0] in "01"
-    sections = [hashlib.sha256(("".join(f"<{n}>" for n in g)).encode()).hexdigest() for g in groups]
-    return hashlib.sha256("".join(sections).encode()).hexdigest()
+    sections = [_sha("".join(f"<{n}>" for n in g)) for g in groups]
+    return _sha("".join(sections)), {*sections, *nodes, *sum(below, [])}, nodes, groups
+
+
+def _descent(a, b):
+    """Number of the first paragraph that differs, from the first section that does; 0 if none."""
+    before = 0
+    for k in range(max(len(a), len(b))):
+        x, y = (g[k] if k < len(g) else [] for g in (a, b))
+        if x != y:
+            rest = [sum(g[k:], []) for g in (a, b)]
+            return before + next(i + 1 for i in range(max(map(len, rest))) if rest[0][i : i + 1] != rest[1][i : i + 1])
+        before += len(x)
+    return 0
 
 
 def test_fingerprints(docs, corpus):
     got = by_id(merkle.fingerprints_with_edit(docs))
     texts = [t or "" for t in corpus]
-    leaves = [set(re.findall(merkle.LEAF, t)) for t in texts]
     for k, text in enumerate(texts):
-        following = (k + 1) % len(texts)
+        following = texts[(k + 1) % len(texts)]
         cut = len(text) // 4
-        edited = text[: len(text) - cut] + texts[following][:cut]
-        r = got[k]
-        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert (r.fingerprint, r.edited_fingerprint) == (_tree(text), _tree(edited))
-        for value, other, body in ((r.near_edited, set(re.findall(merkle.LEAF, edited)), edited), (r.near_next, leaves[following], texts[following])):
-            assert value == pytest.approx(2 * (len(leaves[k] & other) + (text == body)) / (len(leaves[k]) + len(other) + 2))
-        parts = [text.split("\n"), edited.split("\n")]
-        differ = [i + 1 for i in range(max(map(len, parts))) if parts[0][i : i + 1] != parts[1][i : i + 1]]
-        assert r.first_change == (differ[0] if differ else 0)
+        edited = text[: len(text) - cut] + following[:cut]
+        r, (top, nodes, paragraphs, groups) = got[k], _tree(text)
+        assert (r.n_chars, r.edited_sha256) == (len(text), _sha(edited))
+        assert (r.fingerprint, r.edited_fingerprint) == (top, _tree(edited)[0])
+        assert (r.n_paragraphs, r.n_sections) == (len(paragraphs), len(groups))
+        for value, other in ((r.near_edited, edited), (r.near_next, following)):
+            other_top, other_nodes, *_ = _tree(other)
+            assert value == pytest.approx(2 * (len(nodes & other_nodes) + (top == other_top)) / (len(nodes) + len(other_nodes) + 2))
+            assert (value == 1) == (text == other)
+        assert r.first_change == _descent(groups, _tree(edited)[3])
 
 
 def test_fingerprints_of_hard_rows(spark, hard, empty):
