@@ -34,6 +34,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,8 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _WORD = r"\p{L}{3,}+|(?<!\p{L})[\p{Lu}\p{Lt}\p{Lo}]\p{L}(?!\p{L})"
 _SPAN = "struct<kind:int,start:int,end:int,value:string>"
+_BLOCK = 64  # matches
+_PIECE = 1024  # code points
 
 
 def _digits(value: Column) -> Column:
@@ -93,6 +97,45 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often and in whatever lambda ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _located(matches: Column, wanted: Callable[[Column], Column], record: Callable[[Column, Column, Column], Column], kind: str) -> Column:
+    """``record`` of each wanted match, given its start and end: gaps and sizes up to it add up to them.
+
+    Sums run over blocks of matches and then within each block, as a state that
+    holds all records is copied at every match.
+    """
+    nothing, none = F.array().cast(f"array<{kind}>"), F.array().cast("array<int>")
+
+    def blocks(every: Column) -> Column:
+        last = F.greatest(F.floor((F.size(every) - 1) / _BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(every, k * _BLOCK + 1, F.lit(_BLOCK)))
+
+    def length(block: Column) -> Column:
+        return F.aggregate(block, F.lit(0), lambda total, m: total + m["gap"] + m["size"])
+
+    def step(state: Column, block: Column) -> Column:
+        return F.struct((state["at"] + length(block)).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts"))
+
+    def add(state: Column, m: Column) -> Column:
+        start = state["at"] + m["gap"]
+        end = start + m["size"]
+        records = F.when(wanted(m), F.concat(state["records"], F.array(record(m, start, end)))).otherwise(state["records"])
+        return F.struct(end.alias("at"), records.alias("records"))
+
+    def inside(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), nothing.alias("records")), add, lambda state: state["records"])
+
+    def run(every: Column) -> Column:
+        starts = F.aggregate(every, F.struct(F.lit(0).alias("at"), none.alias("starts")), step, lambda state: state["starts"])
+        return F.flatten(F.zip_with(every, starts, inside))
+
+    return _named(_named(matches, blocks), run)
+
+
 def _found(kind: str, text: Column) -> Column:
     """The valid matches of a kind: the lengths of what stands between matches add up to their positions."""
     pattern, code = F.lit(_LINEAR[kind]), KINDS.index(kind)
@@ -104,15 +147,11 @@ def _found(kind: str, text: Column) -> Column:
         x["value"].alias("value"), x["gap"].alias("gap"), F.length(x["value"]).alias("size"), _valid(kind, x["value"]).alias("valid"),
     ))
 
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        end = start + m["size"]
-        span = F.struct(F.lit(code).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(m["valid"], F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+    def span(m: Column, start: Column, end: Column) -> Column:
+        return F.struct(F.lit(code).alias("kind"), start.alias("start"), end.alias("end"), m["value"].alias("value"))
 
     nothing = F.array().cast(f"array<{_SPAN}>")
-    start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
-    spans = F.aggregate(each, start, add, lambda state: state["spans"])
+    spans = _located(each, lambda m: m["valid"], span, _SPAN)
     needed = _NEEDS[kind]
     has = text.contains(needed) if needed else text.rlike("[0-9][0-9 -]{15}")
     return F.when(has, spans).otherwise(nothing)
@@ -122,15 +161,22 @@ def entities(docs: DataFrame, reach: int = 120) -> DataFrame:
     """doc_id, key (of the text), spans (the valid matches of all kinds, in the order of
     kind and start, with the hash of their surroundings), text (null without spans)."""
     rows = columns(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    text = F.col("text")
+    piece = max(_PIECE, reach)
+
+    def around(at: Column, length: Column) -> Column:
+        """At most ``reach`` code points from a place on, out of two pieces: a text has no index of its code points."""
+        k = F.floor(at / piece).cast("int")
+        two = F.concat(*(F.coalesce(F.get("pieces", i), F.lit("")) for i in (k, k + 1)))
+        return two.substr(at - k * piece + 1, length)
 
     def placed(s: Column) -> Column:
-        left = text.substr(F.greatest(s["start"] - reach, F.lit(0)) + 1, F.least(s["start"], F.lit(reach)))
-        return s.withField("place", F.xxhash64(left, text.substr(s["end"] + 1, F.lit(reach))))
+        left = around(F.greatest(s["start"] - reach, F.lit(0)), F.least(s["start"], F.lit(reach)))
+        return s.withField("place", F.xxhash64(left, around(s["end"], F.lit(reach))))
 
-    spans = F.transform(F.concat(*(_found(k, text) for k in KINDS)), placed)
-    found = rows.select("doc_id", F.xxhash64("text").alias("key"), spans.alias("spans"), "text")
-    return found.withColumn("text", F.when(F.size("spans") > 0, text))
+    found = rows.select("doc_id", "text", F.concat(*(_found(k, F.col("text")) for k in KINDS)).alias("spans"))
+    found = found.withColumn("pieces", F.when(F.size("spans") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))))
+    spans = F.transform("spans", placed).alias("spans")
+    return found.select("doc_id", F.xxhash64("text").alias("key"), spans, F.when(F.size("spans") > 0, F.col("text")).alias("text"))
 
 
 def _terms(text: Column) -> Column:
@@ -191,17 +237,12 @@ def _entity(span: Column) -> Column:
 def _placed(text: Column, wanted: Column) -> Column:
     """(term, start, end) of the words of a text that are among the wanted terms."""
     words, between = F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.split(text, _WORD, -1)
-    pairs = F.filter(F.zip_with(words, between, lambda w, b: F.struct(w.alias("word"), F.length(b).alias("gap"))), lambda x: x["word"].isNotNull())
-    kind = "array<struct<term:string,start:int,end:int>>"
+    pairs = F.filter(F.zip_with(words, between, lambda w, b: F.struct(F.lower(w).alias("term"), F.length(b).alias("gap"), F.length(w).alias("size"))), lambda x: x["term"].isNotNull())
 
-    def add(state: Column, w: Column) -> Column:
-        start = state["at"] + w["gap"]
-        end = start + F.length(w["word"])
-        one = F.struct(F.lower(w["word"]).alias("term"), start.alias("start"), end.alias("end"))
-        named = F.array_contains(wanted, F.lower(w["word"]))
-        return F.struct(end.alias("at"), F.when(named, F.concat(state["terms"], F.array(one))).otherwise(state["terms"]).alias("terms"))
+    def one(w: Column, start: Column, end: Column) -> Column:
+        return F.struct(w["term"].alias("term"), start.alias("start"), end.alias("end"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("terms")), add, lambda state: state["terms"])
+    return _located(pairs, lambda w: F.array_contains(wanted, w["term"]), one, "struct<term:string,start:int,end:int>")
 
 
 def term_spans(found: DataFrame, mentions: DataFrame, revealing: DataFrame, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:

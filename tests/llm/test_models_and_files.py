@@ -251,6 +251,24 @@ def test_terms_of_the_whole_document(spark):
     assert not any(name in clean[0].text for name in ("Jonathan", "Lee", "Ng", "李明"))
 
 
+def test_many_entities_in_one_text(spark):
+    """More than one piece and many blocks: places, surroundings and terms are those of slices of the text."""
+    rng = random.Random(11)
+    filler = lambda n: " ".join(rng.choice(["house", "𝒳river", "stone\n", "cloud", "green"]) for _ in range(n))
+    texts = [" ".join(f"{filler(k % 40)} u{k}@host{d}.org Zacharias eve@mail.org" for k in range(150)) for d in range(2)]
+    texts += [filler(20) for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    around = F.udf(lambda t, a, b: [t[max(a - 120, 0) : a], t[b : b + 120]], "array<string>")
+    each = sanitise.entities(frame).select("doc_id", F.explode("spans").alias("s")).join(frame, "doc_id")
+    plain = each.withColumn("sides", around("text", "s.start", "s.end")).withColumn("want", F.xxhash64(F.get("sides", 0), F.get("sides", 1)))
+    assert each.count() == 600
+    assert plain.where("want <> s.place").count() == 0
+    for row in sanitise.spans(frame).collect():
+        text = texts[row.doc_id]
+        assert [(s.start, s.end) for s in row.spans] == [m.span() for m in re.finditer(sanitise.PLAIN["email"], text)]
+        assert [(t.start, t.end) for t in row.terms if text[t.start : t.end] == "Zacharias"] == [m.span() for m in re.finditer("Zacharias", text)]
+
+
 def test_sanitisation_of_hard_rows(hard, empty):
     found = sanitise.spans(hard)
     assert found.count() == hard.count()
