@@ -258,12 +258,17 @@ def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     are then to be put together (``unsplit``) from their text, the ``body``.
     ``ends`` marks a proper end of file.
     """
-    cut = pieces.withColumn("body", F.regexp_replace("value", _COMMENT, ""))
+    value = F.col("value")
+    # a piece without such markup, which a byte search tells, is spared the patterns below
+    marked = value.contains("<!") | value.contains("-->") | value.contains("]]>") | value.rlike(_SPACED_END)
+    cut = pieces.withColumn("marked", marked)
+    cut = cut.withColumn("body", F.when(F.col("marked"), F.regexp_replace("value", _COMMENT, "")).otherwise(value))
     bare = F.regexp_replace("body", _CDATA, "")
-    loose = bare.rlike(f"{_OPENERS}|{_CLOSERS}")
-    whole = F.when(loose, F.array("body")).otherwise(F.split("body", _SPACED_END, -1))
+    loose = F.col("marked") & bare.rlike(f"{_OPENERS}|{_CLOSERS}")
+    whole = F.when(F.col("marked") & ~loose, F.split("body", _SPACED_END, -1)).otherwise(F.array("body"))
     cut = cut.withColumn("loose", loose).select("*", F.posexplode(whole).alias("piece", "part")).withColumn("body", F.col("part"))
-    starts = F.regexp_count(F.regexp_replace("body", _CDATA, ""), F.lit(rf"<{ROW_TAG}[\s>]"))
+    bare = F.when(F.col("marked"), F.regexp_replace("body", _CDATA, "")).otherwise(F.col("body"))
+    starts = F.regexp_count(bare, F.lit(rf"<{ROW_TAG}[\s>]"))
     record = F.concat(
         F.regexp_extract("body", rf"(?s)(<{ROW_TAG}(?:\s[^>]*)?>.*)", 1), F.lit(f"</{ROW_TAG}>")
     )

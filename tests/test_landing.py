@@ -300,3 +300,20 @@ def test_batches_landed_at_the_same_time_lose_nothing(spark, tmp_path, monkeypat
     with pytest.raises(Exception, match="broken"):
         landing.land_batch(frame.withColumn("region", F.raise_error(F.lit("broken")).cast("string")), root, "csv", moment)
     assert len(customers_of(spark, tmp_path)[0]) == 4 * len(CUSTOMERS)
+
+
+def test_pieces_without_markup_are_spared_the_patterns(spark):
+    """The patterns for comments and sections stand behind a byte search, and change no row."""
+    values = ["\n<order><sku_id>a</sku_id>", "<order><sku_id><![CDATA[<order>]]></sku_id>", "<order a='1'>]]>", "<order><!-- <order> --><sku_id>b</sku_id>",
+              "<order><sku_id>c</sku_id></order >\n<order><sku_id>d</sku_id>", "<order><order>", "\n</orders>\n", ""]
+    rows = [(k, v, None, "f", 0) for k, v in enumerate(values)]
+    pieces = spark.createDataFrame(rows, "row_number long, value string, ingest_date date, source_file string, split_start long")
+    parsed = landing.stage_pieces(pieces)
+    got = sorted((r.row_number, r.piece, r.sku_id, r.is_line, r.corrupt, r.unsplit, r.ends) for r in parsed.collect())
+    assert got == [
+        (0, 0, "a", True, False, False, False), (1, 0, "<order>", True, False, False, False), (2, 0, None, True, True, True, False),
+        (3, 0, "b", True, False, False, False), (4, 0, "c", True, False, False, False), (4, 1, "d", True, False, False, False),
+        (5, 0, None, True, True, False, False), (6, 0, None, False, False, False, True), (7, 0, None, False, False, False, False),
+    ]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert all("CASE WHEN marked" in line or "marked" in line.partition("regexp_replace")[0] for line in plan.split("\n") if "regexp_replace" in line)
