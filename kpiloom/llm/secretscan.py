@@ -6,13 +6,19 @@ method:
 
 * Labelled strings.  The distinct values of each kind (of an assignment, the value
   alone) over the whole corpus, and the distinct other candidates.  Copies count
-  once.  About ``most`` strings of each are learned from, those of least hash, a
-  bound that does not grow with the corpus.
-* Grammar inference, one task for each kind.  A prefix tree counts how often each
-  prefix goes on with each character or ends.  From the root outwards, a state
-  whose counts are compatible with those of a state already kept (Hoeffding's
-  bound on every continuation, down both subtrees) is merged into it, else it is
-  kept.  What is left is a deterministic probabilistic automaton.
+  once.  All of them are learned from.
+* Grammar inference.  A prefix tree counts how often each prefix goes on with each
+  character or ends.  From the root outwards, a state whose counts are compatible
+  with those of a state already kept (Hoeffding's bound on every continuation, down
+  both subtrees) is merged into it, else it is kept.  What is left is a
+  deterministic probabilistic automaton.
+* Rounds.  All strings run through the automaton so far, in parallel; Spark counts the
+  passes of its edges, and behind the edges that lead nowhere yet the prefix tree of
+  what is left of the strings, ``DEPTH`` characters deep.  One task for each kind
+  infers states from the nodes that hold a ``most``-th of these strings; rarer ones
+  wait for the next round, in which those that came to the same state count together.
+  When no edge is open, the last counts are of all strings.  Up to ``most`` strings
+  are one tree, inferred in one round if none is longer than ``DEPTH``.
 * Scores.  Every candidate (a maximal run of ``least`` or more characters of
   ``[A-Za-z0-9+/_.-]`` with a letter and a digit) outside the base spans gets, for
   each kind, its log-likelihood per character under the kind's automaton.  It is a
@@ -21,8 +27,8 @@ method:
   background's automaton, which is inferred from the candidates that fall short of
   all kinds.
 
-Automata are tables (kind, state, symbol, next, n, visits), of a size bounded by
-``most``, sent to every task.
+Automata are tables (kind, state, symbol, next, n, visits) of the states that were
+kept, sent to every task.
 
 Positions are code points, end exclusive.
 
@@ -36,12 +42,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kpiloom.llm.tables import columns, fresh, map_arrow
@@ -78,6 +84,9 @@ _LETTER[[ord(c) for c in "+/_.-"]] = False
 SYMBOLS = int(_IN_RUN.sum()) + 2  # with "=", and the end
 
 END = ""
+DEPTH = 64  # characters of a prefix tree in one round
+_HELD = 200_000  # counts held at once in a task
+_COLLECTED = 10_000  # scores among which a quantile is looked up at once
 _FOUND = "array<struct<kind:string,start:int,end:int,value:string>>"
 _STRUCT = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string())]))
 
@@ -122,10 +131,12 @@ def base_and_candidates(docs: DataFrame, least: int = 12) -> DataFrame:
     return map_arrow(columns(docs, "doc_id", "text"), run, f"doc_id long, spans {_FOUND}, candidates {_FOUND}")
 
 
-def labelled(found: DataFrame, most: int = 4_000) -> DataFrame:
-    """kind, value: about ``most`` distinct strings of each kind and of the background, by least hash."""
-    each = found.select(F.explode(F.concat("spans", "candidates")).alias("s")).select("s.kind", "s.value")
-    each = materialize(each.groupBy("kind", "value").agg(F.count("*").alias("n")).select("kind", "value"), "strings")
+def labelled(found: DataFrame, most: int | None = None) -> DataFrame:
+    """kind, value: the distinct strings of each kind and of the background; with ``most``, about so many of each, by least hash."""
+    each = found.select(F.explode(F.concat("spans", "candidates")).alias("s")).select("s.kind", "s.value").distinct()
+    if most is None:
+        return each
+    each = materialize(each, "strings")
     counts = {row["kind"]: row["count"] for row in each.groupBy("kind").count().collect()}  # four kinds
     scale = 1 << 30
     share = F.create_map(*(F.lit(x) for kind, n in counts.items() for x in (kind, min(scale, scale * most // n)))) if counts else F.lit(None)
@@ -153,6 +164,35 @@ class Automaton:
                 state = edge[0]
             self.visits[state] += 1
             self.ends[state] += 1
+        self.kept = [0]
+        self.waiting: set[int] = set()  # nodes whose continuations are not known yet
+
+    @classmethod
+    def counted(cls, rows: list[tuple[int, str, str, int, int]]) -> Automaton:
+        """From (state, prefix, symbol, next, n): how often a symbol follows a prefix behind a kept state, and the kept state it leads to or -1."""
+        found = cls([])
+        found.kept = list(range(1 + max(max(row[0], row[3]) for row in rows)))
+        nodes = {(state, ""): state for state in found.kept}
+        rows = sorted(rows, key=lambda row: (len(row[1]), row[:3]))
+        for of in dict.fromkeys(row[:2] for row in rows if row[1]):
+            nodes[of] = len(nodes)
+        found.edges, found.ends, found.visits = [{} for _ in nodes], [0] * len(nodes), [0] * len(nodes)
+        for state, prefix, symbol, to, n in rows:
+            at = nodes[state, prefix]
+            found.visits[at] += n
+            if symbol == END:
+                found.ends[at] += n
+                continue
+            if to < 0:
+                to = nodes.get((state, prefix + symbol), -1)
+            if to < 0:
+                to = len(found.edges)
+                found.waiting.add(to)
+                found.edges.append({})
+                found.ends.append(0)
+                found.visits.append(n)
+            found.edges[at][symbol] = [to, n]
+        return found
 
     def _differ(self, f1: int, n1: int, f2: int, n2: int, bound: float) -> bool:
         return abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -172,7 +212,7 @@ class Automaton:
                 x, y = self.edges[a].get(symbol), self.edges[b].get(symbol)
                 if self._differ(x[1] if x else 0, na, y[1] if y else 0, nb, bound):
                     return False
-                if x and y:
+                if x and y and x[0] not in self.waiting and y[0] not in self.waiting:
                     todo.append((x[0], y[0]))
         return True
 
@@ -187,17 +227,20 @@ class Automaton:
                 edge = self.edges[a].get(symbol)
                 if edge is None:
                     self.edges[a][symbol] = [state, passes]
-                else:
-                    edge[1] += passes
+                    continue
+                edge[1] += passes
+                if edge[0] in self.waiting:
+                    edge[0] = state
+                elif state not in self.waiting:
                     todo.append((edge[0], state))
 
     def infer(self, alpha: float = 0.05) -> None:
         """Merges compatible states, the most visited first."""
         bound = math.sqrt(0.5 * math.log(2 / alpha))
-        kept = [0]
-        is_kept = {0}
+        kept = self.kept
+        known = {*kept, *self.waiting}
         while True:
-            border = [(-edge[1], state, symbol) for state in kept for symbol, edge in self.edges[state].items() if edge[0] not in is_kept]
+            border = [(-edge[1], state, symbol) for state in kept for symbol, edge in self.edges[state].items() if edge[0] not in known]
             if not border:
                 return
             _, state, symbol = min(border)
@@ -209,33 +252,75 @@ class Automaton:
                     break
             else:
                 kept.append(new)
-                is_kept.add(new)
+                known.add(new)
 
     def rows(self):
-        """(state, symbol, next, n, visits) of the states that can be reached; an end is the empty symbol."""
-        seen, todo = {0}, [0]
-        while todo:
-            state = todo.pop()
+        """(state, symbol, next, n, visits) of the kept states; an end is the empty symbol, and next is -1 there and where a node waits."""
+        number = {state: k for k, state in enumerate(self.kept)}
+        for state in self.kept:
             if self.ends[state]:
-                yield state, END, -1, self.ends[state], self.visits[state]
+                yield number[state], END, -1, self.ends[state], self.visits[state]
             for symbol, (to, passes) in sorted(self.edges[state].items()):
-                yield state, symbol, to, passes, self.visits[state]
-                if to not in seen:
-                    seen.add(to)
-                    todo.append(to)
+                yield number[state], symbol, number.get(to, -1), passes, self.visits[state]
 
 
-def automata(strings_: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """kind, state, symbol, next, n, visits: the inferred automaton of each kind, one bounded group of strings for each."""
+def _passes(strings_: DataFrame, known: dict[tuple[str, int, str], int]) -> DataFrame:
+    """kind, state, prefix, symbol, next, n: of all strings, the passes of the known edges and of the tree behind the first unknown one."""
+
+    def packed(held):
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64())
+        values = zip(*((*of, n) for of, n in held.items()), strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(values, kinds, strict=True)], names=["kind", "state", "prefix", "symbol", "next", "n"])
+
+    def run(batches):
+        held: Counter = Counter()
+        for batch in batches:
+            for kind, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                state = 0
+                for at, symbol in enumerate((*value, END)):
+                    to = known.get((kind, state, symbol), -1)
+                    held[kind, state, "", symbol, to] += 1
+                    if to < 0:
+                        break
+                    state = to
+                for stop in range(at + 1, min(len(value), at + DEPTH) + 1):
+                    held[kind, state, value[at:stop], value[stop : stop + 1], -1] += 1
+                if len(held) > _HELD:
+                    yield packed(held)
+                    held.clear()
+        if held:
+            yield packed(held)
+
+    counts = map_arrow(strings_.select("kind", "value"), run, "kind string, state long, prefix string, symbol string, next long, n long")
+    return counts.groupBy("kind", "state", "prefix", "symbol", "next").agg(F.sum("n").alias("n"))
+
+
+def automata(strings_: DataFrame, alpha: float = 0.05, most: int = 4_000) -> DataFrame:
+    """kind, state, symbol, next, n, visits: the automaton of each kind, inferred from all its strings."""
 
     def infer(table: pa.Table) -> pa.Table:
-        automaton = Automaton(sorted(table.column("value").to_pylist()))
+        columns_ = (table.column(name).to_pylist() for name in ("state", "prefix", "symbol", "next", "n"))
+        automaton = Automaton.counted(list(zip(*columns_, strict=True)))
         automaton.infer(alpha)
-        state, symbol, to, n, visits = (list(c) for c in zip(*automaton.rows(), strict=True))
-        kind = [table.column("kind")[0].as_py()] * len(state)
-        return pa.table({"kind": kind, "state": state, "symbol": symbol, "next": to, "n": n, "visits": visits})
-
-    return strings_.groupBy("kind").applyInArrow(infer, "kind string, state long, symbol string, next long, n long, visits long")
+        rows = [(state, symbol, to) for state, symbol, to, _, _ in automaton.rows() if to >= 0]
+        state, symbol, to = zip(*rows, strict=True) if rows else ((), (), ())
+        kind = [table.column("kind")[0].as_py()] * len(rows)
+        return pa.table({"kind": pa.array(kind, pa.string()), "state": pa.array(state, pa.int64()), "symbol": pa.array(symbol, pa.string()), "next": pa.array(to, pa.int64())})
+
+    known: dict[tuple[str, int, str], int] = {}
+    while True:
+        counts = materialize(_passes(strings_, known), "passes")
+        edges = counts.where("prefix = ''")
+        # the strings of each kind that come to an open edge
+        left = {row["kind"]: row["n"] for row in edges.where("symbol <> '' and next < 0").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+        if not left:
+            return edges.select("kind", "state", "symbol", "next", "n", F.sum("n").over(Window.partitionBy("kind", "state")).alias("visits"))
+        least = F.create_map(*(F.lit(x) for kind, n in left.items() for x in (kind, -(-n // most))))
+        of = ["kind", "state", "prefix"]
+        nodes = counts.groupBy(*of).agg(F.sum("n").alias("visits")).where((F.length("prefix") < 2) | (F.col("visits") >= least[F.col("kind")]))
+        tree = counts.join(nodes.select(*of), of)
+        inferred = tree.groupBy("kind").applyInArrow(infer, "kind string, state long, symbol string, next long")
+        known = {(row["kind"], row["state"], row["symbol"]): row["next"] for row in inferred.collect()}  # edges of kept states
 
 
 class Grammar:
@@ -271,20 +356,47 @@ def grammars(rows: list) -> dict[str, Grammar]:
     return {kind: Grammar(found) for kind, found in by_kind.items()}
 
 
+def _ordered(scores: DataFrame, place: int) -> float:
+    """The score at a place in ascending order, looked up by histograms of ever smaller ranges."""
+    while True:
+        n, low, high = scores.agg(F.count("score"), F.min("score"), F.max("score")).first()
+        if low == high:
+            return low
+        if n <= _COLLECTED:
+            return sorted(row["score"] for row in scores.collect())[place]
+        bin_ = F.floor((F.col("score") - low) / (high - low) * 1024)
+        for k, held in sorted(scores.groupBy(bin_.alias("bin")).count().collect()):
+            if place < held:
+                break
+            place -= held
+        scores = scores.where(bin_ == k)
+
+
 def _floors(known: dict[str, Grammar], strings_: DataFrame, share: float) -> dict[str, float]:
     """For each labelled kind the likelihood that all but ``share`` of its strings reach."""
-    scored = defaultdict(list)
-    for row in strings_.toLocalIterator():  # bounded by ``most``
-        scored[row["kind"]].append(known[row["kind"]].score(row["value"]))
-    return {kind: float(np.quantile(found, share)) for kind, found in scored.items()}
+
+    def run(batches):
+        for batch in batches:
+            kinds, values = (c.to_pylist() for c in batch.columns)
+            scores = [known[kind].score(value) for kind, value in zip(kinds, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["kind", "score"])
+
+    scored = materialize(map_arrow(strings_.select("kind", "value"), run, "kind string, score double"), "scores")
+    floors = {}
+    for row in scored.groupBy("kind").count().collect():
+        of_kind = scored.where(F.col("kind") == row["kind"])
+        place, part = divmod(share * (row["count"] - 1), 1)
+        around = [_ordered(of_kind, min(int(place) + k, row["count"] - 1)) for k in (0, 1)]
+        floors[row["kind"]] = float(np.quantile(around, part))
+    return floors
 
 
 def spans(docs: DataFrame, least: int = 12, most: int = 4_000, alpha: float = 0.05, gain: float = 0.5, share: float = 0.01) -> DataFrame:
     """doc_id, spans: (kind, start, end, value) of every document, base ones and those of kind ``format``, by start, then kind."""
     found = materialize(base_and_candidates(docs, least), "candidates")
-    strings_ = materialize(labelled(found, most), "labelled")
+    strings_ = materialize(labelled(found), "labelled")
     of_kinds = strings_.where(F.col("kind") != BACKGROUND)
-    known = grammars(automata(of_kinds, alpha).collect())  # bounded by ``most``
+    known = grammars(automata(of_kinds, alpha, most).collect())  # the kept states
     floors = _floors(known, of_kinds, share)
 
     def reaches(value: str) -> bool:
@@ -294,8 +406,8 @@ def spans(docs: DataFrame, least: int = 12, most: int = 4_000, alpha: float = 0.
         for batch in batches:
             yield batch.filter(pa.array([not reaches(v) for v in batch.column(1).to_pylist()], pa.bool_()))
 
-    rest = map_arrow(strings_.where(F.col("kind") == BACKGROUND), others, "kind string, value string")
-    background = grammars(automata(rest, alpha).collect()).get(BACKGROUND)
+    rest = materialize(map_arrow(strings_.where(F.col("kind") == BACKGROUND), others, "kind string, value string"), "background")
+    background = grammars(automata(rest, alpha, most).collect()).get(BACKGROUND)
 
     def is_secret(value: str) -> bool:
         other = background.score(value) if background else -math.log(SYMBOLS)

@@ -225,3 +225,30 @@ def test_labelled_strings_are_bounded(spark):
     found = secretscan.base_and_candidates(frame)
     assert 380 < secretscan.labelled(found, 500).count() < 620
     assert secretscan.labelled(found, 5000).count() == 3000
+
+
+def test_automata_and_floors_are_of_all_strings(spark, monkeypatch):
+    """More strings than one round's tree holds: every one is counted, and finds its way through the automaton."""
+    rng = random.Random(6)
+    made = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    values = sorted({("hex", made("0123456789abcdef", rng.randint(24, 90))) for _ in range(900)} | {("assign", "k" + made("xyz", 8)) for _ in range(300)})
+    frame = spark.createDataFrame(values, "kind string, value string").repartition(3)
+    monkeypatch.setattr(secretscan, "_COLLECTED", 50)
+    for most in (20, 4_000):
+        rows = secretscan.automata(frame, most=most).collect()
+        known = secretscan.grammars(rows)
+        for kind in ("hex", "assign"):
+            mine = [v for k, v in values if k == kind]
+            assert sum(r["n"] for r in rows if (r["kind"], r["symbol"]) == (kind, secretscan.END)) == len(mine)
+            assert sum(r["n"] for r in rows if r["kind"] == kind) == sum(len(v) + 1 for v in mine)
+            assert all(r["next"] >= 0 for r in rows if r["symbol"] != secretscan.END)
+            scores = [known[kind].score(v) for v in mine]
+            assert secretscan._floors(known, frame, 0.01)[kind] == pytest.approx(np.quantile(scores, 0.01))
+    whole = secretscan.Automaton([v for k, v in values if k == "assign"])
+    whole.infer()
+    assert sorted(whole.rows()) == sorted((r["state"], r["symbol"], r["next"], r["n"], r["visits"]) for r in rows if r["kind"] == "assign")
+
+
+def test_every_labelled_string_is_learned_from(spark):
+    frame = spark.createDataFrame([(k, f"password=x{zlib.crc32(str(k).encode()):x}pad") for k in range(4500)], "doc_id long, text string")
+    assert secretscan.labelled(secretscan.base_and_candidates(frame)).count() == 4500
