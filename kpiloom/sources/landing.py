@@ -1,7 +1,7 @@
 """Daily landing folders ``<root>/ingest_date=YYYY-MM-DD/``.
 
-Customers arrive as ``*.csv``, order lines as ``*.xml``; either may be absent on
-a day.  A batch read parses every file once into a staged parquet table, skips a
+Customers arrive as ``*.csv``, order lines as ``*.xml`` or ``*.xml.gz``; either may be
+absent on a day.  A batch read parses every file once into a staged parquet table, skips a
 file that cannot be read as a whole, and reports it.  No list of files passes
 through the driver: layouts and flags are joined on the file.
 """
@@ -31,9 +31,11 @@ from kpiloom.staging import list_files, materialize, move, remove
 DATE_COLUMN = "ingest_date"
 _CSV_FILES = "*.csv"
 # Text cut at each closing row tag.
-PIECES = {"pathGlobFilter": "*.xml", "lineSep": f"</{ROW_TAG}>"}
+PIECES = {"pathGlobFilter": "*.{xml,xml.gz}", "lineSep": f"</{ROW_TAG}>"}
 _CORRUPT = "_corrupt"
 _LANDING = "_landing"
+# XML is landed compressed and without indentation.  A compressed file is one task's work, so it is kept short.
+_XML_OPTIONS = {"rowTag": ROW_TAG, "rootTag": "orders", "indent": "", "compression": "gzip", "maxRecordsPerFile": "200000"}
 
 
 _ORIGIN = [
@@ -46,7 +48,7 @@ _FLAGS = [T.StructField(flag, T.BooleanType()) for flag in ("is_line", "corrupt"
 STAGED_ORDERS = T.StructType(
     ORDER_FIELDS.fields
     + _FLAGS
-    + [T.StructField("body", T.StringType()), T.StructField("piece", T.IntegerType())]
+    + [T.StructField("piece", T.IntegerType())]
     + _ORIGIN
 )
 
@@ -88,7 +90,7 @@ def land_batch(df: DataFrame, root: str, fmt: str, arrived: Column | datetime) -
     """
     if isinstance(arrived, datetime):
         arrived = F.lit(utc_moment(arrived).isoformat(sep=" ")).cast("timestamp_ntz")
-    options = {"csv": CSV_OPTIONS, "xml": {"rowTag": ROW_TAG, "rootTag": "orders"}}[fmt]
+    options = {"csv": CSV_OPTIONS, "xml": _XML_OPTIONS}[fmt]
     dated = df.withColumn(DATE_COLUMN, partition_date_ist(arrived))
     dated = dated.hint("rebalance", F.col(DATE_COLUMN))
     staged = f"{root.rstrip('/')}/{_LANDING}/{uuid.uuid4().hex}"
@@ -248,6 +250,20 @@ _OPENERS, _CLOSERS = r"<!--|<!\[CDATA\[", r"-->|\]\]>"
 # A closing row tag may hold white space, which the line separator does not.
 _SPACED_END = rf"</{ROW_TAG}\s+>"
 
+# A plain record: the fields in the order of the schema, each once or absent, among any others, without
+# attributes, entities or markup, and with text that the XML parser returns as it stands.
+_GAP = r"[ \t\r\n]*+"
+# ASCII one by one: such a class is one look-up in a table
+_BARE = "".join(rf"\x{c:02X}" for c in range(0x21, 0x7F) if chr(c) not in "<>&") + r"\u00A1-\uD7FF"
+_TEXT = rf"[{_BARE}]++(?: ++[{_BARE}]++)*+"
+_OTHER = rf"(?:<(?!(?:{'|'.join(ORDER_FIELDS.names)})>)([a-z][a-z0-9_]*+)>(?:{_TEXT})?+</\{{}}>{_GAP})*+"
+_PLAIN = rf"^{_GAP}(?:<\?xml [^<>]*+>{_GAP})?+(?:<{ROW_TAG}s>{_GAP})?+<{ROW_TAG}>{_GAP}{_OTHER.format(1)}"
+_PLAIN += "".join(
+    rf"(?:<{name}>({_TEXT})</{name}>{_GAP})?+{_OTHER.format(2 * k + 3)}" for k, name in enumerate(ORDER_FIELDS.names)
+)
+_PLAIN += r"\z"
+_MARK = "\x01"  # no character of XML
+
 
 def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     """Parse text that was cut at each closing row tag.
@@ -255,35 +271,46 @@ def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     Every piece but the last of a file is one record; the last holds only the
     closing root tag.  Comments are removed first.  A comment or CDATA section
     that reaches over a cut leaves a loose marker, and the pieces of its file
-    are then to be put together (``unsplit``) from their text, the ``body``.
-    ``ends`` marks a proper end of file.
+    are then to be put together (``unsplit``).  ``ends`` marks a proper end of file.
+    Plain records are taken apart by one pattern, all others by the XML parser,
+    with the same values.
     """
     value = F.col("value")
+    # the values of a plain record, found by one pattern, each behind a mark; other pieces go to the XML parser
+    cut = pieces.withColumn("marked", value.contains("<!"))
+    values = F.regexp_replace("value", _PLAIN, "".join(f"{_MARK}${2 * k + 2}" for k in range(len(ORDER_FIELDS))))
+    cut = cut.withColumn("values", F.when(~F.col("marked"), values))
+    plain = F.coalesce(F.col("values").startswith(_MARK) & ~value.startswith(_MARK), F.lit(False))
+    cut = cut.withColumn("plain", plain).withColumn("values", F.when(F.col("plain"), F.split("values", _MARK)))
     # a piece without such markup, which a byte search tells, is spared the patterns below
-    marked = value.contains("<!") | value.contains("-->") | value.contains("]]>") | value.rlike(_SPACED_END)
-    cut = pieces.withColumn("marked", marked)
+    marked = F.col("marked") | value.contains("-->") | value.contains("]]>") | value.rlike(_SPACED_END)
+    cut = cut.withColumn("marked", ~F.col("plain") & marked)
     cut = cut.withColumn("body", F.when(F.col("marked"), F.regexp_replace("value", _COMMENT, "")).otherwise(value))
     bare = F.regexp_replace("body", _CDATA, "")
     loose = F.col("marked") & bare.rlike(f"{_OPENERS}|{_CLOSERS}")
     whole = F.when(F.col("marked") & ~loose, F.split("body", _SPACED_END, -1)).otherwise(F.array("body"))
     cut = cut.withColumn("loose", loose).select("*", F.posexplode(whole).alias("piece", "part")).withColumn("body", F.col("part"))
     bare = F.when(F.col("marked"), F.regexp_replace("body", _CDATA, "")).otherwise(F.col("body"))
-    starts = F.regexp_count(bare, F.lit(rf"<{ROW_TAG}[\s>]"))
+    starts = F.when(F.col("plain"), 1).otherwise(F.regexp_count(bare, F.lit(rf"<{ROW_TAG}[\s>]")))
     record = F.concat(
         F.regexp_extract("body", rf"(?s)(<{ROW_TAG}(?:\s[^>]*)?>.*)", 1), F.lit(f"</{ROW_TAG}>")
     )
     schema = T.StructType(ORDER_FIELDS.fields + [T.StructField(_CORRUPT, T.StringType())])
     options = {"rowTag": ROW_TAG, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     parsed = cut.withColumn("starts", starts).withColumn(
-        "line", F.when(F.col("starts") > 0, F.from_xml(record, schema, options))
+        "line", F.when((F.col("starts") > 0) & ~F.col("plain"), F.from_xml(record, schema, options))
     )
+
+    def field(place: int, name: str) -> Column:
+        plainly = F.nullif(F.get("values", F.lit(place)), F.lit(""))
+        return F.when(F.col("plain"), plainly).otherwise(F.col(f"line.{name}")).alias(name)
+
     return parsed.select(
-        *[F.col(f"line.{name}").alias(name) for name in ORDER_FIELDS.names],
+        *[field(k, name) for k, name in enumerate(ORDER_FIELDS.names, 1)],
         (F.col("starts") > 0).alias("is_line"),
         ((F.col("starts") > 1) | F.col(f"line.{_CORRUPT}").isNotNull()).alias("corrupt"),
         F.col("loose").alias("unsplit"),
         ((F.col("starts") == 0) & F.col("body").rlike(r"</[^<>\s]+\s*>\s*$")).alias("ends"),
-        F.col("value").alias("body"),
         "piece",
         DATE_COLUMN,
         "source_file",
@@ -292,20 +319,20 @@ def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     )
 
 
-def _rejoined(staged: DataFrame, files: DataFrame) -> DataFrame:
-    """The files with loose markers, put together over their cuts and parsed again.
+def _rejoined(pieces: DataFrame, files: DataFrame) -> DataFrame:
+    """The files with loose markers, read again, put together over their cuts and parsed.
 
     A piece continues the one before while more comments or sections were opened
     than closed; only the pieces of one comment or section meet.
     """
-    parts = staged.join(files.filter("unsplit").select("source_file"), "source_file", "left_semi").filter("piece = 0")
-    bare = F.regexp_replace(F.regexp_replace("body", _COMMENT, ""), _CDATA, "")
+    parts = pieces.join(files.filter("unsplit").select("source_file"), "source_file", "left_semi")
+    bare = F.regexp_replace(F.regexp_replace("value", _COMMENT, ""), _CDATA, "")
     loose = F.regexp_count(bare, F.lit(_OPENERS)) - F.regexp_count(bare, F.lit(_CLOSERS))
-    parts = parts.select("body", DATE_COLUMN, "source_file", "split_start", "row_number", loose.alias("opened"))
+    parts = parts.select("value", DATE_COLUMN, "source_file", "split_start", "row_number", loose.alias("opened"))
     grouped = _starts(parts, "opened", lambda markers: markers <= 0)
-    text = F.array_sort(F.collect_list(F.struct("split_start", "row_number", "body")))
+    text = F.array_sort(F.collect_list(F.struct("split_start", "row_number", "value")))
     joined = grouped.groupBy("source_file", DATE_COLUMN, "at").agg(text.alias("parts"))
-    value = F.array_join(F.col("parts.body"), f"</{ROW_TAG}>")
+    value = F.array_join(F.col("parts.value"), f"</{ROW_TAG}>")
     return parse_order_pieces(
         joined.select(value.alias("value"), "source_file", "at.split_start", DATE_COLUMN, "at.row_number")
     )
@@ -338,23 +365,28 @@ def stage_pieces(pieces: DataFrame) -> DataFrame:
 
 def read_order_batches(spark: SparkSession, root: str, on_bad_file: str = "skip") -> Batches:
     """Order lines of all days; a truncated or malformed file is skipped whole."""
-    staged = materialize(stage_pieces(order_pieces(spark, root)), "raw-orders")
-    return check_files(settle_orders(staged), on_bad_file)
+    pieces = order_pieces(spark, root)
+    staged = materialize(stage_pieces(pieces), "raw-orders")
+    return check_files(settle_orders(staged, pieces), on_bad_file)
+
 
+def settle_orders(staged: DataFrame, pieces: DataFrame) -> Batches:
+    """Choose the lines of the readable files from parsed, written pieces.
 
-def settle_orders(staged: DataFrame) -> Batches:
-    """Choose the lines of the readable files from parsed, written pieces."""
-    lines, skipped = settle_lines(staged)
+    The text is not written with them: ``pieces`` reads it again, if a file has
+    to be put together.
+    """
+    lines, skipped = settle_lines(staged, pieces)
     return Batches(lines.drop("source_file"), skipped)
 
 
-def settle_lines(staged: DataFrame) -> Batches:
+def settle_lines(staged: DataFrame, pieces: DataFrame) -> Batches:
     """The same, each line with its file."""
     files = materialize(settle_order_files(staged), "order-files")
     lines = staged.filter("is_line")
     bad = files.filter(~F.col("unsplit") & F.col("broken")).select("source_file", DATE_COLUMN)
     if not files.filter("unsplit").isEmpty():
-        again = materialize(_rejoined(staged, files), "rejoined-orders")
+        again = materialize(_rejoined(pieces, files), "rejoined-orders")
         lines = _without_files(lines, files.filter("unsplit")).unionByName(again.filter("is_line"))
         # a marker still loose is a comment or section that never ends
         judged = again.groupBy("source_file", DATE_COLUMN).agg((_broken(again) | F.bool_or("unsplit")).alias("broken"))

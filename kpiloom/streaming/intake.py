@@ -85,7 +85,7 @@ def stage_new_orders(spark: SparkSession, root: str, staged: str, max_files: int
         batch = uuid.uuid4().hex
         paths = [unquote(row.source_file) for row in page.select("source_file").collect()]
         pieces = with_row_number(with_source(spark.read.options(basePath=root, **PIECES).text(paths)))
-        lines, skipped = settle_lines(materialize(stage_pieces(pieces), "raw-orders"))
+        lines, skipped = settle_lines(materialize(stage_pieces(pieces), "raw-orders"), pieces)
         lines.write.parquet(f"{staged}/lines/batch={batch}")
         skipped.write.parquet(f"{staged}/skipped/batch={batch}")
         _counts(spark.read.parquet(f"{staged}/lines/batch={batch}")).write.parquet(f"{staged}/counts/batch={batch}")

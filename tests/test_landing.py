@@ -317,3 +317,50 @@ def test_pieces_without_markup_are_spared_the_patterns(spark):
     ]
     plan = parsed._jdf.queryExecution().optimizedPlan().toString()
     assert all("CASE WHEN marked" in line or "marked" in line.partition("regexp_replace")[0] for line in plan.split("\n") if "regexp_replace" in line)
+
+
+def test_plain_records_are_parsed_as_by_the_xml_parser(spark, monkeypatch):
+    """One pattern takes plain records apart; every value is the parser's, and no plain record reaches it."""
+    texts = ["a", "a  b", " a", "a\t", "", "  ", "null", "+91 0", "é", " x", "日本", "a>b", "&lt;", "a]b", "1.50", "$1\\2", "\x01", "x "]
+    fields = ["order_id", "mobile_number", "order_date_time", "sku_id", "sku_count", "total_amount", "order_amount"]
+    records = ["<order>" + "".join(f"<{name}>{text}</{name}>" for name in fields) for text in texts]
+    records += ["\r\n <order>\n" + "\n".join(f"  <{name}>v{i}</{name}>" for i, name in enumerate(fields) if k >> i & 1) for k in range(0, 128, 3)]
+    one, two = "<order_id>1</order_id>", "<sku_id>2</sku_id>"
+    others = ["<batch>x y</batch>", "<batch></batch>", "<batch/>", "<a><b>1</b></a>", "<order_id>2</order_id>", "<SKU_ID>1</SKU_ID>", "text", "<a>1</b>", "<a b='1'>2</a>", "<!-- c -->"]
+    records += [f"<order>{cut}" for other in others for cut in (other + one + two, one + other + two, one + two + other, two + other + one)]
+    records += ['<?xml version="1.0"?>\n<orders>\n<order>' + one, "x<order>" + one, "--><order>" + one, "\x01<order>" + one, "<order>" + one + " ", "</orders>", "\x01", "<order>", None]
+    pieces = spark.createDataFrame([(k, v, None, "f", 0) for k, v in enumerate(records)], "row_number long, value string, ingest_date date, source_file string, split_start long")
+
+    def parsed():
+        return sorted((r.row_number, r.piece, *r) for r in landing.stage_pieces(pieces).collect())
+
+    got = parsed()
+    plan = landing.stage_pieces(pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert pieces.filter(F.col("value").rlike(landing._PLAIN)).count() > 50
+    assert all("NOT plain" in line.partition("from_xml")[0] for line in plan.split("\n") if "from_xml" in line)
+    monkeypatch.setattr(landing, "_PLAIN", "(?!)")
+    assert parsed() == got
+
+
+def test_xml_is_landed_compressed_and_its_text_is_not_staged(spark, tmp_path, tmp_path_factory):
+    """Short compressed files, from which both readers get all rows; the parsed pieces do not hold the text again."""
+    names = ["order_id", "mobile_number", "order_date_time", "sku_id", "sku_count", "total_amount"]
+    rows = [(f"O{k:04d}", "<1&2>", None, "S", str(k), "1.50") for k in range(500)]
+    frame = spark.createDataFrame(rows, ", ".join(f"{name} string" for name in names))
+    landing.land_batch(frame, str(tmp_path), "xml", datetime(2025, 11, 1))
+    put(tmp_path, "2025-11-02", "plain.xml", orders_xml(LINES[:1]))
+    landed = [p for p in (tmp_path / "ingest_date=2025-11-01").iterdir() if not p.name.startswith(".")]
+    assert landed and all(p.name.endswith(".xml.gz") for p in landed) and sum(p.stat().st_size for p in landed) < 500 * 30
+    got, skipped = both_readers(spark, tmp_path, tmp_path_factory)
+    assert sorted(r[0] for r in got) == sorted([r[0] for r in rows] + [LINES[0][0]]) and skipped == []
+    whole = landing.read_order_batches(spark, str(tmp_path)).rows.filter("order_id = 'O0007'").select(*names).collect()
+    assert [tuple(r) for r in whole] == [rows[7]]
+    assert "body" not in landing.stage_pieces(landing.order_pieces(spark, str(tmp_path))).columns
+
+
+def test_long_batches_are_landed_in_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(landing._XML_OPTIONS, "maxRecordsPerFile", "100")
+    frame = spark.range(1000).selectExpr("cast(id as string) as order_id")
+    landing.land_batch(frame, str(tmp_path), "xml", datetime(2025, 11, 1))
+    assert len(list((tmp_path / "ingest_date=2025-11-01").glob("*.xml.gz"))) >= 10
+    assert len(orders_of(landing.read_order_batches(spark, str(tmp_path)))[0]) == 1000

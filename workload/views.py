@@ -160,18 +160,21 @@ def customers_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.withColumn("mobile_number", number).drop("k", "balance")
 
 
-def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What depends on the order alone is computed once per order, below the join.
-
-    Orders and items grow together, so neither is ever to be broadcast.
-    """
-    orders = table(spark, sf_dir, "orders").select(
+def _base_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(
         _id("ORD-", "o_orderkey").alias("order_id"),
         _id("91", "o_custkey").alias("mobile_number"),
         F.col("o_orderdate").alias("order_date_time"),
         F.col("o_totalprice").cast(MONEY).alias("total_amount"),
         F.col("o_orderkey").alias("k"),
     )
+
+
+def _with_items(spark: SparkSession, sf_dir: str, orders: DataFrame) -> DataFrame:
+    """What depends on the order alone is computed once per order, below the join.
+
+    Orders and items grow together, so neither is ever to be broadcast.
+    """
     items = table(spark, sf_dir, "lineitem").hint("merge")
     return items.join(orders, F.col("l_orderkey") == F.col("k")).select(
         "order_id",
@@ -180,10 +183,14 @@ def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("SKU-"), F.col("l_partkey").cast("string")).alias("sku_id"),
         F.col("l_quantity").cast("int").alias("sku_count"),
         "total_amount",
-        "k",
+        *[name for name in orders.columns if name not in ("order_id", "mobile_number", "order_date_time", "total_amount")],
     )
 
 
+def _base_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_items(spark, sf_dir, _base_orders(spark, sf_dir))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _base_lines(spark, sf_dir).drop("k")
 
@@ -236,14 +243,16 @@ def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dirtied lines as text, with the moment of the order as `arrived`."""
     moment = F.date_format("order_date_time", "yyyy-MM-dd'T'HH:mm:ss")
     k = F.col("k")
-    return _base_lines(spark, sf_dir).select(
+    orders = _base_orders(spark, sf_dir).select(
         "order_id",
         F.when(k % 101 != 0, _written_number(" ")).alias("mobile_number"),
         F.when(k % 89 == 0, "not-a-date").otherwise(moment).alias("order_date_time"),
-        "sku_id",
-        F.col("sku_count").cast("string").alias("sku_count"),
         F.when(k % 97 == 0, "unknown")
         .otherwise(F.col("total_amount").cast("string"))
         .alias("total_amount"),
         F.col("order_date_time").alias("arrived"),
+        "k",
+    )
+    return _with_items(spark, sf_dir, orders).select(
+        "order_id", "mobile_number", "order_date_time", "sku_id", F.col("sku_count").cast("string").alias("sku_count"), "total_amount", "arrived"
     )
