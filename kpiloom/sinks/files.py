@@ -15,11 +15,11 @@ from pyspark.sql import types as T
 from kpiloom.functions import year_month
 from kpiloom.schemas import CLEAN_CUSTOMERS, CLEAN_ORDER_LINES, MONTH_COLUMN, ORDER_ROLLUP
 from kpiloom.sources.raw import CSV_OPTIONS
-from kpiloom.staging import commit_months, current_version, expire_versions, month_folders, new_version
+from kpiloom.staging import COMPACT, commit_months, current_version, expire_versions, month_folders, new_version
 
 
 def _replace(df: DataFrame, path: str, fmt: str, *folders: str) -> None:
-    options = CSV_OPTIONS if fmt == "csv" else {}
+    options = CSV_OPTIONS if fmt == "csv" else COMPACT
     writer = df.write.mode("errorifexists").options(**options).format(fmt)
     (writer.partitionBy(*folders) if folders else writer).save(new_version(path))
     expire_versions(df.sparkSession, path)
@@ -83,7 +83,7 @@ def _merge(rows: DataFrame, path: str, orders: DataFrame | None, built: dict, mo
             new = left.unionByName(new)
     version = new_version(path)
     unmarked = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
-    new.hint("rebalance", F.col(MONTH_COLUMN)).write.options(**unmarked).partitionBy(MONTH_COLUMN).parquet(version)
+    new.hint("rebalance", F.col(MONTH_COLUMN)).write.options(**unmarked, **COMPACT).partitionBy(MONTH_COLUMN).parquet(version)
     commit_months(spark, version, kept, built)
     expire_versions(spark, path)
     return sorted(set(month_folders(spark, version)) - set(kept))

@@ -26,7 +26,7 @@ from kpiloom.sources.raw import (
     blank_missing,
     resolve_amount,
 )
-from kpiloom.staging import list_files, materialize, move, remove
+from kpiloom.staging import COMPACT, list_files, materialize, move, remove
 
 DATE_COLUMN = "ingest_date"
 _CSV_FILES = "*.csv"
@@ -36,6 +36,7 @@ _CORRUPT = "_corrupt"
 _LANDING = "_landing"
 # XML is landed compressed and without indentation.  A compressed file is one task's work, so it is kept short.
 _XML_OPTIONS = {"rowTag": ROW_TAG, "rootTag": "orders", "indent": "", "compression": "gzip", "maxRecordsPerFile": "200000"}
+_XML_OPTIONS |= {"zlib.compress.level": "BEST_SPEED"}
 
 
 _ORIGIN = [
@@ -262,6 +263,10 @@ _PLAIN += "".join(
     rf"(?:<{name}>({_TEXT})</{name}>{_GAP})?+{_OTHER.format(2 * k + 3)}" for k, name in enumerate(ORDER_FIELDS.names)
 )
 _PLAIN += r"\z"
+# The same, as writers lay records out: nothing between the elements, and at most one other element, the last.
+_FLAT = rf"(?! )(?>[ {_BARE}]+)(?<! )"
+_LEAN = rf"^{_GAP}<{ROW_TAG}>" + "".join(rf"(?:<{name}>({_FLAT})</{name}>)?+" for name in ORDER_FIELDS.names)
+_LEAN += rf"(?:<(?!(?:{'|'.join(ORDER_FIELDS.names)})>)([a-z][a-z0-9_]*+)>(?:{_FLAT})?+</\{len(ORDER_FIELDS) + 1}>)?+\z"
 _MARK = "\x01"  # no character of XML
 
 
@@ -272,14 +277,18 @@ def parse_order_pieces(pieces: DataFrame) -> DataFrame:
     closing root tag.  Comments are removed first.  A comment or CDATA section
     that reaches over a cut leaves a loose marker, and the pieces of its file
     are then to be put together (``unsplit``).  ``ends`` marks a proper end of file.
-    Plain records are taken apart by one pattern, all others by the XML parser,
+    Plain records are taken apart by a pattern, all others by the XML parser,
     with the same values.
     """
     value = F.col("value")
-    # the values of a plain record, found by one pattern, each behind a mark; other pieces go to the XML parser
+    # the values of a plain record, each behind a mark, found by a quick pattern or else by the full one; other
+    # pieces go to the XML parser
     cut = pieces.withColumn("marked", value.contains("<!"))
+    lean = F.regexp_replace("value", _LEAN, "".join(f"{_MARK}${k + 1}" for k in range(len(ORDER_FIELDS))))
     values = F.regexp_replace("value", _PLAIN, "".join(f"{_MARK}${2 * k + 2}" for k in range(len(ORDER_FIELDS))))
-    cut = cut.withColumn("values", F.when(~F.col("marked"), values))
+    cut = cut.withColumn("lean", F.when(~F.col("marked"), lean))
+    full = F.when(~F.col("marked"), values)
+    cut = cut.withColumn("values", F.when(F.col("lean").startswith(_MARK), F.col("lean")).otherwise(full)).drop("lean")
     plain = F.coalesce(F.col("values").startswith(_MARK) & ~value.startswith(_MARK), F.lit(False))
     cut = cut.withColumn("plain", plain).withColumn("values", F.when(F.col("plain"), F.split("values", _MARK)))
     # a piece without such markup, which a byte search tells, is spared the patterns below
@@ -366,7 +375,7 @@ def stage_pieces(pieces: DataFrame) -> DataFrame:
 def read_order_batches(spark: SparkSession, root: str, on_bad_file: str = "skip") -> Batches:
     """Order lines of all days; a truncated or malformed file is skipped whole."""
     pieces = order_pieces(spark, root)
-    staged = materialize(stage_pieces(pieces), "raw-orders")
+    staged = materialize(stage_pieces(pieces), "raw-orders", **COMPACT)
     return check_files(settle_orders(staged, pieces), on_bad_file)
 
 

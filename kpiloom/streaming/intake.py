@@ -31,7 +31,7 @@ from kpiloom.sources.landing import (
     with_row_number,
     with_source,
 )
-from kpiloom.staging import materialize
+from kpiloom.staging import COMPACT, materialize
 
 _FILE = "source_file string, modified timestamp, length bigint"
 _LEDGER = f"{_FILE}, batch string"
@@ -85,8 +85,8 @@ def stage_new_orders(spark: SparkSession, root: str, staged: str, max_files: int
         batch = uuid.uuid4().hex
         paths = [unquote(row.source_file) for row in page.select("source_file").collect()]
         pieces = with_row_number(with_source(spark.read.options(basePath=root, **PIECES).text(paths)))
-        lines, skipped = settle_lines(materialize(stage_pieces(pieces), "raw-orders"), pieces)
-        lines.write.parquet(f"{staged}/lines/batch={batch}")
+        lines, skipped = settle_lines(materialize(stage_pieces(pieces), "raw-orders", **COMPACT), pieces)
+        lines.write.options(**COMPACT).parquet(f"{staged}/lines/batch={batch}")
         skipped.write.parquet(f"{staged}/skipped/batch={batch}")
         _counts(spark.read.parquet(f"{staged}/lines/batch={batch}")).write.parquet(f"{staged}/counts/batch={batch}")
         page.withColumn("batch", F.lit(batch)).coalesce(1).write.mode("append").parquet(f"{staged}/ledger")

@@ -6,7 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from golden import CUSTOMERS, LINES, customers_csv, orders_xml
+from kpiloom.plans.clean import clean_orders
+from kpiloom.sinks import files
 from kpiloom.sources import landing, raw
+from kpiloom.sources.clean import scan_clean_lines
+from kpiloom.staging import COMPACT, materialize
 from kpiloom.streaming.intake import read_staged_orders, stage_new_orders
 
 HEADER = "customer_id,customer_name,mobile_number,region"
@@ -364,3 +368,40 @@ def test_long_batches_are_landed_in_several_files(spark, tmp_path, monkeypatch):
     landing.land_batch(frame, str(tmp_path), "xml", datetime(2025, 11, 1))
     assert len(list((tmp_path / "ingest_date=2025-11-01").glob("*.xml.gz"))) >= 10
     assert len(orders_of(landing.read_order_batches(spark, str(tmp_path)))[0]) == 1000
+
+
+def test_records_as_writers_lay_them_out_are_taken_by_the_quick_pattern(spark, tmp_path, monkeypatch):
+    """Nothing else takes what is landed, but for the first record of a file, and its values are the parser's."""
+    names = ["order_id", "mobile_number", "order_date_time", "sku_id", "sku_count", "total_amount", "batch"]
+    texts = ["a", "a  b", "+91 0", "é", "日本", "$1\\2", "a]b", None]
+    rows = [tuple(texts[(k + i * (k // 8)) % 8] for i in range(7)) for k in range(64) if k != 7]
+    landing.land_batch(spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)).coalesce(1), str(tmp_path), "xml", datetime(2025, 11, 1))
+    landed = landing.order_pieces(spark, str(tmp_path))
+    assert landed.filter(F.col("value").rlike(landing._LEAN)).count() == 62
+    one, two = "<order_id>1</order_id>", "<sku_id>2</sku_id>"
+    others = ["<batch>x y</batch>", "<batch></batch>", "<batch> x</batch>", "<a>x</a><b>y</b>", "<order_id>2</order_id>", "<SKU_ID>1</SKU_ID>", "text", "<a>1</b>", "<a b='1'>2</a>", "<a>&lt;</a>", " "]
+    odd = [f"<order>{cut}" for other in others for cut in (other + one, one + other + two, one + two + other, two + one + other)]
+    odd += [f"<order><order_id>{text}</order_id>" for text in (" a", "a ", "\ta", "a>b", "a&amp;b", "", "a\u00a0", "\x01")] + ["<order>", "<orders><order>" + one, "\x01<order>" + one]
+    frame = spark.createDataFrame([(k, v, None, "f", 0) for k, v in enumerate(odd)], "row_number long, value string, ingest_date date, source_file string, split_start long")
+
+    def parsed():
+        return [sorted((r.source_file, r.row_number, r.piece, *map(str, r)) for r in landing.stage_pieces(pieces).collect()) for pieces in (landed, frame)]
+
+    got = parsed()
+    monkeypatch.setattr(landing, "_PLAIN", "(?!)")
+    assert parsed() == got  # the full pattern is not what the values depend on
+    monkeypatch.setattr(landing, "_LEAN", "(?!)")
+    assert parsed() == got
+
+
+def test_tables_of_order_lines_are_written_small(spark, tmp_path):
+    """All written forms of the lines are compressed by zstd: parsed pieces, intake lines, clean months."""
+    frame = spark.range(1000).selectExpr("concat('O', id) as order_id", "'1' as mobile_number", "'2025-11-01' as order_date_time", "concat('S', id) as sku_id", "'1' as sku_count", "'1.50' as total_amount")
+    root = str(tmp_path / "landing")
+    landing.land_batch(frame, root, "xml", datetime(2025, 11, 1))
+    staged = materialize(landing.stage_pieces(landing.order_pieces(spark, root)), "raw-orders", **COMPACT)
+    stage_new_orders(spark, root, str(tmp_path / "intake"))
+    files.sink_orders_lines(clean_orders(landing.read_order_batches(spark, root).rows.drop("ingest_date")), str(tmp_path / "clean"))
+    written = [*staged.inputFiles(), *map(str, (tmp_path / "intake" / "lines").rglob("*.parquet")), *map(str, (tmp_path / "clean").rglob("*.parquet"))]
+    assert len(written) >= 3 and all(path.endswith(".zstd.parquet") for path in written), written
+    assert scan_clean_lines(spark, str(tmp_path / "clean")).count() == 1000
